@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retrievo.llm import mixing, sharding
+from retrievo.llm import mixing, packing, pii, secret_scan, sharding
 from retrievo.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,26 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.sanitise(table(spark, sf_dir, "documents")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mixing": op1_mixing, "op3_sharding": op3_sharding}
+    return {
+        "op1_mixing": op1_mixing,
+        "op3_sharding": op3_sharding,
+        "op4_pii": op4_pii,
+        "op9_packing": op9_packing,
+        "op10_secrets": op10_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
