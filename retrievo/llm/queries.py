@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retrievo.llm import mixing, packing, pii, secret_scan, sharding
+from retrievo.llm import media, mixing, neighbours, packing, pii, secret_scan, sharding
 from retrievo.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,15 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.sanitise(table(spark, sf_dir, "documents")))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = media.media_columns(table(spark, sf_dir, "documents"))
+    return columns.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset")
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,6 +47,8 @@ def queries() -> dict[str, Query]:
         "op1_mixing": op1_mixing,
         "op3_sharding": op3_sharding,
         "op4_pii": op4_pii,
+        "op6_media": op6_media,
+        "op8_neighbours": op8_neighbours,
         "op9_packing": op9_packing,
         "op10_secrets": op10_secrets,
     }
