@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retrievo.llm import media, mixing, neighbours, packing, pii, secret_scan, sharding, toxicity
+from retrievo.llm import jaccard, media, mixing, neighbours, packing, pii, secret_scan, sharding, toxicity
 from retrievo.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op3_sharding": op3_sharding,
         "op4_pii": op4_pii,
         "op6_media": op6_media,
+        "op7_jaccard": op7_jaccard,
         "op8_neighbours": op8_neighbours,
         "op9_packing": op9_packing,
         "op10_secrets": op10_secrets,
