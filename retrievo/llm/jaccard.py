@@ -32,66 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrievo.llm.storage import materialize
+from retrievo.llm.words import U, mixed, word_hashes
 
-U = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK = 1 << 20  # bytes hashed at a time
 #: Rows of a lookup table (some 50 bytes each) that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, dtype=U)
-    out[1:] = U(base)
-    return np.multiply.accumulate(out)
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit mixing function (multiply and shift rounds)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash for each word of UTF-8 bytes, A-Z lower-cased, words parted by ASCII white space."""
-    if not _POWERS:
-        _POWERS.extend((_powers(BASE, BLOCK + 1), _powers(INVERSE, BLOCK + 1)))
-    out, at = [], 0
-    while at < len(data):
-        end = min(len(data), at + BLOCK)
-        if end < len(data):  # cut at white space
-            cut = max(data.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            if cut <= at:  # a word longer than a block, by itself
-                end = min((i for i in (data.find(c, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if i >= 0), default=len(data))
-                import xxhash
-
-                head, *tail = data[at:end].lower().split()
-                out.append(np.array([xxhash.xxh64_intdigest(w) for w in (head, *tail)], dtype=U))
-                at = end
-                continue
-            end = cut + 1
-        b = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
-        at = end
-        space = (b == 32) | ((b >= 9) & (b <= 13))
-        edges = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
-        starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-        if not len(starts):
-            continue
-        low = np.where((b >= 65) & (b <= 90), b | 32, b).astype(U) + U(1)
-        sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(low * _POWERS[0][: len(b)], dtype=U)))
-        out.append(mixed((sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(U)))
-    return np.concatenate(out) if out else np.zeros(0, dtype=U)
-
-
 def shingles(text: str | None, n: int) -> np.ndarray:
     """The set of word n-grams as sorted hashes."""
     words = word_hashes((text or "").encode())
@@ -108,8 +59,6 @@ def class_of(grams: np.ndarray) -> int | None:
     """A signed 64-bit name of a set; equal sets, equal names."""
     if not len(grams):
         return None
-    import xxhash
-
     return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).astype(np.int64))
 
 

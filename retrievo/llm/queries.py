@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retrievo.llm import jaccard, media, mixing, neighbours, packing, pii, secret_scan, sharding, toxicity
+from retrievo.llm import jaccard, lm, media, mixing, neighbours, packing, pii, secret_scan, sharding, toxicity
 from retrievo.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.sanitise(table(spark, sf_dir, "documents")))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = media.media_columns(table(spark, sf_dir, "documents"))
     return columns.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset")
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": op2_toxicity,
         "op3_sharding": op3_sharding,
         "op4_pii": op4_pii,
+        "op5_lm": op5_lm,
         "op6_media": op6_media,
         "op7_jaccard": op7_jaccard,
         "op8_neighbours": op8_neighbours,
