@@ -157,7 +157,8 @@ def _allocated(index: DataFrame, percent: int, hot: int) -> DataFrame:
     shared = index.withColumn("rows", F.count(F.lit(1)).over(bucket)).withColumn("other", F.min("cls").over(bucket) != F.max("cls").over(bucket))
     shared = materialize(shared.filter("other").select("sig", "cls", "place", "rows").distinct(), "jaccard-shared")
     bands = Bands(percent)
-    credit = F.element_at(F.array(*[F.lit(bands.spare(b)) for b in range(200)]), F.least(F.col("band"), F.lit(199)).cast("int") + 1)
+    last = bands.band(1 << 31)  # no text has more words
+    credit = F.element_at(F.array(*[F.lit(bands.spare(b)) for b in range(last + 1)]), F.col("band").cast("int") + 1)
     rows = shared.select(
         "sig", "cls", "rows", F.shiftright("place", 33).alias("band"), (F.col("place") % 2).cast("int").alias("kind"),
         F.shiftright("place", 1).bitwiseAND((1 << 32) - 1).alias("segment"),

@@ -111,18 +111,29 @@ def _position(copy: Column) -> Column:
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every taken copy as a row with the columns of ``docs``, range-sorted by position.
 
-    ``doc_id`` must be unique.  The copy of the last pass at which a source's target ends is cut
-    after its last taken word, and its ``n_chars`` follows.
+    The copy of the last pass at which a source's target ends is cut after its last taken word, and
+    its ``n_chars`` follows.  Rows that repeat a doc_id are told apart by their size.  Rows without
+    doc_id can't be planned: they are taken once, after the others.
     """
-    plan = mix(docs, **options).filter("taken > 0").select("doc_id", "size", "source_size", "target", "taken", "passes", "last", "start", "ramp")
+    known = docs.filter("doc_id is not null")
+    plan = mix(known, **options).drop("source", "position")
+    plan = materialize(plan.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", F.desc("taken")))), "mix-plan")
+    if plan.filter("twin > 1").isEmpty():
+        rows, keys = known, ["doc_id"]
+    else:
+        size = word_count(F.col("text"))
+        rows, keys = known.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id").orderBy(size))), ["doc_id", "twin"]
+    plan = plan.filter("taken > 0")
     copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("passes") + F.when(F.col("last") > 0, 1).otherwise(0) - 1).cast("int"))))
     words = F.when(F.col("copy") < F.col("passes"), F.col("size")).otherwise(F.col("last"))
-    copies = copies.select("doc_id", "copy", _position(F.col("copy")).alias("position"), F.when(words < F.col("size"), words).alias("cut"))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"{BLANK}{WORD}"), F.lit(0)), 1, F.col("cut").cast("int")), "")
-    mixed = docs.join(copies, "doc_id").withColumn("text", F.when(F.col("cut").isNotNull(), head).otherwise(F.col("text")))
+    copies = copies.select(*keys, F.struct(_position(F.col("copy")).alias("position"), "copy", F.when(words < F.col("size"), words).alias("cut")).alias("mix_copy"))
+    cut = F.col("mix_copy.cut")
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"{BLANK}{WORD}"), F.lit(0)), 1, cut.cast("int")), "")
+    mixed = rows.join(copies, keys).withColumn("text", F.when(cut.isNotNull(), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.when(F.col("cut").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return mixed.orderBy("position", "doc_id", "copy").select(*docs.columns)
+        mixed = mixed.withColumn("n_chars", F.when(cut.isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    mixed = mixed.orderBy("mix_copy.position", "doc_id", "mix_copy.copy").select(*docs.columns)
+    return mixed.unionByName(docs.filter("doc_id is null"))
 
 
 SQL = r"""
