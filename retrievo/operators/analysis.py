@@ -89,7 +89,8 @@ def structure(docs: DataFrame, act: str, order: str) -> DataFrame:
 
 def concentration(rows: DataFrame, width: float = 0.1) -> DataFrame:
     """query_id, n, span and the greatest share of positions within a window; 1 for a single one."""
-    ahead = F.count(F.lit(1)).over(Window.partitionBy("query_id").orderBy("position").rangeBetween(Window.currentRow, width))
+    # the Python API takes whole numbers as bounds of a range only
+    ahead = F.expr(f"count(1) OVER (PARTITION BY query_id ORDER BY position RANGE BETWEEN CURRENT ROW AND {float(width)!r}D FOLLOWING)")
     out = rows.withColumn("ahead", ahead).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("ahead").alias("most"), (F.max("position") - F.min("position")).alias("span"))
     return out.select("query_id", "n", "span", F.when(F.col("n") <= 1, F.lit(1.0)).otherwise(F.col("most") / F.col("n")).alias("concentration"))
 

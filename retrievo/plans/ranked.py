@@ -123,7 +123,7 @@ def metrics_rollup_by_lang(spark, d):
 
 
 @query("trec_metrics", "A8 W4", with_run("""SELECT q.query_id, round(coalesce(dcg / best, 0), 6) AS ndcg, round(coalesce(found / rel::DOUBLE, 0), 6) AS recall, round(coalesce(ap / rel, 0), 6) AS ap, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr
-  FROM (SELECT query_id, count(*) AS rel, sum(CASE WHEN at <= 10 THEN 1 / log2(at + 1) END) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS at FROM qrels) GROUP BY 1) q
+  FROM (SELECT query_id, count(*) AS rel, sum(CASE WHEN pos <= 10 THEN 1 / log2(pos + 1) END) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS pos FROM qrels) GROUP BY 1) q
   LEFT JOIN (SELECT query_id, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END) AS dcg, sum(hits / rank::DOUBLE) AS ap, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS found
     FROM (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM run SEMI JOIN qrels USING (query_id, doc_id)) GROUP BY 1) g USING (query_id)"""))
 def trec_metrics(spark, d):

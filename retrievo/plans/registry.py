@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from retrievo.plans import ranked
+from retrievo.plans import figures, ranked
 
-MODULES = (ranked,)
+MODULES = (ranked, figures)
 
 
 def _all() -> dict:
