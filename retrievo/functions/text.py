@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +28,6 @@ def without(words: Column, stop: list[str]) -> Column:
 
 def stemmed(words: Column, stemmer) -> Column:
     """Tokens through ``stemmer(str) -> str`` in Arrow batches (no stemmer ships with Spark)."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def stem(batch: pd.Series) -> pd.Series:
         return batch.map(lambda ws: [stemmer(w) for w in ws])
@@ -38,7 +37,7 @@ def stemmed(words: Column, stemmer) -> Column:
 
 def character_bigrams(text: Column) -> Column:
     """Stand-in for word segmentation of Han text: overlapping pairs of characters."""
-    return F.regexp_extract_all(F.regexp_replace(text, r"(?<=(\p{IsHan}))(?=\p{IsHan})", "$1"), F.lit(r"\p{IsHan}{2}|[\p{L}\p{N}&&[^\p{IsHan}]]{2,}"), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(text, r"(\p{IsHan})(?=(\p{IsHan}))", "$1$2 "), F.lit(r"\p{IsHan}{2}|[\p{L}\p{N}&&[^\p{IsHan}]]{2,}"), F.lit(0))
 
 
 def sentences(text: Column, lang: Column) -> Column:
