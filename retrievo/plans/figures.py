@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retrievo.functions import text as tx
 from retrievo.functions import vectors as v
-from retrievo.operators import agentlog, agreement, analysis, dense, metrics, ranking, sampling, stats
+from retrievo.operators import agentlog, agreement, analysis, dense, learning, metrics, ranking, sampling, stats
 from retrievo.plans.common import table
 from retrievo.sources import pages as pg
 from retrievo.streaming import logs
@@ -499,6 +499,28 @@ def cluster_split(spark, d):
     return labelled.select("vec_id", F.when(F.col("cluster").isin([names[i] for i in chosen]), "test").otherwise("train").alias("split"))
 
 
+@query("dimension_spread", "A43", "SELECT CAST(dim AS INTEGER) AS dim, round(max(m) - min(m), 6) AS spread, round(stddev_pop(m), 6) AS deviation FROM (SELECT label, dim, avg(x) AS m FROM (SELECT label, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL) GROUP BY dim")
+def dimension_spread(spark, d):
+    return learning.dimension_summary(emb(spark, d), "label").select("dim", F.round("spread", 6).alias("spread"), F.round("deviation", 6).alias("deviation"))
+
+
+@query("weight_search", "R11 A9", f"""WITH {HALVES}, v AS (SELECT row_number() OVER (ORDER BY x, y) - 1 AS trial, x / (x + y)::DOUBLE AS wa, y / (x + y)::DOUBLE AS wb FROM (SELECT unnest(range(5)) AS x), (SELECT unnest(range(5)) AS y) WHERE x + y > 0),
+q AS (SELECT x.vec_id AS query_id, y.vec_id AS doc_id FROM embeddings x JOIN embeddings y USING (label) WHERE x.vec_id < 20 AND x.vec_id <> y.vec_id)
+SELECT CAST(trial AS INTEGER) AS trial, round(5 * count(q.doc_id) / (4 * (SELECT count(*) FROM q) + count(*))::DOUBLE, 6) AS f2 FROM s JOIN v ON round(wa * a + wb * b, 9) >= 0.05 LEFT JOIN q ON q.query_id = s.query_id AND q.doc_id = s.doc_id GROUP BY trial""")
+def weight_search(spark, d):
+    s = halves(spark, d)
+    rows = s.select("query_id", "doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).alias("score")) for c in ("a", "b")])).alias("m")).select("query_id", "doc_id", "m.model", "m.score")
+    return learning.search_weights(rows, dense_qrels(spark, d), ["a", "b"], threshold=0.05).select("trial", F.round("f2", 6).alias("f2"))
+
+
+@query("learned_ranker", "R12 R15")
+def learned_ranker(spark, d):
+    pairs = _scored(spark, d).select("query_id", "doc_id", F.col("score").alias("cosine"), F.col("relevant").cast("int").alias("label"))
+    rows = learning.pair_features(pairs, asked(spark, d), stored(spark, d), "cosine")
+    model = learning.fit_ranker(rows.filter("query_id % 2 = 0"))
+    return learning.predict_top_k(model, rows.filter("query_id % 2 = 1"), 10)
+
+
 @query("bootstrap_interval", "A30")
 def bootstrap_interval(spark, d):
     return stats.bootstrap(table(spark, d, "customer"), "c_acctbal", 200)
