@@ -16,8 +16,9 @@ neighbourhood, still make H + 1.  Frequencies are exact and cover all rows.
 A bucket of a signature is never expanded into its pairs while that can be avoided.  First every
 class is verified against one centre, the least class of a bucket it shares most often; links join
 classes to components, of which large groups of copies become one.  Only pairs of a bucket in
-different components are left, and all of these are verified.  Verification compares the sets of
-the texts themselves.  So no link between different components is lost, and the result is exact.
+different components are left, and all of these are verified.  Verification rules out pairs whose
+sizes or sketches differ too much for a link, then compares the sets of the texts themselves.  So no
+link between different components is lost, and the result is exact.
 
 Components are found by alternating large-star and small-star steps over tables of links.
 
@@ -37,24 +38,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrievo.llm.storage import materialize
-from retrievo.llm.words import U, mixed, word_hashes
+from retrievo.llm.words import U, gram_sets, mixed
 
 #: Rows of a lookup table (some 50 bytes each) that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The set of word n-grams as sorted hashes."""
-    words = word_hashes((text or "").encode())
-    if not len(words):
-        return words
-    k = min(n, len(words))
-    total = np.zeros(len(words) - k + 1, dtype=U)
-    for j in range(k):
-        total = mixed(total + words[j : len(words) - k + 1 + j])
-    return np.unique(total + U(k))
-
-
 def class_of(grams: np.ndarray) -> int | None:
     """A signed 64-bit name of a set; equal sets, equal names."""
     if not len(grams):
@@ -94,14 +83,15 @@ def signatures(grams: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]
     own = bands.band(len(grams))
     sigs, places = [], []
     base = mixed(grams)
+    low, high = (base & U(0xFFFFFFFF)).astype(np.float64), (base >> U(32)).astype(np.float64)  # sums stay exact below 2^53
+    spot = mixed(grams + U(1)) >> U(32)
     for band in (own - 1, own):
         if band < 0 or bands.bound(band) < 1:  # sets that link are equal there
             continue
         m = bands.segments(band)
-        segment = (mixed(grams + U(band + 1)) % U(m)).astype(np.int64)
-        low = np.bincount(segment, weights=(base & U(0xFFFFFFFF)).astype(np.float64), minlength=m).astype(U)
-        high = np.bincount(segment, weights=(base >> U(32)).astype(np.float64), minlength=m).astype(U)
-        total, count = low + (high << U(32)), np.bincount(segment, minlength=m).astype(U)
+        segment = ((spot * U(m)) >> U(32)).astype(np.int64)
+        total = np.bincount(segment, weights=low, minlength=m).astype(U) + (np.bincount(segment, weights=high, minlength=m).astype(U) << U(32))
+        count = np.bincount(segment, minlength=m).astype(U)
         place = (U(band) << U(33)) + (np.arange(m, dtype=U) << U(1))
         sigs.append(mixed(total + mixed(place + (count << U(40)))))
         places.append(place)
@@ -115,14 +105,41 @@ def signatures(grams: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(sigs).view(np.int64), np.concatenate(places).view(np.int64)
 
 
+CELLS = 64
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """Elements by hash in 64 cells, up to 255: two sets differ by at least the sum of the cells' differences."""
+    return np.minimum(np.bincount((mixed(grams) >> U(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def fine_sketch(grams: np.ndarray) -> bytes:
+    """The same with about a cell for each element, up to 15, two cells to a byte."""
+    bits = max(6, len(grams).bit_length() - 1)
+    cells = np.minimum(np.bincount((mixed(grams) >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return (cells[0::2] | cells[1::2] << 4).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """What two sets differ by at least, from their fine sketches; the finer is folded to the other's cells."""
+    x, y = ((np.frombuffer(s, dtype=np.uint8)[:, None] >> np.array([0, 4], dtype=np.uint8) & 15).ravel().astype(np.int32) for s in (a, b))
+    if len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = np.minimum(x.reshape(len(y), -1).sum(axis=1), 15)
+    return int(np.abs(x - y).sum())
+
+
 def sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, cls and n_shingles of every row."""
+    """doc_id, cls, n_shingles and the sketches of every row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            grams = [shingles(t, n) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "cls": pd.array([class_of(g) for g in grams], dtype="Int64"), "n_shingles": [len(g) for g in grams]})
+            grams = gram_sets(pdf["text"].tolist(), n)
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"], "cls": pd.array([class_of(g) for g in grams], dtype="Int64"), "n_shingles": [len(g) for g in grams],
+                "sketch": [sketch(g) for g in grams], "fine": [fine_sketch(g) for g in grams],
+            })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, cls long, n_shingles long")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, cls long, n_shingles long, sketch binary, fine binary")
 
 
 def _index(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -131,8 +148,7 @@ def _index(docs: DataFrame, n: int, percent: int) -> DataFrame:
         bands, done = Bands(percent), set()
         for pdf in batches:
             sigs, places, owners, size = [], [], [], 0
-            for text in pdf["text"]:
-                grams = shingles(text, n)
+            for grams in gram_sets(pdf["text"].tolist(), n):
                 cls = class_of(grams)
                 if cls is None or cls in done:
                     continue
@@ -188,26 +204,50 @@ def _by_key(left: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     return left.join(F.broadcast(lookup) if lookup.count() <= BROADCAST_ROWS else lookup, key)
 
 
+def _possible(pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and sketches don't rule out; none that links is lost."""
+    def most(pdf: pd.DataFrame) -> np.ndarray:
+        both = pdf["x"].to_numpy(dtype=np.int64) + pdf["y"].to_numpy(dtype=np.int64)
+        return both - 2 * -(-percent * both // (100 + percent))
+
+    def coarse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cells = [np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("sx", "sy")]
+            yield pdf.loc[np.abs(cells[0] - cells[1]).sum(axis=1) <= most(pdf), ["a", "b"]]
+
+    def fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            least = [least_difference(x, y) for x, y in zip(pdf["sx"], pdf["sy"], strict=True)]
+            yield pdf.loc[np.array(least, dtype=np.int64) <= most(pdf), ["a", "b"]]
+
+    def with_sketches(pairs: DataFrame, name: str) -> DataFrame:
+        for key, size, cells in (("a", "x", "sx"), ("b", "y", "sy")):
+            pairs = pairs.join(owners.select(F.col("cls").alias(key), F.col("n_shingles").alias(size), F.col(name).alias(cells)), key)
+        return pairs.filter(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).select("a", "b", "x", "y", "sx", "sy")
+
+    left = materialize(with_sketches(pairs, "sketch").mapInPandas(coarse, "a long, b long"), "jaccard-coarse")
+    return with_sketches(left, "fine").mapInPandas(fine, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` of classes whose sets have the wanted similarity."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(owners, "cls")
+    pairs = materialize(_possible(pairs, owners, percent), "jaccard-possible")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(owners.select("cls", "doc_id"), "cls")
     wanted = materialize(wanted.select("doc_id", "cls"), "jaccard-wanted")
     texts = _by_key(docs.select("doc_id", "text"), wanted, "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = last_text = right = None
         for pdf in batches:
-            keep = []
-            for b, x, y in zip(pdf["b"], pdf["x"], pdf["y"], strict=True):
-                if b != last or y != last_text:
-                    last, last_text, right = b, y, shingles(y, n)
-                left = shingles(x, n)
-                small, large = min(len(left), len(right)), max(len(left), len(right))
-                if 100 * small < percent * large:
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
+            last, number, of = {}, [], []  # a centre's text is hashed once a batch
+            for key in zip(pdf["b"], pdf["y"], strict=True):
+                if key not in last:
+                    last[key] = len(of)
+                    of.append(key[1])
+                number.append(last[key])
+            lefts, rights, keep = gram_sets(pdf["x"].tolist(), n), gram_sets(of, n), []
+            for left, i in zip(lefts, number, strict=True):
+                both = len(np.intersect1d(left, rights[i], assume_unique=True))
+                keep.append(100 * both >= percent * (len(left) + len(rights[i]) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
     left = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
@@ -244,7 +284,8 @@ def _larger_first(links: DataFrame) -> DataFrame:
 def join(docs: DataFrame, *, n: int = 4, percent: int = 85, hot: int = 16) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     rows = materialize(sets(docs, n), "jaccard-sets")
-    owners = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    owners = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
+    owners = materialize(owners, "jaccard-owners")
     shared = _allocated(_index(docs, n, percent), percent, hot)
     # every class and the centres it shares buckets with; of these, one
     order = Window.partitionBy("sig").orderBy("kind", "cls")
@@ -269,7 +310,7 @@ def join(docs: DataFrame, *, n: int = 4, percent: int = 85, hot: int = 16) -> Da
     links = links.unionByName(verified(rest, docs, owners, n, percent))
     found = components(links)
     # a component's name is its least document, copies included
-    named = owners.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = owners.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     names = named.select("cls", "component").join(least, "component").select("cls", "component_id")
     out = rows.join(names, "cls", "left")

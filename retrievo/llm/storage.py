@@ -34,5 +34,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts have any length: fewer rows go to Python at once than Spark's default of 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

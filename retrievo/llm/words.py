@@ -1,4 +1,4 @@
-"""Hashes of the words of a text, computed over whole arrays."""
+"""Hashes of the words and word n-grams of texts, computed over whole arrays."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import xxhash
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK = 1 << 20  # bytes hashed at a time
+BLOCK = 1 << 19  # bytes hashed at a time
 SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
@@ -28,29 +28,87 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _block(data: bytes, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets) of the words of a block that begins and ends between words."""
+    if not _POWERS:
+        _POWERS.extend((_powers(BASE, 2 * BLOCK), _powers(INVERSE, 2 * BLOCK)))
+    b = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edges = np.concatenate((edges if len(b) and space[0] else np.concatenate(([0], edges)), [len(b)]))
+    if not len(b) or len(edges) < 2:
+        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+    starts, ends = edges[: len(edges) // 2 * 2 : 2], edges[1::2]
+    low = np.where((b >= 65) & (b <= 90), b | 32, b).astype(U) + U(1)
+    low *= _POWERS[0][: len(b)]
+    sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(low, dtype=U)))
+    return mixed((sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(U)), starts
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A hash for each word of UTF-8 bytes, A-Z lower-cased, words parted by ASCII white space."""
-    if not _POWERS:
-        _POWERS.extend((_powers(BASE, BLOCK + 1), _powers(INVERSE, BLOCK + 1)))
     out, at = [], 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
         if end < len(data):  # cut at white space
             cut = max(data.rfind(c, at, end) for c in SPACES)
-            if cut <= at:  # a word longer than a block, by itself
+            if cut < at:  # a word longer than a block, by itself
                 end = min((i for i in (data.find(c, end) for c in SPACES) if i >= 0), default=len(data))
                 out.append(np.array([xxhash.xxh64_intdigest(w) for w in data[at:end].lower().split()], dtype=U))
                 at = end
                 continue
             end = cut + 1
-        b = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
+        out.append(_block(data, at, end)[0])
         at = end
-        space = (b == 32) | ((b >= 9) & (b <= 13))
-        edges = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
-        starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-        if not len(starts):
-            continue
-        low = np.where((b >= 65) & (b <= 90), b | 32, b).astype(U) + U(1)
-        sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(low * _POWERS[0][: len(b)], dtype=U)))
-        out.append(mixed((sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(U)))
     return np.concatenate(out) if out else np.zeros(0, dtype=U)
+
+
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    k = min(n, len(words))
+    total = np.zeros(len(words) - k + 1, dtype=U)
+    for j in range(k):
+        total = mixed(total + words[j : len(words) - k + 1 + j])
+    return total + U(k)
+
+
+def _set(grams: np.ndarray) -> np.ndarray:
+    grams = np.sort(grams)
+    return grams[np.concatenate(([True], grams[1:] != grams[:-1]))] if len(grams) else grams
+
+
+def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """For each text the set of its word n-grams as sorted hashes; fewer words than n make one n-gram.
+
+    Short texts are hashed together, a block at a time.
+    """
+    out: list[np.ndarray] = [np.zeros(0, dtype=U)] * len(texts)
+    part: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush():
+        offsets = np.cumsum([0] + [len(d) + 1 for _, d in part])
+        words, starts = _block(b"\n".join(d for _, d in part), 0, int(offsets[-1]) - 1)
+        doc = np.searchsorted(offsets, starts, side="right") - 1
+        bounds = np.searchsorted(doc, np.arange(len(part) + 1))
+        grams = _grams(words, n) if len(words) >= n else np.zeros(0, dtype=U)
+        for j, (i, _) in enumerate(part):
+            a, b = bounds[j], bounds[j + 1]
+            if b - a >= n:
+                out[i] = _set(grams[a : b - n + 1])
+            elif b > a:
+                out[i] = _set(_grams(words[a:b], n))
+
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        if len(data) > BLOCK // 2:
+            words = word_hashes(data)
+            out[i] = _set(_grams(words, n)) if len(words) else words
+            continue
+        if part and size + len(data) > BLOCK:
+            flush()
+            part, size = [], 0
+        part.append((i, data))
+        size += len(data) + 1
+    if part:
+        flush()
+    return out
