@@ -332,3 +332,20 @@ def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+#: ``join`` with its defaults, by comparing all pairs that share an n-gram: for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) END AS grams FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.least_id, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) m ON m.a = s.doc_id
+"""

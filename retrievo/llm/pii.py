@@ -136,7 +136,7 @@ def sanitise(
     ).filter(f"texts >= {support}")
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     frequency = docs.select(F.explode(F.filter(words, lambda w: F.length(w) >= 4)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    share = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
+    share = F.round(F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e")), 9)
     disclosing = pairs.join(frequency, "term").withColumn("disclosure", F.when(F.col("n_e") < total, share)).filter(f"disclosure >= {generalise}")
     kind = F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
     added = beside.join(disclosing.select("entity", "term", kind.alias("kind")), ["entity", "term"])
@@ -159,3 +159,48 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id", *map(count, KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
+
+
+#: ``digest(sanitise(documents))`` with the defaults.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS body, text FROM documents),
+base AS (
+  SELECT row, 0 AS kind_rank, 'email' AS kind, start, start + length(value) AS "end", value FROM (
+    SELECT row, value, regexp_replace(value, '[^0-9]', '', 'g') AS digits, CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+    FROM (SELECT row, found, gaps, unnest(found) AS value, generate_subscripts(found, 1) AS i FROM (SELECT row, regexp_extract_all(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS found, regexp_split_to_array(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS gaps FROM d)))
+  WHERE true
+  UNION ALL SELECT row, 1 AS kind_rank, 'ip' AS kind, start, start + length(value) AS "end", value FROM (
+    SELECT row, value, regexp_replace(value, '[^0-9]', '', 'g') AS digits, CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+    FROM (SELECT row, found, gaps, unnest(found) AS value, generate_subscripts(found, 1) AS i FROM (SELECT row, regexp_extract_all(body, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS found, regexp_split_to_array(body, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS gaps FROM d)))
+  WHERE list_bool_and(list_transform(string_split(value, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT) <= 255, false)))
+  UNION ALL SELECT row, 2 AS kind_rank, 'card' AS kind, start, start + length(value) AS "end", value FROM (
+    SELECT row, value, regexp_replace(value, '[^0-9]', '', 'g') AS digits, CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+    FROM (SELECT row, found, gaps, unnest(found) AS value, generate_subscripts(found, 1) AS i FROM (SELECT row, regexp_extract_all(body, '[0-9]([\x20-]?[0-9])+') AS found, regexp_split_to_array(body, '[0-9]([\x20-]?[0-9])+') AS gaps FROM d)))
+  WHERE length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(digits, length(digits) - i, 1) AS INTEGER) ELSE 2 * CAST(substr(digits, length(digits) - i, 1) AS INTEGER) - CASE WHEN CAST(substr(digits, length(digits) - i, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  UNION ALL SELECT row, 3 AS kind_rank, 'phone' AS kind, start, start + length(value) AS "end", value FROM (
+    SELECT row, value, regexp_replace(value, '[^0-9]', '', 'g') AS digits, CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+    FROM (SELECT row, found, gaps, unnest(found) AS value, generate_subscripts(found, 1) AS i FROM (SELECT row, regexp_extract_all(body, '\+[0-9][\x20().0-9-]+[0-9]') AS found, regexp_split_to_array(body, '\+[0-9][\x20().0-9-]+[0-9]') AS gaps FROM d)))
+  WHERE length(digits) BETWEEN 10 AND 15),
+near AS (
+  SELECT *, CASE WHEN kind IN ('card', 'phone') THEN kind || ':' || regexp_replace(value, '[^0-9]', '', 'g') ELSE kind || ':' || lower(value) END AS entity, greatest(start - 80, 0) AS lo,
+         substr(body, greatest(start - 80, 0) + 1, "end" - greatest(start - 80, 0) + 80) AS context, length(body) AS size, body FROM base JOIN d USING (row)),
+terms AS (
+  SELECT row, entity, body, lo, context, size, t, CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos
+  FROM (SELECT row, entity, body, lo, context, size, found, gaps, unnest(found) AS t, generate_subscripts(found, 1) AS i
+    FROM (SELECT *, regexp_extract_all(context, '[\p{L}\p{N}]+') AS found, regexp_split_to_array(context, '[\p{L}\p{N}]+') AS gaps FROM near))),
+beside AS (
+  SELECT DISTINCT row, entity, body, lower(t) AS term, pos + lo AS start, pos + lo + length(t) AS "end" FROM terms
+  WHERE length(t) >= 4 AND (pos > 0 OR lo = 0) AND (pos + length(t) < length(context) OR lo + length(context) = size)
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = terms.row AND b.start < pos + lo + length(t) AND pos + lo < b."end")),
+entities AS (SELECT entity, count(DISTINCT row) AS n_e FROM near GROUP BY entity HAVING count(DISTINCT body) >= 3),
+pairs AS (SELECT entity, term, any_value(n_e) AS n_e, count(DISTINCT row) AS n_te FROM beside JOIN entities USING (entity) GROUP BY ALL HAVING count(DISTINCT body) >= 3),
+freq AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT row, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM d) WHERE length(term) >= 4 GROUP BY term),
+told AS (
+  SELECT entity, term, round(ln(n::DOUBLE * n_te / (n_t * n_e)) / ln(n::DOUBLE / n_e), 9) AS share FROM pairs JOIN freq USING (term), (SELECT count(*) AS n FROM d) WHERE n_e < n),
+added AS (
+  SELECT row, 4 AS kind_rank, max(CASE WHEN share >= 0.8 THEN 'remove' ELSE 'generalise' END) AS kind, start, "end", term AS value FROM beside JOIN told USING (entity, term) WHERE share >= 0.5 GROUP BY row, start, "end", term)
+SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(s.spans, '') AS spans
+FROM d LEFT JOIN (SELECT row, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, kind_rank) AS spans FROM base GROUP BY row) b USING (row)
+LEFT JOIN (SELECT row, string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, kind_rank, "end", kind, value) AS spans FROM (SELECT row, kind_rank, kind, start, "end", value FROM base UNION ALL SELECT row, kind_rank, kind, start, "end", value FROM added) GROUP BY row) s USING (row)
+"""
