@@ -33,20 +33,29 @@ from retrievo.llm.storage import materialize
 
 #: White space that may be part of a longer run: such texts aren't split into words here.
 RUNS = re.compile(r" \s|\s |[^\S\n ]")
-CACHE = 300_000
+CACHE = 200_000
 
 
 class Words(dict):
-    """Space-led word -> its ids as little-endian bytes; filled on demand, emptied when full."""
+    """Space-led word -> its ids as little-endian bytes; filled on demand.
 
-    def __init__(self, encode):
+    Two generations bound the memory: when the younger is full it becomes the older, and words that
+    are looked up again move to the younger.
+    """
+
+    def __init__(self, encode, encode_letters):
         super().__init__()
-        self.encode = encode
+        self.encode, self.encode_letters, self.older = encode, encode_letters, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(" " + word), dtype="<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            # a word of letters only is one piece for the merges: no need to look for pieces in it
+            found = self.encode_letters(f" {word}".encode()) if word.isalpha() else self.encode(" " + word)
+            ids = np.array(found, dtype="<u4").tobytes()
         if len(word) < 64:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -62,8 +71,9 @@ def encoder(ranks_path: str, pattern: str | None = None):
         pattern = public_tokenizers.PATTERN
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    words = Words(encode)
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encode = encoding.encode_ordinary
+    words = Words(encode, encoding._encode_single_piece)
 
     def ids(text: str) -> bytes:
         if RUNS.search(text):
