@@ -336,10 +336,10 @@ def paired_statistics(spark, d):
 
 
 @query("kappa_labels", "A33 A34 J16", """WITH g AS (SELECT source, quality AS x, toxic AS y FROM labels JOIN documents USING (doc_id)), s AS (SELECT source, count(*) AS n, avg((x = y)::INT) AS po, avg(x) * avg(y) + (1 - avg(x)) * (1 - avg(y)) AS pe FROM g GROUP BY 1)
-SELECT source, n, round(po, 6) AS agreement, round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM s""")
+SELECT source, n, round(po, 6) AS agreement, round(CASE WHEN pe = 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) + 0 AS kappa FROM s""")
 def kappa_labels(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return stats.kappa(rows, "quality", "toxic", "source").select("source", "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
+    return stats.kappa(rows, "quality", "toxic", "source").select("source", "n", F.round("agreement", 6).alias("agreement"), (F.round("kappa", 6) + 0.0).alias("kappa"))
 
 
 def votes(spark, d):
@@ -352,9 +352,9 @@ def votes(spark, d):
 VOTES = "v AS (SELECT doc_id AS pair_id, 'r1' AS annotator, quality AS label FROM labels UNION ALL SELECT doc_id, 'r2', 1 - toxic FROM labels UNION ALL SELECT doc_id, 'r3', CAST(doc_id % 2 AS INTEGER) FROM labels WHERE doc_id % 5 <> 0)"
 
 
-@query("annotator_agreement", "A34 J16", f"WITH {VOTES}, s AS (SELECT a.annotator AS a1, b.annotator AS a2, count(*) AS n, avg((a.label = b.label)::INT) AS po, avg(a.label) * avg(b.label) + (1 - avg(a.label)) * (1 - avg(b.label)) AS pe FROM v a JOIN v b USING (pair_id) WHERE a.annotator < b.annotator GROUP BY 1, 2) SELECT a1, a2, n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM s")
+@query("annotator_agreement", "A34 J16", f"WITH {VOTES}, s AS (SELECT a.annotator AS a1, b.annotator AS a2, count(*) AS n, avg((a.label = b.label)::INT) AS po, avg(a.label) * avg(b.label) + (1 - avg(a.label)) * (1 - avg(b.label)) AS pe FROM v a JOIN v b USING (pair_id) WHERE a.annotator < b.annotator GROUP BY 1, 2) SELECT a1, a2, n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) + 0 AS kappa FROM s")
 def annotator_agreement(spark, d):
-    return agreement.pairwise(votes(spark, d)).select("a1", "a2", "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
+    return agreement.pairwise(votes(spark, d)).select("a1", "a2", "n", F.round("agreement", 6).alias("agreement"), (F.round("kappa", 6) + 0.0).alias("kappa"))
 
 
 @query("confusion_by_source", "A35 F8", "SELECT source, count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 1 AND toxic <> 1) AS fp, count(*) FILTER (quality <> 1 AND toxic = 1) AS fn, count(*) FILTER (quality <> 1 AND toxic <> 1) AS tn FROM labels JOIN documents USING (doc_id) GROUP BY 1")

@@ -21,7 +21,7 @@ def duck():
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else float(f"{value:.10g}")
+        return None if math.isnan(value) else float(f"{value:.10g}") + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     return value
