@@ -193,10 +193,63 @@ def _allocated(index: DataFrame, percent: int, hot: int) -> DataFrame:
     )
 
 
-def _may_link(a: str, b: str) -> Column:
-    """Row b of any kind and exact row a of one bucket: does one of them rely on it?"""
-    c = lambda side, name: F.col(f"{side}{name}")
-    return F.when(c(b, "kind") == 0, c(a, "use") | c(b, "use")).otherwise(c(a, "near") | c(b, "use"))
+def _may_link(center: str) -> Column:
+    """A row of any kind and an exact row (the columns with the prefix) of one bucket: does one of them rely on it?"""
+    use, near = F.col(f"{center}use"), F.col(f"{center}near")
+    return F.when(F.col("kind") == 0, use | F.col("use")).otherwise(near | F.col("use"))
+
+
+#: Rows of a bucket that meet at a time.
+BLOCK_ROWS = 1024
+
+
+def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes of different components that share a bucket and aren't ruled out by size or sketch.
+
+    ``rows(sig, cls, comp, kind, use, near, n_shingles, sketch)``.  A bucket's rows meet in memory, block by block:
+    a bucket of more than BLOCK_ROWS rows is cut into parts, and every two parts meet in a task of their own.  Only pairs
+    that may link are written.
+    """
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sig")) / BLOCK_ROWS).cast("int")
+    cut = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("sig", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cls", "comp", "kind", "use", "near", "n_shingles", "sketch")
+    dealt = cut.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
+
+    def meet(block: pd.DataFrame) -> np.ndarray:
+        cls, comp, kind, part = (block[c].to_numpy() for c in ("cls", "comp", "kind", "part"))
+        use, near, size = block["use"].to_numpy(dtype=bool), block["near"].to_numpy(dtype=bool), block["n_shingles"].to_numpy(dtype=np.int64)
+        exact = np.flatnonzero(kind == 0)
+        cells = np.frombuffer(b"".join(block["sketch"]), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16)
+        split = block["p"].iloc[0] != block["q"].iloc[0]
+        out = []
+        for i in exact:  # against all rows at once
+            js = (comp != comp[i]) & np.where(kind == 0, (cls > cls[i]) & (use | use[i]), use | near[i])
+            js &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+            if split:  # rows of the same part meet elsewhere
+                js &= part != part[i]
+            js = np.flatnonzero(js)
+            if len(js):
+                both = size[js] + size[i]
+                most = both - 2 * -(-percent * both // (100 + percent))
+                js = js[np.abs(cells[js] - cells[i]).sum(axis=1) <= most]
+                out.append(np.column_stack((np.minimum(cls[js], cls[i]), np.maximum(cls[js], cls[i]))))
+        return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat((rest, pdf), ignore_index=True)
+            key = pdf[["sig", "p", "q"]].to_numpy()
+            ends = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1  # the last block may go on in the next batch
+            found = [meet(pdf.iloc[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
+            rest = pdf.iloc[ends[-1] if len(ends) else 0 :]
+            if found:
+                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+        if rest is not None and len(rest):
+            yield pd.DataFrame(np.unique(meet(rest), axis=0), columns=["a", "b"])
+
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def _by_key(left: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
@@ -258,21 +311,19 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, perce
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for all nodes of ``links(a, b)``."""
     edges = materialize(_larger_first(links), "edges-0")
-    state = None
     for step in range(1, 100):
+        # all edges lead to a root if no edge's lesser end has a lesser neighbour itself
+        if edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and edges.groupBy("u").count().filter("count > 1").isEmpty():
+            break
         # large star: neighbours that are larger than a node go to the least of its neighbourhood
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = _larger_first(both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+        edges = _larger_first(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
         # small star: a node and its smaller neighbours go to the least of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         moved = edges.join(least, "u")
         edges = _larger_first(moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(moved.select(F.col("u").alias("a"), F.col("m").alias("b"))))
         edges = materialize(edges, f"edges-{step}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == now:
-            break
-        state = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -290,7 +341,7 @@ def join(docs: DataFrame, *, n: int = 4, percent: int = 85, hot: int = 16) -> Da
     # every class and the centres it shares buckets with; of these, one
     order = Window.partitionBy("sig").orderBy("kind", "cls")
     starred = shared.select("*", *[F.first(c).over(order).alias(f"c_{c}") for c in ("cls", "kind", "use", "near")])
-    starred = starred.filter((F.col("c_kind") == 0) & (F.col("c_cls") != F.col("cls"))).filter(_may_link("c_", ""))
+    starred = starred.filter((F.col("c_kind") == 0) & (F.col("c_cls") != F.col("cls"))).filter(_may_link("c_"))
     votes = starred.groupBy("cls", "c_cls").agg(F.count(F.lit(1)).alias("votes"))
     best = F.max_by("c_cls", F.struct("votes", -F.col("c_cls").cast("decimal(20,0)")))
     first = materialize(votes.groupBy("cls").agg(best.alias("b")).select(F.col("cls").alias("a"), "b"), "jaccard-first")
@@ -300,17 +351,16 @@ def join(docs: DataFrame, *, n: int = 4, percent: int = 85, hot: int = 16) -> Da
     labelled = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
     bucket = Window.partitionBy("sig")
     open_ = labelled.withColumn("open", F.min("comp").over(bucket) != F.max("comp").over(bucket)).filter("open").drop("open")
-    open_ = materialize(open_, "jaccard-open")
-    a = open_.filter("kind = 0").select("sig", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "use", "near")])
-    b = open_.select("sig", *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "kind", "use", "near")])
-    apart = (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_kind") == 1) | (F.col("a_cls") < F.col("b_cls"))) & _may_link("a_", "b_")
-    rest = a.join(b, "sig").filter(apart).select(F.least("a_cls", "b_cls").alias("a"), F.greatest("a_cls", "b_cls").alias("b")).distinct()
+    rest = _bucket_pairs(open_.join(owners.select("cls", "n_shingles", "sketch"), "cls"), percent)
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(known, ["a", "b"], "left_anti"), "jaccard-rest")
-    links = links.unionByName(verified(rest, docs, owners, n, percent))
-    found = components(links)
-    # a component's name is its least document, copies included
+    more = verified(rest, docs, owners, n, percent)
+    for side in ("a", "b"):  # links between components
+        more = more.join(found.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+    joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     named = owners.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = named.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
+    # a component's name is its least document, copies included
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     names = named.select("cls", "component").join(least, "component").select("cls", "component_id")
     out = rows.join(names, "cls", "left")
