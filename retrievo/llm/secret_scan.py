@@ -2,9 +2,10 @@ r"""Operator 10: secrets, also under layers of encoding.
 
 A worklist holds the layers of a text.  Each layer is scanned, then unwrapped: URL escapes and
 Unicode escapes give one decoded copy of the whole layer, each base64 run gives the text (or the
-zlib, gzip or bzip2 stream) inside it.  Layers seen before are not queued again, so the work ends at
-a fixpoint also for encodings that decode to themselves.  Every decoded character knows the span of
-the original that it came from; a secret found in a layer is reported at that span.
+zlib, gzip or bzip2 stream) inside it.  A layer seen before at the same place is not queued again, so
+the work ends at a fixpoint also for encodings that decode to themselves.  Every decoded character
+knows the span of the original that it came from; a secret found in a layer is reported at that span.
+What a base64 run holds has the run's span: it is found once and reported wherever the run stands.
 
 Defined cases: null text is empty text; repeated rows give repeated results; an empty table gives an
 empty result; other columns are ignored.  A compressed layer over ``MAX_LAYER`` bytes is a
@@ -87,6 +88,9 @@ def _percent(token: str) -> str:
     return bytes.fromhex(token.replace("%", "")).decode("utf-8", "replace")
 
 
+REWRITES = [("%", URL, _percent, "url"), ("\\", UNICODE, _escape, "unicode"), ("&#", UNICODE, _escape, "unicode")]
+
+
 def _inflated(data: bytes) -> bytes | None:
     try:
         if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
@@ -126,41 +130,63 @@ def _base64(token: str) -> str | None:
     return _readable(data)
 
 
+def _inside(token: str) -> list[tuple[int, str, str]]:
+    """(rank, layers below, secret) of what a base64 run holds, one for each kind: all of it has the run's place."""
+    out, seen, tokens, work = {}, set(), {token}, deque()
+
+    def queue(child, name):
+        if child and child not in seen:
+            seen.add(child)
+            work.append((child, name))
+
+    queue(_base64(token), "")
+    while work:
+        layer, name = work.popleft()
+        for _, _, k, secret in matches(layer):
+            out.setdefault(k, (k, name, secret))
+        for needle, pattern, decode, label in REWRITES:
+            if needle in layer:
+                queue(pattern.sub(lambda m, decode=decode: m[0] if (new := decode(m[0])) is None else new, layer), f"{name}/{label}")
+        for m in BASE64.finditer(layer):
+            if m[0] not in tokens:
+                tokens.add(m[0])
+                queue(_base64(m[0]), f"{name}/base64")
+    return list(out.values())
+
+
 def findings(text: str) -> list[tuple[int, int, int, str, str, str]]:
     """(start, rank, end, kind, layer, secret) in all layers; the base layer is named ''."""
     out = [(s, k, e, KINDS[k], "", secret) for s, e, k, secret in matches(text)]
     known = {(s, k, e) for s, k, e, *_ in out}
     whole = [(s, k, e) for s, k, e, *_ in out]
-    seen, work = {text}, deque([(text, None, None, "")])
+    held = {}  # base64 run -> what it holds, for every place where it stands
+    maps, work = {text: [(None, None)]}, deque([(text, None, None, "")])
 
-    def queue(child, lo, hi, name):
-        if child not in seen:
-            seen.add(child)
-            work.append((child, lo, hi, name))
+    def add(s, k, e, name, secret):
+        inside = any(k == k2 and s2 <= s and e <= e2 for s2, k2, e2 in whole)
+        if (s, k, e) not in known and not inside:
+            known.add((s, k, e))
+            out.append((s, k, e, KINDS[k], name, secret))
 
     while work:
         layer, lo, hi, name = work.popleft()
         if name:
             for s, e, k, secret in matches(layer):
-                span = (lo[s], k, hi[e - 1]) if isinstance(lo, list) else (lo, k, hi)
-                inside = any(k == k2 and s2 <= span[0] and span[2] <= e2 for s2, k2, e2 in whole)
-                if span not in known and not inside:
-                    known.add(span)
-                    out.append((*span, KINDS[k], name, secret))
-        for needle, pattern, decode, label in (("%", URL, _percent, "url"), ("\\", UNICODE, _escape, "unicode"), ("&#", UNICODE, _escape, "unicode")):
+                add(lo[s], k, hi[e - 1], name, secret)
+        for needle, pattern, decode, label in REWRITES:
             if needle in layer and (new := _rewritten(layer, pattern, decode)):
                 child, a, b = new
-                if lo is None:
-                    queue(child, a, b, f"{name}/{label}")
-                elif isinstance(lo, list):
-                    queue(child, [lo[i] for i in a], [hi[i - 1] for i in b], f"{name}/{label}")
-                else:
-                    queue(child, lo, hi, f"{name}/{label}")
+                if lo is not None:
+                    a, b = [lo[i] for i in a], [hi[i - 1] for i in b]
+                if (a, b) not in maps.setdefault(child, []):
+                    maps[child].append((a, b))
+                    work.append((child, a, b, f"{name}/{label}"))
         for m in BASE64.finditer(layer):
-            if child := _base64(m[0]):
-                s, e = m.span()
-                span = (s, e) if lo is None else (lo[s], hi[e - 1]) if isinstance(lo, list) else (lo, hi)
-                queue(child, *span, f"{name}/base64")
+            if m[0] not in held:
+                held[m[0]] = _inside(m[0])
+            s, e = m.span() if lo is None else (lo[m.start()], hi[m.end() - 1])
+            for k, below, secret in held[m[0]]:
+                add(s, k, e, f"{name}/base64{below}", secret)
     return sorted(out)
 
 

@@ -116,6 +116,18 @@ def test_layers_of_encoding():
     assert [x[:4:2] for x in secret_scan.findings(part)] == [(0, 25), (26, 49)]
 
 
+def test_an_encoded_secret_is_found_at_every_place(spark):
+    b64 = base64.b64encode(b"password=hunter2hunter2").decode()
+    alike = base64.b64encode(gzip.compress(b"password=hunter2hunter2")).decode()
+    nested = base64.b64encode(f"see {b64} and {b64}".encode()).decode()
+    percent = "%70assword=hunter2hunter2"
+    text = f"a: {b64}\nb: {alike}\nc: {b64}\nd: {nested}\ne: {percent}\nf: {percent}\ng: {nested} %41"
+    want = [m.span() for m in re.finditer("|".join(map(re.escape, (nested, alike, b64, percent))), text)]
+    assert len(want) == 7 and [(s, e) for s, _, e, *_ in secret_scan.findings(text)] == want
+    out = secret_scan.redact(frame(spark, [(1, text, "en", "a", len(text))])).first()["text"]
+    assert out == "a: [SECRET]\nb: [SECRET]\nc: [SECRET]\nd: [SECRET]\ne: [SECRET]\nf: [SECRET]\ng: [SECRET] %41"
+
+
 def test_fixpoint_of_self_similar_layers():
     assert secret_scan.findings("%2525252525252541" * 50) == []
 
