@@ -3,8 +3,11 @@
 The text's probability is a product over its subword ids and an end id.  An id's probability is that
 of its class, given by attention over the ids before it, times its share of the class:
 
-- the model (one head, one layer, a residual and a small feed-forward part) is trained by Adam on
-  windows of a bounded sample of training texts; ``sample_docs`` and ``sample_windows`` bound it;
+- classes are clusters of what stands before the ids in all training rows;
+- the model (one head, one layer, a residual and a small feed-forward part) is trained by Adam.
+  Windows of a bounded sample (``sample_docs``, ``windows``, ``steps``) only give the weights to start
+  from.  From there every block is trained on by itself, on all its training ids, each predicted
+  once; the result is the mean of the blocks' weights by their windows.  Steps grow with the input;
 - shares are counts of ids over all training rows, plus one.
 
 Scoring cuts each text into windows of ``WIDTH`` ids that overlap; every window is scored by batched
@@ -28,8 +31,8 @@ from __future__ import annotations
 import io
 import uuid
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -44,6 +47,7 @@ from retrievo.llm.words import word_hashes
 BLOCK_BYTES = 8 << 20
 WIDTH, STRIDE = 32, 24
 CLASSES, OWN, DIM, HIDDEN = 64, 2048, 16, 32
+BATCH, PASS_RATE = 64, 0.003
 VOCABULARY = 50_257
 END = VOCABULARY  # the id after a text
 END_WORD = np.int64(-1)  # stands for the end among the words' hashes
@@ -155,19 +159,31 @@ class Model:
     w: dict[str, np.ndarray]
 
 
-def cluster(windows: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A class for each id: k-means over what stands before it; rare ids are the last class."""
+def known_ids(counts: np.ndarray) -> np.ndarray:
+    """The frequent ids, that get a class of their own contexts."""
     known = np.argsort(-counts, kind="stable")[: 4 * OWN]
-    known = known[counts[known] > 0]
-    contexts = {int(t): i for i, t in enumerate(known[:255])}
+    return known[counts[known] > 0]
+
+
+def context_counts(left: np.ndarray, right: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How often each of the known ids stands after each of the first 255, or after another."""
     column = np.full(VOCABULARY + 2, 255)
-    column[list(contexts)] = list(contexts.values())
+    column[known[:255]] = np.arange(len(known[:255]))
     place = np.full(VOCABULARY + 2, -1)
     place[known] = np.arange(len(known))
-    left, right = windows[:, :-1].ravel(), windows[:, 1:].ravel()
     use = place[right] >= 0
-    table = np.zeros((len(known), 256))
-    np.add.at(table, (place[right[use]], column[left[use]]), 1)
+    return np.bincount(place[right[use]] * 256 + column[left[use]], minlength=256 * len(known)).reshape(-1, 256)
+
+
+def cluster(windows: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The classes of ids by the contexts in some windows."""
+    known = known_ids(counts)
+    return classes(context_counts(windows[:, :-1].ravel(), windows[:, 1:].ravel(), known), known, rng)
+
+
+def classes(table: np.ndarray, known: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A class for each id: k-means over what stands before it; rare ids are the last class."""
+    table = table.astype(np.float64)
     seen = table.sum(axis=1) >= 5
     cls = np.full(VOCABULARY + 1, CLASSES - 1)
     if seen.sum() > CLASSES:
@@ -264,13 +280,17 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, want: np.ndarray) ->
 
 
 def train(windows: np.ndarray, symbols: np.ndarray, target: np.ndarray, steps: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
-    """Adam over batches of 64 windows."""
+    """Adam over random batches of windows, from random weights."""
     shapes = {"e": (OWN + CLASSES + 1, DIM), "p": (WIDTH, DIM), "qkv": (DIM, 3 * DIM), "f1": (DIM, HIDDEN), "f2": (HIDDEN, DIM), "u": (DIM, CLASSES)}
     w = {k: rng.normal(0, 0.3 if k == "e" else 0.25, s).astype(np.float32) for k, s in shapes.items()} | {"b": np.zeros(CLASSES, np.float32)}
+    picks = (rng.integers(len(windows), size=BATCH) for _ in range(steps if len(windows) else 0))
+    return _adam(w, symbols, target, picks, steps, 0.01)
+
+
+def _adam(w: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray, picks: Iterable[np.ndarray], steps: int, top: float) -> dict[str, np.ndarray]:
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    for step in range(1, steps + 1 if len(windows) else 1):
-        pick = rng.integers(len(windows), size=64)
-        rate = 0.01 * min(1.0, step / 50) * (1 - 0.9 * step / steps)
+    for step, pick in enumerate(picks, 1):
+        rate = top * min(1.0, step / 50) * (1 - 0.9 * step / steps)
         for key, g in gradients(w, symbols[pick], target[pick]).items():
             m[key] = 0.9 * m[key] + 0.1 * g
             s[key] = 0.99 * s[key] + 0.01 * g * g
@@ -278,6 +298,25 @@ def train(windows: np.ndarray, symbols: np.ndarray, target: np.ndarray, steps: i
     return w
 
 
+def all_windows(model: Model, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and the classes wanted after them: windows in which every id and end of the texts is wanted once."""
+    flat, before, starts = sequence(ids, lengths)
+    counts = -(-(lengths + 1) // WIDTH)
+    doc = np.repeat(np.arange(len(lengths)), counts)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = (starts[doc] + nth * WIDTH)[:, None] + np.arange(WIDTH)
+    valid = place < starts[doc + 1][:, None]
+    np.minimum(place, starts[doc + 1][:, None] - 1, out=place)
+    return model.symbol[before[place]], np.where(valid, model.cls[flat[place]], -1)
+
+
+def pass_over(model: Model, symbols: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+    """The model's weights after one more pass over all the windows."""
+    order = np.random.default_rng(len(symbols)).permutation(len(symbols))
+    picks = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
+    return _adam({k: v.copy() for k, v in model.w.items()}, symbols, target, picks, len(picks), PASS_RATE)
+
+
 def sample_windows(docs: DataFrame, sample_docs: int, windows: int, ranks_path: str | None = None) -> np.ndarray:
     """Windows of WIDTH + 1 ids (start and end included; -1 pads) at random places of sampled training texts."""
     n = docs.count()
@@ -304,10 +343,77 @@ def sample_windows(docs: DataFrame, sample_docs: int, windows: int, ranks_path:
     return got[np.lexsort(got.T[::-1])]
 
 
-def fit(docs: DataFrame, counts: np.ndarray, *, sample_docs: int = 3_000, windows: int = 12, steps: int = 800, seed: int = 3, ranks_path: str | None = None) -> Model:
+def training_ids(folder: str, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block's training rows, one text after the other, and their lengths."""
+    b = _read(folder, name, {"held_out", "lengths", "ids"})
+    train = ~b["held_out"]
+    return b["ids"][np.repeat(train, b["lengths"])].astype(np.int64), b["lengths"][train]
+
+
+def _summed(listed: DataFrame, run: Callable[[Iterator[str]], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all blocks of what ``run`` makes of some of them: ``size`` whole numbers."""
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = run(name for pdf in batches for name in pdf["block"])
+        keys = np.flatnonzero(got)
+        yield pd.DataFrame({"i": keys.astype(np.int32), "n": got[keys]})
+
+    tasks = max(1, min(listed.count(), 4 * listed.sparkSession.sparkContext.defaultParallelism))
+    rows = listed.select("block").repartition(tasks).mapInPandas(part, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, dtype=np.int64)
+    out[rows["i"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def all_contexts(listed: DataFrame, folder: str, known: np.ndarray) -> np.ndarray:
+    """``context_counts`` of all training rows: a table of the vocabulary's size."""
+    def run(names: Iterator[str]) -> np.ndarray:
+        table = np.zeros((len(known), 256), dtype=np.int64)
+        for name in names:
+            flat, before, _ = sequence(*training_ids(folder, name))
+            table += context_counts(before, flat, known)
+        return table.ravel()
+
+    return _summed(listed, run, 256 * len(known)).reshape(-1, 256)
+
+
+def trained(listed: DataFrame, folder: str, start: Model) -> dict[str, np.ndarray]:
+    """The mean of the weights after a pass over each block's training rows, by windows; sums are exact in any order."""
+    shared = listed.sparkSession.sparkContext.broadcast(packed(start))
+    ends = np.cumsum([v.size for v in start.w.values()])
+
+    def run(names: Iterator[str]) -> np.ndarray:
+        model, total = unpacked(shared.value), np.zeros(ends[-1] + 1, dtype=np.int64)
+        for name in names:
+            symbols, target = all_windows(model, *training_ids(folder, name))
+            if len(symbols):
+                w = pass_over(model, symbols, target)
+                flat = np.concatenate([w[k].ravel() for k in model.w]).astype(np.float64)
+                total += np.append(np.rint(flat * (len(symbols) * 2.0**20)).astype(np.int64), len(symbols))
+        return total
+
+    total = _summed(listed, run, ends[-1] + 1)
+    if not total[-1]:
+        return start.w
+    parts = np.split(total[:-1] / (total[-1] * 2.0**20), ends[:-1])
+    return {k: part.reshape(v.shape).astype(np.float32) for (k, v), part in zip(start.w.items(), parts, strict=True)}
+
+
+def packed(model: Model) -> bytes:
+    sent = io.BytesIO()
+    np.savez(sent, symbol=model.symbol, cls=model.cls, share=model.share, **{f"w_{k}": v for k, v in model.w.items()})
+    return sent.getvalue()
+
+
+def unpacked(sent: bytes) -> Model:
+    with np.load(io.BytesIO(sent)) as f:
+        return Model(f["symbol"], f["cls"], f["share"], {k[2:]: f[k] for k in f.files if k.startswith("w_")})
+
+
+def fit(docs: DataFrame, listed: DataFrame, folder: str, counts: np.ndarray, *, sample_docs: int = 3_000, windows: int = 12, steps: int = 800, seed: int = 3, ranks_path: str | None = None) -> Model:
     rng = np.random.default_rng(seed)
     got = sample_windows(docs, sample_docs, windows, ranks_path)
-    cls = cluster(np.where(got < 0, END, got), counts, rng)
+    known = known_ids(counts)
+    cls = classes(all_contexts(listed, folder, known), known, rng)
     symbol = np.append(OWN + cls, OWN + CLASSES)  # the last is the start
     own = np.argsort(-counts, kind="stable")[:OWN]
     symbol[own] = np.arange(OWN)
@@ -316,7 +422,8 @@ def fit(docs: DataFrame, counts: np.ndarray, *, sample_docs: int = 3_000, window
     w = train(got, inputs, target, steps, rng)
     plus = counts + 1.0
     share = np.log10(plus / np.bincount(cls, weights=plus, minlength=CLASSES)[cls])
-    return Model(symbol.astype(np.int32), cls.astype(np.int16), share.astype(np.float64), w)
+    start = Model(symbol.astype(np.int32), cls.astype(np.int16), share.astype(np.float64), w)
+    return replace(start, w=trained(listed, folder, start))
 
 
 #: Ids scored at a time (a longer text by itself).
@@ -335,16 +442,22 @@ def text_scores(model: Model, ids: np.ndarray, lengths: np.ndarray, batch: int =
     return np.concatenate(out)
 
 
-def _scores(model: Model, ids: np.ndarray, lengths: np.ndarray, batch: int) -> np.ndarray:
-    total = lengths + 1  # with the end, what is predicted
-    starts = np.concatenate(([0], np.cumsum(total)))
+def sequence(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' ids with an end after each, the id (or start) before each of them, and where the texts start."""
+    starts = np.concatenate(([0], np.cumsum(lengths + 1)))
     flat = np.full(starts[-1], END, dtype=np.int64)
     inside = np.ones(starts[-1], dtype=bool)
     inside[starts[1:] - 1] = False
     flat[inside] = ids
-    before = np.full(starts[-1], END + 1, dtype=np.int64)  # the input at a position is the id before it
+    before = np.full(starts[-1], END + 1, dtype=np.int64)
     before[1:] = flat[:-1]
     before[starts[:-1]] = END + 1
+    return flat, before, starts
+
+
+def _scores(model: Model, ids: np.ndarray, lengths: np.ndarray, batch: int) -> np.ndarray:
+    total = lengths + 1  # with the end, what is predicted
+    flat, before, starts = sequence(ids, lengths)
     symbols, cls = model.symbol[before], model.cls[flat].astype(np.int64)
     scored = model.share[flat]
     # windows of a text begin at 0, STRIDE, ...; those after the first score what the one before didn't hold
@@ -378,10 +491,8 @@ def score(docs: DataFrame, *, ranks_path: str | None = None, **options) -> DataF
     spark = docs.sparkSession
     folder = fresh(spark, "lm-texts")
     listed = blocks(docs, folder, ranks_path)
-    model = fit(docs, id_counts(listed, folder), ranks_path=ranks_path, **options)
-    sent = io.BytesIO()
-    np.savez(sent, symbol=model.symbol, cls=model.cls, share=model.share, **{f"w_{k}": v for k, v in model.w.items()})
-    shared = spark.sparkContext.broadcast(sent.getvalue())  # of the vocabulary's size
+    model = fit(docs, listed, folder, id_counts(listed, folder), ranks_path=ranks_path, **options)
+    shared = spark.sparkContext.broadcast(packed(model))  # of the vocabulary's size
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -394,8 +505,7 @@ def score(docs: DataFrame, *, ranks_path: str | None = None, **options) -> DataF
     rows = rows.select("block", "key", F.sum("n").over(word).alias("c"), (F.min("block").over(word) == F.col("block")).alias("first"))
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
-        with np.load(io.BytesIO(shared.value)) as f:
-            model = Model(f["symbol"], f["cls"], f["share"], {k[2:]: f[k] for k in f.files if k.startswith("w_")})
+        model = unpacked(shared.value)
         b = _read(folder, pdf["block"].iloc[0], {"doc_id", "null_id", "held_out", "sizes", "words", "lengths", "ids"})
         pdf = pdf.sort_values("key")
         c = pdf["c"].to_numpy()
