@@ -1,15 +1,17 @@
 r"""Operator 10: secrets, also under layers of encoding.
 
-A worklist holds the layers of a text.  Each layer is scanned, then unwrapped: URL escapes and
-Unicode escapes give one decoded copy of the whole layer, each base64 run gives the text (or the
-zlib, gzip or bzip2 stream) inside it.  A layer seen before at the same place is not queued again, so
+A worklist holds the layers of a text.  Each layer is scanned, then unwrapped: URL escapes, Unicode
+escapes and the zeros of UTF-16 give one decoded copy of the whole layer, each base64 run (also of
+several lines) gives the bytes inside it, read as UTF-8 or else as Latin-1, and zlib, gzip and bzip2
+streams are looked for in the bytes that any decoder gives.  A layer seen before at the same place is not queued again, so
 the work ends at a fixpoint also for encodings that decode to themselves.  Every decoded character
 knows the span of the original that it came from; a secret found in a layer is reported at that span.
 What a base64 run holds has the run's span: it is found once and reported wherever the run stands.
 
 Defined cases: null text is empty text; repeated rows give repeated results; an empty table gives an
-empty result; other columns are ignored.  A compressed layer over ``MAX_LAYER`` bytes is a
-decompression bomb and is left closed.
+empty result; other columns are ignored.  A stream that inflates to more than ``MAX_LAYER`` bytes is
+read in pieces that overlap by ``OVERLAP``: an encoded run longer than that, or a stream in the
+stream, that lies across a border is read in two parts.  A broken stream counts up to the fault.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import re
 import zlib
 from collections import deque
@@ -38,7 +41,16 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MAX_LAYER = 64 << 20
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{1,15}+[ \t]*+(?:\r\n|\n|\r)[ \t]*+)?[A-Za-z0-9+/_-]{16,}+"
+    r"(?:[ \t]*+(?:\r\n|\n|\r)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}"
+)
+WIDE = re.compile(r"\0(?=[\x01-\x7f]\0)|(?<=\0[\x01-\x7f])\0")  # zeros beside ASCII in UTF-16
+SIMPLE = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\", "'": "'", '"': '"'}
+ESCAPED = re.compile(UNICODE.pattern + r"""|\\[0-7]{1,3}|\\[abfnrtv\\'"]""")
+HEADER = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY")
+MAX_LAYER, OVERLAP, CHUNK = 64 << 20, 1 << 20, 1 << 14
 
 FINDINGS = "array<struct<start:int,kind_rank:int,end:int,kind:string,layer:string,secret:string>>"
 
@@ -88,70 +100,158 @@ def _percent(token: str) -> str:
     return bytes.fromhex(token.replace("%", "")).decode("utf-8", "replace")
 
 
-REWRITES = [("%", URL, _percent, "url"), ("\\", UNICODE, _escape, "unicode"), ("&#", UNICODE, _escape, "unicode")]
+REWRITES = [
+    ("%", URL, _percent, "url"), ("\\", UNICODE, _escape, "unicode"), ("&#", UNICODE, _escape, "unicode"), ("\0", WIDE, lambda token: "", "utf16"),
+]
 
 
-def _inflated(data: bytes) -> bytes | None:
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
-            stream = zlib.decompressobj(47)
-            out = stream.decompress(data, MAX_LAYER)
-            return out if stream.eof else None
-        if data[:3] == b"BZh":
-            stream = bz2.BZ2Decompressor()
-            out = stream.decompress(data, MAX_LAYER)
-            return out if stream.eof else None
-    except (zlib.error, OSError, ValueError, EOFError):
-        pass
-    return None
+def _byte(token: str) -> str | None:
+    """An escape as one byte, where it is one."""
+    if token[0] == "%":
+        return chr(int(token[1:], 16))
+    if token[0] == "\\" and token[1] in SIMPLE:
+        return SIMPLE[token[1]]
+    code = int(token[1:], 8) if token[0] == "\\" and token[1].isdigit() else ord(_escape(token) or "￿")
+    return chr(code) if code < 256 else None
+
+
+#: Escapes byte by byte: compressed streams are looked for in what they give.
+VIEWS = [("%", re.compile("%[0-9A-Fa-f]{2}"), "url"), ("\\", ESCAPED, "unicode"), ("&#", ESCAPED, "unicode")]
 
 
-def _readable(data: bytes) -> str | None:
+def _stream(data: bytes, at: int) -> Iterator[tuple[bytes, int, bool]]:
+    """What the stream at a place gives, in parts, each with the place read up to and whether it is the end.
+
+    A broken stream gives what comes out before the fault."""
+    bzip = data[at : at + 3] == b"BZh"
+    z = bz2.BZ2Decompressor() if bzip else zlib.decompressobj(47)
+    try:
+        while not z.eof:
+            need = not bzip or z.needs_input
+            feed = data[at : at + CHUNK] if need else b""
+            if need and not feed:
+                return
+            at += len(feed)
+            if bzip:
+                out = z.decompress(feed, MAX_LAYER)
+            else:
+                before = z.copy()
+                try:
+                    out = z.decompress(feed)
+                except zlib.error:
+                    for i in range(len(feed)):
+                        yield before.decompress(feed[i : i + 1]), at - len(feed) + i + 1, False
+                    return
+            yield out, at - len(z.unused_data), z.eof
+    except (zlib.error, OSError, ValueError, EOFError):
+        return
+
+
+def _streams(data: bytes) -> Iterator[tuple[int, int]]:
+    """Start and end of the compressed streams in some bytes."""
+    at = 0
+    while m := HEADER.search(data, at):
+        got, end, whole = False, m.end(), False
+        for out, end, whole in _stream(data, m.start()):  # noqa: B007
+            got = got or bool(out)
+        if got:
+            yield m.start(), end
+        at = end if whole else m.start() + 1
+
+
+def _pieces(data: bytes, at: int) -> Iterator[bytes]:
+    """The content of a stream; a large one in pieces that overlap."""
+    held, first = bytearray(), True
+    for out, *_ in _stream(data, at):
+        held += out
+        if len(held) >= MAX_LAYER:
+            yield bytes(held)
+            del held[:-OVERLAP]
+            first = False
+    if len(held) > (0 if first else OVERLAP):
+        yield bytes(held)
+
+
+def _text(data: bytes) -> str:
     try:
-        text = data.decode("utf-8")
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.9 * len(text) else None
+        return data.decode("latin-1")
 
 
-def _base64(token: str) -> str | None:
-    """The text inside a base64 run, through any compressed layers."""
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+def _base64(token: str) -> bytes:
+    """The bytes inside a base64 run, also of several lines."""
+    body = re.sub(r"[\s=]+", "", token).replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
-        return None
-    seen = set()
-    while (inner := _inflated(data)) is not None and inner not in seen:
-        seen.add(inner)
-        data = inner
-    return _readable(data)
-
-
-def _inside(token: str) -> list[tuple[int, str, str]]:
-    """(rank, layers below, secret) of what a base64 run holds, one for each kind: all of it has the run's place."""
-    out, seen, tokens, work = {}, set(), {token}, deque()
+        return b""
+
+
+def _runs(layer: str) -> list[tuple[int, int]]:
+    """Start and end of base64 runs, the short ones first: lines by themselves, and lines of one length as one
+    run, with and without the lines of another length before and after them."""
+    out = {m.span() for m in BASE64.finditer(layer)}
+    for m in WRAPPED.finditer(layer) if "\n" in layer or "\r" in layer else ():
+        lines = [x.span() for x in LINE.finditer(layer, *m.span())]
+        lines[-1] = (lines[-1][0], m.end())
+        sizes = [len(layer[a:b].rstrip("=")) for a, b in lines]
+        out.add((m.start(), m.end()))
+        i = 0
+        while i < len(lines):
+            j = i
+            while j + 1 < len(lines) and sizes[j + 1] == sizes[i]:
+                j += 1
+            out |= {(lines[a][0], lines[b][1]) for a in {max(i - 1, 0), i} for b in {j, min(j + 1, len(lines) - 1)} if a < b}
+            i = j + 1
+    return sorted(out, key=lambda x: (x[1] - x[0], x))
+
+
+def _inside(name: str, pieces: Iterator[bytes]) -> list[tuple[int, str, str]]:
+    """(rank, layers, secret) of what some bytes hold, one for each kind: all of it has the bytes' place."""
+    out, seen, tokens, stack = {}, set(), set(), [((name, piece) for piece in pieces)]
+
+    def opened(runs, streams):
+        for name, token in runs:
+            yield f"{name}/base64", _base64(token)
+        for name, data in streams:
+            for start, _ in _streams(data):
+                for piece in _pieces(data, start):
+                    yield f"{name}/stream", piece
+
+    while stack:
+        if (item := next(stack[-1], None)) is None:
+            stack.pop()
+            continue
+        text = _text(item[1])
+        work, runs, streams = deque([(item[0], text)]), [], []
+        while work:
+            name, layer = work.popleft()
+            mark = hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if mark in seen:
+                continue
+            seen.add(mark)
+            if layer is text:
+                streams.append(item)
+            for _, _, k, secret in matches(layer):
+                out.setdefault(k, (k, name, secret))
+            for needle, pattern, decode, label in REWRITES:
+                if needle in layer and (child := _replaced(layer, pattern, decode)) != layer:
+                    work.append((f"{name}/{label}", child))
+            for needle, pattern, label in VIEWS:
+                if needle in layer and (view := _replaced(layer, pattern, _byte)) != layer:
+                    streams.append((f"{name}/{label}", view.encode("latin-1", "replace")))
+            for s, e in _runs(layer):
+                if (token := layer[s:e]) not in tokens:
+                    tokens.add(token)
+                    runs.append((name, token))
+        stack.append(opened(runs, streams))
+    return list(out.values())
 
-    def queue(child, name):
-        if child and child not in seen:
-            seen.add(child)
-            work.append((child, name))
 
-    queue(_base64(token), "")
-    while work:
-        layer, name = work.popleft()
-        for _, _, k, secret in matches(layer):
-            out.setdefault(k, (k, name, secret))
-        for needle, pattern, decode, label in REWRITES:
-            if needle in layer:
-                queue(pattern.sub(lambda m, decode=decode: m[0] if (new := decode(m[0])) is None else new, layer), f"{name}/{label}")
-        for m in BASE64.finditer(layer):
-            if m[0] not in tokens:
-                tokens.add(m[0])
-                queue(_base64(m[0]), f"{name}/base64")
-    return list(out.values())
+def _replaced(text: str, pattern: re.Pattern, decode) -> str:
+    return pattern.sub(lambda m: m[0] if (new := decode(m[0])) is None else new, text)
 
 
 def findings(text: str) -> list[tuple[int, int, int, str, str, str]]:
@@ -181,12 +281,24 @@ def findings(text: str) -> list[tuple[int, int, int, str, str, str]]:
                 if (a, b) not in maps.setdefault(child, []):
                     maps[child].append((a, b))
                     work.append((child, a, b, f"{name}/{label}"))
-        for m in BASE64.finditer(layer):
-            if m[0] not in held:
-                held[m[0]] = _inside(m[0])
-            s, e = m.span() if lo is None else (lo[m.start()], hi[m.end() - 1])
-            for k, below, secret in held[m[0]]:
-                add(s, k, e, f"{name}/base64{below}", secret)
+        for needle, pattern, label in VIEWS:
+            if needle in layer and (new := _rewritten(layer, pattern, _byte)):
+                view, a, b = new
+                data = view.encode("latin-1", "replace")
+                for s, e in _streams(data):
+                    span = (a[s], b[e - 1]) if lo is None else (lo[a[s]], hi[b[e - 1] - 1])
+                    for k, below, secret in _inside("/stream", _pieces(data, s)):
+                        add(span[0], k, span[1], f"{name}/{label}{below}", secret)
+        told = []
+        for s, e in _runs(layer):
+            token = layer[s:e]
+            if token not in held:
+                held[token] = _inside("", iter([_base64(token)]))
+            for k, below, secret in held[token]:
+                # lines joined to a run say nothing new of what one of them holds
+                if not any((k, secret) == x[:2] and s <= x[2] and x[3] <= e for x in told):
+                    add(s if lo is None else lo[s], k, e if lo is None else hi[e - 1], f"{name}/base64{below}", secret)
+                    told.append((k, secret, s, e))
     return sorted(out)
 
 

@@ -1,6 +1,7 @@
 """Operators 4, 9 and 10 against plain Python."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import re
@@ -128,6 +129,46 @@ def test_an_encoded_secret_is_found_at_every_place(spark):
     assert out == "a: [SECRET]\nb: [SECRET]\nc: [SECRET]\nd: [SECRET]\ne: [SECRET]\nf: [SECRET]\ng: [SECRET] %41"
 
 
+SECRET = b"some lines before password=hunter2hunter2 and some after it"
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress])
+def test_streams_under_escapes_are_opened(pack):
+    data = pack(SECRET)
+    forms = ["".join(f"%{b:02x}" for b in data), urllib.parse.quote(data), "".join(f"\\x{b:02x}" for b in data), repr(data)[2:-1]]
+    blob = base64.b64encode(b"\x00\xff\x07 blob " + data + b"\xfe\xff").decode()
+    for token in (*forms, blob):
+        text = f"before it {token} and after"
+        assert [text[x[0] : x[2]] for x in secret_scan.findings(text)] == [token]
+    if pack is not bz2.compress:  # which gives nothing of a block that is cut
+        assert [x[3] for x in secret_scan.findings(base64.b64encode(data[:-9]).decode())] == ["assign"]
+
+
+def test_wrapped_base64():
+    for data in (SECRET * 2, gzip.compress(SECRET + bytes(range(256)))):
+        for width, end in ((20, "\n"), (64, "\r\n"), (76, "\n  ")):
+            b64 = base64.b64encode(data).decode()
+            lines = end.join(b64[i : i + width] for i in range(0, len(b64), width))
+            for text in (f"-----BEGIN-----\n{lines}\n-----END-----", f"here:{end}{lines}{end}The rest of it", lines):
+                assert "hunter2hunter2" in {x[5] for x in secret_scan.findings(text)}, text
+    assert secret_scan.findings("a_rather_long_word_in_prose\nand_another_long_word_there\nand short") == []
+
+
+def test_layers_that_are_not_utf8_are_read():
+    for data in (SECRET.decode().encode("utf-16"), SECRET.decode().encode("utf-16-be"), b"\xff\xfe\x81" * 40 + SECRET + b"\x00\x80", "é ü".encode("latin-1") + SECRET):
+        for token in (base64.b64encode(data).decode(), "".join(f"%{b:02X}" for b in data)):
+            assert [x[3] for x in secret_scan.findings(f"x {token} y")] == ["assign"], data
+
+
+def test_large_streams_are_read_in_pieces(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_LAYER", 1 << 16)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+    for pack in (gzip.compress, zlib.compress, bz2.compress):
+        for at in (0, 65_500, 65_536 - 30, 300_000):
+            token = base64.b64encode(pack(b" " * at + SECRET + b" " * 200_000)).decode()
+            assert [x[:3] for x in secret_scan.findings(f"x {token} y")] == [(2, 0, 2 + len(token))]
+
+
 def test_fixpoint_of_self_similar_layers():
     assert secret_scan.findings("%2525252525252541" * 50) == []
 
