@@ -13,22 +13,29 @@ Costs decide which segments a set relies on: signatures shared by more than ``ho
 the most frequent first, as long as the remaining segments, with segment 0 counted twice through its
 neighbourhood, still make H + 1.  Frequencies are exact and cover all rows.
 
-A bucket of a signature is never expanded into its pairs while that can be avoided.  First every
-class is verified against one centre, the least class of a bucket it shares most often; links join
-classes to components, of which large groups of copies become one.  Only pairs of a bucket in
-different components are left, and all of these are verified.  Verification rules out pairs whose
-sizes or sketches differ too much for a link, then compares the sets of the texts themselves.  So no
-link between different components is lost, and the result is exact.
+A bucket of a signature is never expanded into its pairs.  First every class is verified against one
+centre, the least class of a bucket it shares most often; links join classes to components, of which
+large groups of copies become one.  Then every class is verified against the nearest class of
+another component in its buckets, by parity sketches.  What is left, pairs of a bucket in different
+components that size and sketch don't rule out, is verified whole.  So each round writes at most
+one pair for each row but the last, which writes pairs close to the threshold only, no link between
+different components is lost, and the result is exact.  A parity sketch has a bit for each cell of
+the hashed universe; sets differ by at least as many elements as their sketches by bits.
+
+A bucket of more than ``BLOCK_ROWS`` rows is cut into parts.  Rows of its most common component are in
+one part each, only the others meet all parts.
 
 Components are found by alternating large-star and small-star steps over tables of links.
 
 Defined cases: null or blank text has an empty set, linked with nothing; fewer words than n make one
-n-gram of all words; repeated rows are copies; rows without doc_id take part, and a component of
-such rows only has a null id; an empty table gives an empty result; other columns are ignored.
+n-gram of all words; repeated rows are copies; rows without doc_id take part and link others, and a
+component of such rows only has a null id; of rows that share a doc_id each has its own set; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +50,9 @@ from retrievo.llm.words import U, gram_sets, mixed
 #: Rows of a lookup table (some 50 bytes each) that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
+#: Bits of a sketch in the rows of buckets; pairs of larger sets are also compared by finer sketches.
+MOST_BITS = 2048
+
 
 def class_of(grams: np.ndarray) -> int | None:
     """A signed 64-bit name of a set; equal sets, equal names."""
@@ -77,6 +87,11 @@ class Bands:
     def segments(self, band: int) -> int:
         return self.bound(band) + 1 + self.spare(band)
 
+    def bits(self, band: int) -> int:
+        """Of the sketch that travels with the rows of a bucket: one to two an element, up to MOST_BITS."""
+        self.bound(band)
+        return min(max(64, 1 << (self.lows[band + 1] - 2).bit_length()), MOST_BITS)
+
 
 def signatures(grams: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, places): a place is band, segment and 1 for a one-deletion neighbour, packed."""
@@ -105,41 +120,46 @@ def signatures(grams: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(sigs).view(np.int64), np.concatenate(places).view(np.int64)
 
 
-CELLS = 64
+def parities(grams: np.ndarray, bits: int) -> bytes:
+    """A bit for each of ``bits`` cells (a power of two, 64 at least): is the number of elements in it odd?"""
+    cells = np.bincount((mixed(grams) & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & np.uint8(1)
+    return np.packbits(cells, bitorder="little").tobytes()
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """Elements by hash in 64 cells, up to 255: two sets differ by at least the sum of the cells' differences."""
-    return np.minimum(np.bincount((mixed(grams) >> U(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+def fine_parities(grams: np.ndarray) -> bytes:
+    """The same with four to eight bits an element."""
+    return parities(grams, max(64, 1 << (4 * len(grams)).bit_length()))
 
 
-def fine_sketch(grams: np.ndarray) -> bytes:
-    """The same with about a cell for each element, up to 15, two cells to a byte."""
-    bits = max(6, len(grams).bit_length() - 1)
-    cells = np.minimum(np.bincount((mixed(grams) >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
-    return (cells[0::2] | cells[1::2] << 4).tobytes()
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """The sketches of half as many cells."""
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
 
 
 def least_difference(a: bytes, b: bytes) -> int:
-    """What two sets differ by at least, from their fine sketches; the finer is folded to the other's cells."""
-    x, y = ((np.frombuffer(s, dtype=np.uint8)[:, None] >> np.array([0, 4], dtype=np.uint8) & 15).ravel().astype(np.int32) for s in (a, b))
-    if len(x) != len(y):
-        x, y = (x, y) if len(x) > len(y) else (y, x)
-        x = np.minimum(x.reshape(len(y), -1).sum(axis=1), 15)
-    return int(np.abs(x - y).sum())
+    """What two sets differ by at least; the finer sketch is folded to the other's cells."""
+    x, y = np.frombuffer(a, dtype=U), np.frombuffer(b, dtype=U)
+    while len(x) > len(y):
+        x = folded(x)
+    while len(y) > len(x):
+        y = folded(y)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, cls, n_shingles and the sketches of every row."""
+def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, text_key, cls, n_shingles and the sketches of every row; doc_id and text_key tell texts apart."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bands = Bands(percent)
         for pdf in batches:
             grams = gram_sets(pdf["text"].tolist(), n)
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "cls": pd.array([class_of(g) for g in grams], dtype="Int64"), "n_shingles": [len(g) for g in grams],
-                "sketch": [sketch(g) for g in grams], "fine": [fine_sketch(g) for g in grams],
+                "doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "cls": pd.array([class_of(g) for g in grams], dtype="Int64"), "n_shingles": [len(g) for g in grams],
+                "sketch": [parities(g, bands.bits(bands.band(max(1, len(g))))) for g in grams], "fine": [fine_parities(g) for g in grams],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, cls long, n_shingles long, sketch binary, fine binary")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInPandas(run, "doc_id long, text_key long, cls long, n_shingles long, sketch binary, fine binary")
 
 
 def _index(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -201,55 +221,174 @@ def _may_link(center: str) -> Column:
 
 #: Rows of a bucket that meet at a time.
 BLOCK_ROWS = 1024
+#: Rows of a bucket up to which all buckets of a batch are compared at once.
+SMALL_ROWS = 48
+
+
+class Block:
+    """Rows in the order of their buckets; what pairs of them may link."""
+
+    COLUMNS = ("cls", "comp", "kind", "use", "near", "n_shingles")
+
+    def __init__(self, pdf: pd.DataFrame, percent: int):
+        self.cls, self.comp, self.kind, use, near, size = (pdf[c].to_numpy() for c in self.COLUMNS)
+        self.use, self.near, self.size, self.percent = use.astype(bool), near.astype(bool), size.astype(np.int64), percent
+        self.words = np.array([len(x) // 8 for x in pdf["sketch"]], dtype=np.int64)
+        self.cells = np.zeros((len(pdf), max(self.words, default=1)), dtype=U)
+        for w in np.unique(self.words):
+            at = np.flatnonzero(self.words == w)
+            self.cells[at, :w] = np.frombuffer(b"".join(pdf["sketch"].iloc[at]), dtype=U).reshape(-1, w)
+
+    def at(self, i: np.ndarray, words: int) -> np.ndarray:
+        """The sketches of some rows, folded to so many words."""
+        wide = i[self.words[i] > words]
+        out = self.cells[i, :words] if self.cells.shape[1] >= words else np.zeros((len(i), words), dtype=U)
+        if len(wide):
+            x = self.cells[wide, : 2 * words]
+            out[self.words[i] > words] = folded(x)
+        return out
+
+    def links(self, i: np.ndarray, other: Block, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the pairs of rows i and rows j of ``other`` that may link, and the least they differ by.
+
+        Widths of two sets that may link differ by one doubling at most.
+        """
+        exact_i, exact_j = self.kind[i] == 0, other.kind[j] == 0
+        use_i, use_j = self.use[i], other.use[j]
+        keep = (exact_i & exact_j & (use_i | use_j)) | (exact_i & ~exact_j & (use_j | self.near[i])) | (~exact_i & exact_j & (use_i | other.near[j]))
+        x, y = self.size[i], other.size[j]
+        keep &= (self.comp[i] != other.comp[j]) & (100 * np.minimum(x, y) >= self.percent * np.maximum(x, y))
+        i, j = i[keep], j[keep]
+        both = self.size[i] + other.size[j]
+        most = both - 2 * -(-self.percent * both // (100 + self.percent))
+        least, width = np.zeros(len(i), dtype=np.int64), np.minimum(self.words[i], other.words[j])
+        for w in np.unique(width):
+            at = np.flatnonzero(width == w)
+            for k in range(0, len(at), 1 << 15):
+                part = at[k : k + (1 << 15)]
+                least[part] = np.bitwise_count(self.at(i[part], w) ^ other.at(j[part], w)).sum(axis=1)
+        keep = least <= most
+        return i[keep], j[keep], least[keep]
+
+
+def _met(rows: Iterator[pd.DataFrame], percent: int) -> Iterator[tuple[Block, np.ndarray, Block, np.ndarray, np.ndarray]]:
+    """Pairs that may link, as (block, rows, block, rows, least difference), of rows sorted by sig, part and guest.
+
+    The rows of a part are its own first, at most about BLOCK_ROWS, which are held; its guests pass by.
+    """
+    held: list[pd.DataFrame] = []
+    held_key, own = None, None  # of the part that the last batch ended in
+
+    def among(block: Block, first: int, last: int):
+        """Pairs inside a large part: each row outside its most common component against all."""
+        labels, counts = np.unique(block.comp[first:last], return_counts=True)
+        outside = np.flatnonzero(block.comp[first:last] != labels[counts.argmax()]) + first
+        every = np.arange(first, last)
+        for k in range(0, len(outside), 64):
+            some = outside[k : k + 64]
+            i, j = np.repeat(some, len(every)), np.tile(every, len(some))
+            yield block, *_in_order(block.links(i, block, j), block)
+
+    def _in_order(found, block):
+        i, j, least = found
+        return i, block, j, least
+
+    def against(guests: Block):
+        every = np.arange(len(own.cls))
+        for k in range(0, len(guests.cls), 64):
+            some = np.arange(k, min(k + 64, len(guests.cls)))
+            i, j, least = guests.links(np.repeat(some, len(every)), own, np.tile(every, len(some)))
+            yield guests, i, own, j, least
+
+    def parts(pdf: pd.DataFrame):
+        """All pairs of the own rows of whole parts."""
+        block = Block(pdf, percent)
+        key = pdf[["sig", "part"]].to_numpy()
+        edges = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(pdf)]))
+        lengths = np.diff(edges)
+        small = np.repeat(lengths <= SMALL_ROWS, lengths)
+        left = np.repeat(edges[1:], lengths) - np.arange(len(pdf))  # rows to the end of the part, itself included
+        for step in range(1, min(SMALL_ROWS, lengths.max(initial=0))):
+            i = np.flatnonzero(small & (left > step))
+            if len(i):
+                yield block, *_in_order(block.links(i, block, i + step), block)
+        for k in np.flatnonzero(lengths > SMALL_ROWS):
+            yield from among(block, edges[k], edges[k + 1])
+
+    for pdf in rows:
+        at = 0
+        guest, key = pdf["guest"].to_numpy(), pdf[["sig", "part"]].to_numpy()
+        # runs of own rows and of guests
+        same = (guest[1:] == guest[:-1]) & (~guest[1:] | (key[1:] == key[:-1]).all(axis=1))
+        for end in [*(np.flatnonzero(~same) + 1), len(pdf)]:
+            run, at = pdf.iloc[at:end], end
+            if not len(run):
+                continue
+            if run["guest"].iloc[0]:
+                if held:  # the guests' part is the last of those held
+                    whole = pd.concat(held, ignore_index=True)
+                    held = []
+                    yield from parts(whole)
+                    k = whole[["sig", "part"]].to_numpy()
+                    held_key = tuple(k[-1])
+                    own = Block(whole[(k == k[-1]).all(axis=1)], percent)
+                if held_key == tuple(run[["sig", "part"]].to_numpy()[0]):  # else the part has no rows of its own
+                    yield from against(Block(run, percent))
+                continue
+            held.append(run)
+        if held:  # all parts but the last are whole
+            whole = pd.concat(held, ignore_index=True)
+            k = whole[["sig", "part"]].to_numpy()
+            last = (k == k[-1]).all(axis=1)
+            held = [whole[last]]
+            if not last.all():
+                yield from parts(whole[~last])
+    if held:
+        yield from parts(pd.concat(held, ignore_index=True))
+
+
+def _open_rows(shared: DataFrame, found: DataFrame, owners: DataFrame) -> DataFrame:
+    """Rows of buckets with several components, dealt by bucket and part; guests are copies of rows of other parts."""
+    labelled = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    labelled = materialize(labelled, "jaccard-labelled")
+    buckets = labelled.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    buckets = materialize(buckets.filter("least <> most").select("sig", "rows"), "jaccard-open")
+    small = labelled.join(buckets.filter(F.col("rows") <= BLOCK_ROWS), "sig").withColumn("part", F.lit(0)).withColumn("guest", F.lit(False))
+    large = _by_key(labelled, buckets.filter(F.col("rows") > BLOCK_ROWS), "sig")
+    common = large.groupBy("sig", "comp").count().groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("common"))
+    parts = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    large = _by_key(large, common, "sig").withColumn("home", F.pmod(F.xxhash64("cls"), parts).cast("int"))
+    to = F.when(F.col("comp") == F.col("common"), F.array("home")).otherwise(F.sequence(F.lit(0), parts - 1))
+    large = large.withColumn("part", F.explode(to)).withColumn("guest", F.col("part") != F.col("home")).drop("common", "home")
+    rows = small.unionByName(large).drop("rows").join(owners.select("cls", "n_shingles", "sketch"), "cls")
+    return rows.repartition("sig", "part").sortWithinPartitions("sig", "part", "guest")
+
+
+def _nearest(rows: DataFrame, percent: int) -> DataFrame:
+    """For each class the class of another component that differs least by sketch: pairs (a, b), one a class at most."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for first, i, second, j, least in _met(batches, percent):
+            x, y = first.cls[i], second.cls[j]
+            x, y, least = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((least, least))
+            order = np.lexsort((y, least, x))
+            x, y, least = x[order], y[order], least[order]
+            new = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=bool)
+            if new.any():
+                yield pd.DataFrame({"x": x[new], "y": y[new], "least": least[new]})
 
+    best = rows.mapInPandas(run, "x long, y long, least long").groupBy("x").agg(F.min(F.struct("least", "y")).alias("to"))
+    return best.select(F.least("x", "to.y").alias("a"), F.greatest("x", "to.y").alias("b")).distinct()
 
-def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of classes of different components that share a bucket and aren't ruled out by size or sketch.
-
-    ``rows(sig, cls, comp, kind, use, near, n_shingles, sketch)``.  A bucket's rows meet in memory, block by block:
-    a bucket of more than BLOCK_ROWS rows is cut into parts, and every two parts meet in a task of their own.  Only pairs
-    that may link are written.
-    """
-    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sig")) / BLOCK_ROWS).cast("int")
-    cut = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select("sig", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cls", "comp", "kind", "use", "near", "n_shingles", "sketch")
-    dealt = cut.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
-
-    def meet(block: pd.DataFrame) -> np.ndarray:
-        cls, comp, kind, part = (block[c].to_numpy() for c in ("cls", "comp", "kind", "part"))
-        use, near, size = block["use"].to_numpy(dtype=bool), block["near"].to_numpy(dtype=bool), block["n_shingles"].to_numpy(dtype=np.int64)
-        exact = np.flatnonzero(kind == 0)
-        cells = np.frombuffer(b"".join(block["sketch"]), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16)
-        split = block["p"].iloc[0] != block["q"].iloc[0]
-        out = []
-        for i in exact:  # against all rows at once
-            js = (comp != comp[i]) & np.where(kind == 0, (cls > cls[i]) & (use | use[i]), use | near[i])
-            js &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
-            if split:  # rows of the same part meet elsewhere
-                js &= part != part[i]
-            js = np.flatnonzero(js)
-            if len(js):
-                both = size[js] + size[i]
-                most = both - 2 * -(-percent * both // (100 + percent))
-                js = js[np.abs(cells[js] - cells[i]).sum(axis=1) <= most]
-                out.append(np.column_stack((np.minimum(cls[js], cls[i]), np.maximum(cls[js], cls[i]))))
-        return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
 
+def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of classes of different components that share a bucket and aren't ruled out by size or sketch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat((rest, pdf), ignore_index=True)
-            key = pdf[["sig", "p", "q"]].to_numpy()
-            ends = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1  # the last block may go on in the next batch
-            found = [meet(pdf.iloc[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
-            rest = pdf.iloc[ends[-1] if len(ends) else 0 :]
-            if found:
-                yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
-        if rest is not None and len(rest):
-            yield pd.DataFrame(np.unique(meet(rest), axis=0), columns=["a", "b"])
+        for first, i, second, j, _ in _met(batches, percent):
+            if len(i):
+                x, y = first.cls[i], second.cls[j]
+                yield pd.DataFrame(np.unique(np.column_stack((np.minimum(x, y), np.maximum(x, y))), axis=0), columns=["a", "b"])
 
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    return rows.mapInPandas(run, "a long, b long").distinct()
 
 
 def _by_key(left: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
@@ -258,44 +397,35 @@ def _by_key(left: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
-    """Pairs that sizes and sketches don't rule out; none that links is lost."""
-    def most(pdf: pd.DataFrame) -> np.ndarray:
-        both = pdf["x"].to_numpy(dtype=np.int64) + pdf["y"].to_numpy(dtype=np.int64)
-        return both - 2 * -(-percent * both // (100 + percent))
-
-    def coarse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cells = [np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("sx", "sy")]
-            yield pdf.loc[np.abs(cells[0] - cells[1]).sum(axis=1) <= most(pdf), ["a", "b"]]
-
+    """Pairs that sizes and fine sketches don't rule out; none that links is lost."""
     def fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            least = [least_difference(x, y) for x, y in zip(pdf["sx"], pdf["sy"], strict=True)]
-            yield pdf.loc[np.array(least, dtype=np.int64) <= most(pdf), ["a", "b"]]
-
-    def with_sketches(pairs: DataFrame, name: str) -> DataFrame:
-        for key, size, cells in (("a", "x", "sx"), ("b", "y", "sy")):
-            pairs = pairs.join(owners.select(F.col("cls").alias(key), F.col("n_shingles").alias(size), F.col(name).alias(cells)), key)
-        return pairs.filter(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).select("a", "b", "x", "y", "sx", "sy")
+            both = pdf["x"].to_numpy(dtype=np.int64) + pdf["y"].to_numpy(dtype=np.int64)
+            least = np.array([least_difference(x, y) for x, y in zip(pdf["sx"], pdf["sy"], strict=True)], dtype=np.int64)
+            yield pdf.loc[least <= both - 2 * -(-percent * both // (100 + percent)), ["a", "b"]]
 
-    left = materialize(with_sketches(pairs, "sketch").mapInPandas(coarse, "a long, b long"), "jaccard-coarse")
-    return with_sketches(left, "fine").mapInPandas(fine, "a long, b long")
+    for key, size, cells in (("a", "x", "sx"), ("b", "y", "sy")):
+        pairs = pairs.join(owners.select(F.col("cls").alias(key), F.col("n_shingles").alias(size), F.col("fine").alias(cells)), key)
+    near = pairs.filter(100 * F.least("x", "y") >= percent * F.greatest("x", "y"))
+    return near.select("a", "b", "x", "y", "sx", "sy").mapInPandas(fine, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` of classes whose sets have the wanted similarity."""
     pairs = materialize(_possible(pairs, owners, percent), "jaccard-possible")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(owners.select("cls", "doc_id"), "cls")
-    wanted = materialize(wanted.select("doc_id", "cls"), "jaccard-wanted")
-    texts = _by_key(docs.select("doc_id", "text"), wanted, "doc_id")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(owners.select("cls", "doc_id", "text_key"), "cls")
+    wanted = materialize(wanted.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "cls"), "jaccard-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select("doc_id", "text").join(wanted, (F.xxhash64("text") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    texts = texts.select("cls", "text").dropDuplicates(["cls"])  # rows may repeat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             last, number, of = {}, [], []  # a centre's text is hashed once a batch
-            for key in zip(pdf["b"], pdf["y"], strict=True):
+            for key, text in zip(pdf["b"], pdf["y"], strict=True):
                 if key not in last:
                     last[key] = len(of)
-                    of.append(key[1])
+                    of.append(text)
                 number.append(last[key])
             lefts, rights, keep = gram_sets(pdf["x"].tolist(), n), gram_sets(of, n), []
             for left, i in zip(lefts, number, strict=True):
@@ -311,7 +441,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, perce
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for all nodes of ``links(a, b)``."""
     edges = materialize(_larger_first(links), "edges-0")
-    for step in range(1, 100):
+    for step in itertools.count(1):
         # all edges lead to a root if no edge's lesser end has a lesser neighbour itself
         if edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and edges.groupBy("u").count().filter("count > 1").isEmpty():
             break
@@ -332,56 +462,65 @@ def _larger_first(links: DataFrame) -> DataFrame:
     return links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def join(docs: DataFrame, *, n: int = 4, percent: int = 85, hot: int = 16) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
-    rows = materialize(sets(docs, n), "jaccard-sets")
-    owners = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
-    owners = materialize(owners, "jaccard-owners")
+def _grouped(docs: DataFrame, n: int, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, cls, n_shingles) and classes (cls, component, doc_id, text_key), the last two of one row of the class."""
+    rows = materialize(sets(docs, n, percent), "jaccard-sets")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
+    owners = rows.filter("cls is not null").groupBy("cls").agg(least, F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
+    owners = materialize(owners.select("cls", "least.doc_id", "least.text_key", "n_shingles", "sketch", "fine"), "jaccard-owners")
     shared = _allocated(_index(docs, n, percent), percent, hot)
     # every class and the centres it shares buckets with; of these, one
-    order = Window.partitionBy("sig").orderBy("kind", "cls")
-    starred = shared.select("*", *[F.first(c).over(order).alias(f"c_{c}") for c in ("cls", "kind", "use", "near")])
+    center = F.min(F.struct("kind", "cls", "use", "near")).alias("c")
+    starred = shared.join(shared.groupBy("sig").agg(center), "sig").select("cls", "kind", "use", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("cls", "kind", "use", "near")])
     starred = starred.filter((F.col("c_kind") == 0) & (F.col("c_cls") != F.col("cls"))).filter(_may_link("c_"))
     votes = starred.groupBy("cls", "c_cls").agg(F.count(F.lit(1)).alias("votes"))
     best = F.max_by("c_cls", F.struct("votes", -F.col("c_cls").cast("decimal(20,0)")))
-    first = materialize(votes.groupBy("cls").agg(best.alias("b")).select(F.col("cls").alias("a"), "b"), "jaccard-first")
-    links = verified(first, docs, owners, n, percent)
+    pairs = materialize(votes.groupBy("cls").agg(best.alias("b")).select(F.col("cls").alias("a"), "b"), "jaccard-first")
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = verified(pairs, docs, owners, n, percent)
+    for name, meet in (("nearest", _nearest), ("rest", _bucket_pairs)):
+        found = materialize(components(links), f"jaccard-components-{name}")
+        pairs = meet(_open_rows(shared, found, owners), percent)
+        pairs = materialize(pairs.join(known, ["a", "b"], "left_anti"), f"jaccard-{name}")
+        known = known.union(pairs)
+        links = links.union(verified(pairs, docs, owners, n, percent))
     found = materialize(components(links), "jaccard-components")
-    # pairs of a bucket in different components, except those that were verified
-    labelled = shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    bucket = Window.partitionBy("sig")
-    open_ = labelled.withColumn("open", F.min("comp").over(bucket) != F.max("comp").over(bucket)).filter("open").drop("open")
-    rest = _bucket_pairs(open_.join(owners.select("cls", "n_shingles", "sketch"), "cls"), percent)
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(rest.join(known, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = verified(rest, docs, owners, n, percent)
-    for side in ("a", "b"):  # links between components
-        more = more.join(found.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
-    joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    named = owners.select("cls", "doc_id").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    named = named.join(joined, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
-    # a component's name is its least document, copies included
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = named.select("cls", "component").join(least, "component").select("cls", "component_id")
+    named = owners.select("cls", "doc_id", "text_key").join(found.withColumnRenamed("node", "cls"), "cls", "left")
+    return rows, named.withColumn("component", F.coalesce("component", "cls"))
+
+
+def join(docs: DataFrame, *, n: int = 4, percent: int = 85, hot: int = 16) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
+    rows, classes = _grouped(docs, n, percent, hot)
+    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    names = classes.select("cls", "component").join(least, "component").select("cls", "component_id")
     out = rows.join(names, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the least doc_id.
+def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80, hot: int = 16) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the least doc_id, then of the least hash of its text.
 
-    Rows without an id stay.  Of rows that repeat an id, one stays if its group's name is that id.
+    Rows without an id come last in their group; rows with an empty set all stay.  Of rows that
+    repeat both the id and the text of the row that stays, one stays.
     """
-    found = join(docs, n=n, percent=percent).filter("doc_id is not null")
-    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component_id"))
-    per_id = materialize(per_id, "jaccard-kept")
-    gone = per_id.filter("component_id <> doc_id").select("doc_id")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    repeated = per_id.filter("rows > 1").select("doc_id")
+    rows, classes = _grouped(docs, n, percent, hot)
+    of_row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    least = classes.groupBy("component").agg(F.min(of_row).alias("least"))
+    stays = classes.join(least, "component").filter(of_row == F.col("least")).select("cls", F.lit(True).alias("owner"), F.col("least"))
+    marked = rows.filter("cls is not null").join(stays, "cls", "left").withColumn("stays", F.coalesce(of_row == F.col("least"), F.lit(False)))
+    per_key = marked.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"), F.first("stays").alias("stays"))
+    per_key = materialize(per_key, "jaccard-kept").select(F.col("doc_id").alias("j_id"), F.col("text_key").alias("j_key"), "rows", "stays")
+    here = (F.xxhash64("text") == F.col("j_key")) & F.col("doc_id").eqNullSafe(F.col("j_id"))
+    few = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    kept = docs.join(few(per_key.filter("not stays")), here, "left_anti")
+    repeated = per_key.filter("stays and rows > 1")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    repeated = few(repeated)
+    whole = F.struct(*docs.columns)
+    once = kept.join(repeated, here, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+    return kept.join(repeated, here, "left_anti").select(*docs.columns).unionByName(once)
 
 
 #: ``join`` with its defaults, by comparing all pairs that share an n-gram: for small tables.

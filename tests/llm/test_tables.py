@@ -184,6 +184,76 @@ def test_join_cases(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i in (0, 1, 3, 4, 5, 6, 7, 8, 9, 10, None))
 
 
+def test_rows_without_id_and_rows_that_share_an_id(spark):
+    """A text known only by rows without id links others; of texts that share an id each has its own set."""
+    base = [f"w{i}" for i in range(100)]
+    near = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(base))
+    rows = [(1, near(3)), (None, near()), (2, near(96)), (7, "alpha " + near(50, 51, 52, 53, 20, 70)), (7, " ".join(f"u{i}" for i in range(60))), (None, "some text of its own here"), (None, "some text of its own here")]
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), percent=88).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in found) == sorted([("1", "1"), ("None", "1"), ("2", "1"), ("7", "7"), ("7", "7"), ("None", "None"), ("None", "None")])
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=88).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(i), t) for i, t in (rows[0], rows[3], rows[4], rows[5]))
+    repeated = jaccard.keep_one(spark.createDataFrame([(1, "same text twice in here now")] * 3 + [(1, "and another one under the same id")], "doc_id long, text string"))
+    assert repeated.count() == 2
+
+
+@pytest.mark.parametrize("rows_of_a_block", [16, 1024])
+def test_large_group_of_near_copies(spark, monkeypatch, rows_of_a_block):
+    """Copies of one text with few to many words changed: some link, most lie about the threshold."""
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows_of_a_block)
+    rng, base, docs = random.Random(7), [f"b{i}" for i in range(90)], []
+    for i in range(600):
+        share = rng.choice([0.01, 0.02, 0.03, 0.05, 0.08])
+        docs.append((i, " ".join(f"v{rng.randrange(10**6)}" if rng.random() < share else w for w in base)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == linked(docs, 4, 85)
+
+
+@pytest.mark.parametrize("batch", [1, 7, 50, 10_000])
+def test_rows_of_a_bucket_meet(batch):
+    """All pairs that may link, in any cut of the rows into batches, and each class's nearest, against plain loops."""
+    import numpy as np
+    import pandas as pd
+
+    rng, rows = np.random.default_rng(batch), []
+    bands = jaccard.Bands(80)
+    sets = {c: np.unique(np.where(rng.random(60) < 0.1, rng.integers(100, 10**6, 60), np.arange(60)).astype(np.uint64)) for c in range(160)}
+    for sig, size in enumerate((2, 3, 9, 60, 1, 130, 5)):
+        parts = 1 if size < 100 else 3
+        for c in rng.choice(160, size, replace=False):
+            comp, kind, use, near, home = int(c) // 2 if c % 5 else -1, int(rng.random() < 0.2), rng.random() < 0.5, rng.random() < 0.5, int(c) % parts
+            for part in range(parts) if comp != -1 else [home]:
+                sketch = jaccard.parities(sets[c], bands.bits(bands.band(len(sets[c]))))
+                rows.append((sig, part, part != home, int(c), comp, kind, use, near, len(sets[c]), sketch))
+    rows.sort(key=lambda r: r[:3])
+    pdf = pd.DataFrame(rows, columns=["sig", "part", "guest", "cls", "comp", "kind", "use", "near", "n_shingles", "sketch"])
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[3] < y[3] and x[4] != y[4] and not (x[5] and y[5]):
+                relied = (x[6] or y[6]) if x[5] == y[5] else (y[6] or x[7]) if y[5] else (x[6] or y[7])
+                both = x[8] + y[8]
+                may = 100 * min(x[8], y[8]) >= 80 * max(x[8], y[8]) and jaccard.least_difference(x[9], y[9]) <= both - 2 * -(-80 * both // 180)
+                if relied and may:
+                    want.add((x[3], y[3]))
+    got = set()
+    for first, i, second, j, _ in jaccard._met((pdf.iloc[k : k + batch] for k in range(0, len(pdf), batch)), 80):
+        got |= {(min(p), max(p)) for p in zip(first.cls[i].tolist(), second.cls[j].tolist(), strict=True)}
+    assert got == want and len(want) > 100
+
+
+def test_sketches_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.9], rng.integers(0, 300, rng.integers(1, 40)).astype(np.uint64))))
+        assert jaccard.least_difference(jaccard.fine_parities(a), jaccard.fine_parities(b)) <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     import random
 
