@@ -15,10 +15,11 @@ neighbourhood, still make H + 1.  Frequencies are exact and cover all rows.
 
 A bucket of a signature is never expanded into its pairs.  First every class is verified against one
 centre, the least class of a bucket it shares most often; links join classes to components, of which
-large groups of copies become one.  Then every class is verified against the nearest class of
-another component in its buckets, by parity sketches.  What is left, pairs of a bucket in different
-components that size and sketch don't rule out, is verified whole.  So each round writes at most
-one pair for each row but the last, which writes pairs close to the threshold only, no link between
+large groups of copies become one.  Then each task takes the pairs of its buckets that lie in
+different components and that size and sketch don't rule out, and writes a spanning forest of them
+over the components, the least different pairs first: fewer pairs than it has components.  What is
+still in different components after these are verified is verified whole.  So only the last round
+writes more than a pair for each row, and only pairs close to the threshold.  No link between
 different components is lost, and the result is exact.  A parity sketch has a bit for each cell of
 the hashed universe; sets differ by at least as many elements as their sketches by bits.
 
@@ -364,20 +365,62 @@ def _open_rows(shared: DataFrame, found: DataFrame, owners: DataFrame) -> DataFr
     return rows.repartition("sig", "part").sortWithinPartitions("sig", "part", "guest")
 
 
-def _nearest(rows: DataFrame, percent: int) -> DataFrame:
-    """For each class the class of another component that differs least by sketch: pairs (a, b), one a class at most."""
+def forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The edges (x, y) of a least spanning forest, as positions (every tree's lightest edge to another tree, until none is left)."""
+    names, ends = np.unique(np.concatenate((x, y)), return_inverse=True)
+    order = np.lexsort((y, x, weight))
+    x, y = ends[: len(x)][order], ends[len(x) :][order]
+    root, chosen, left = np.arange(len(names)), [], np.arange(len(x))
+    while True:
+        left = left[root[x[left]] != root[y[left]]]
+        if not len(left):
+            return order[np.concatenate(chosen)] if chosen else order[:0]
+        first = np.full(len(names), len(x))
+        for end in (x, y):
+            np.minimum.at(first, root[end[left]], left)
+        edges = np.unique(first[first < len(x)])  # positions differ, so these make no circle
+        chosen.append(edges)
+        to = root.tolist()
+
+        def find(i: int, to: list[int] = to) -> int:
+            while to[i] != i:
+                to[i] = to[to[i]]
+                i = to[i]
+            return i
+
+        for i, j in zip(x[edges].tolist(), y[edges].tolist(), strict=True):
+            to[find(i)] = find(j)
+        root = np.array([find(i) for i in range(len(to))])
+
+
+#: Pairs that a task gathers before it reduces them to a forest, and edges of a forest that it holds.
+POOL_ROWS = 200_000
+
+
+def _spanning(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that span, in each task, the components whose classes may link; one for each two components."""
+    def reduced(pool: list[np.ndarray]) -> np.ndarray:
+        edges = np.concatenate(pool)
+        return edges[forest(edges[:, 0], edges[:, 1], edges[:, 2])] if len(edges) else edges
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["u", "v", "least", "a", "b"]
+        pool, size = [np.zeros((0, 5), dtype=np.int64)], 0
         for first, i, second, j, least in _met(batches, percent):
-            x, y = first.cls[i], second.cls[j]
-            x, y, least = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((least, least))
-            order = np.lexsort((y, least, x))
-            x, y, least = x[order], y[order], least[order]
-            new = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=bool)
-            if new.any():
-                yield pd.DataFrame({"x": x[new], "y": y[new], "least": least[new]})
+            if not len(i):
+                continue
+            u, v, x, y = first.comp[i], second.comp[j], first.cls[i], second.cls[j]
+            pool.append(np.column_stack((np.minimum(u, v), np.maximum(u, v), least, np.minimum(x, y), np.maximum(x, y))))
+            size += len(i)
+            if size > POOL_ROWS:
+                pool, size = [reduced(pool)], 0
+                if len(pool[0]) > POOL_ROWS:
+                    yield pd.DataFrame(pool[0], columns=names)
+                    pool = [pool[0][:0]]
+        yield pd.DataFrame(reduced(pool), columns=names)
 
-    best = rows.mapInPandas(run, "x long, y long, least long").groupBy("x").agg(F.min(F.struct("least", "y")).alias("to"))
-    return best.select(F.least("x", "to.y").alias("a"), F.greatest("x", "to.y").alias("b")).distinct()
+    best = rows.mapInPandas(run, "u long, v long, least long, a long, b long").groupBy("u", "v").agg(F.min(F.struct("least", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
 
 
 def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -478,7 +521,7 @@ def _grouped(docs: DataFrame, n: int, percent: int, hot: int) -> tuple[DataFrame
     pairs = materialize(votes.groupBy("cls").agg(best.alias("b")).select(F.col("cls").alias("a"), "b"), "jaccard-first")
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = verified(pairs, docs, owners, n, percent)
-    for name, meet in (("nearest", _nearest), ("rest", _bucket_pairs)):
+    for name, meet in (("spanning", _spanning), ("rest", _bucket_pairs)):
         found = materialize(components(links), f"jaccard-components-{name}")
         pairs = meet(_open_rows(shared, found, owners), percent)
         pairs = materialize(pairs.join(known, ["a", "b"], "left_anti"), f"jaccard-{name}")

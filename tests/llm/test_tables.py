@@ -244,6 +244,30 @@ def test_rows_of_a_bucket_meet(batch):
     assert got == want and len(want) > 100
 
 
+def test_forest():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for edges in (0, 1, 40, 400):
+        x, y, weight = rng.integers(0, 60, edges), rng.integers(0, 60, edges), rng.integers(0, 9, edges)
+        keep = x != y
+        x, y, weight = x[keep], y[keep], weight[keep]
+        root = list(range(60))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        total = 0
+        for w, i, j in sorted(zip(weight.tolist(), x.tolist(), y.tolist(), strict=True)):
+            if find(i) != find(j):
+                root[find(i)] = find(j)
+                total += w
+        trees, got = [find(i) for i in range(60)], jaccard.forest(x, y, weight)
+        assert weight[got].sum() == total and len(got) == len(set(range(60))) - len(set(trees))
+
+
 def test_sketches_never_exceed_the_difference():
     import numpy as np
 
