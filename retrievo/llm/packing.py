@@ -5,13 +5,16 @@
    a bounded cache of words saves most of the work; other texts go to the tokenizer whole.
 2. An overlong document is cut into full windows first, each a sequence of its own; what is left is
    a piece shorter than a window.
-3. Pieces are dealt to groups by a hash of their document, and each group is packed by best-fit
-   decreasing: a segment tree indexed by remaining capacity finds the tightest open window.  A group
-   has about ``group_pieces`` pieces, so no task grows with the input, and thousands of pieces a
-   group leave little to gain from larger ones.
+3. Pieces are dealt to groups by a hash of their place in the table of pieces, and each group is
+   packed by best-fit decreasing: a segment tree indexed by remaining capacity finds the tightest
+   open window.  A group has about ``group_pieces`` pieces, so no task grows with the input, and
+   thousands of pieces a group leave little to gain from larger ones.
 
-Only (doc_id, start, length, digest) rows are shuffled; token ids stay where they are made, unless
-asked for with ``keep_ids``.
+Only (doc_id, start, length, digest) rows of pieces shorter than a window are shuffled; token ids
+stay where they are made, unless asked for with ``keep_ids``.
+
+Ids are those of the tokenizer file as ``encode(text, add_special_tokens=False)`` gives them: strings
+of its added tokens, such as ``<|endoftext|>``, have their own ids.
 
 Defined cases: null text is empty text, a document of one id (the end id); repeated rows are packed
 as separate pieces; an empty table gives an empty result; other columns are ignored.
@@ -20,6 +23,7 @@ as separate pieces; an empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -61,8 +65,8 @@ class Words(dict):
         return ids
 
 
-def encoder(ranks_path: str, pattern: str | None = None):
-    """text -> ids as little-endian 32-bit bytes, for a byte-level BPE given as ranks."""
+def encoder(ranks_path: str, pattern: str | None = None, added: dict[str, int] | None = None):
+    """text -> ids as little-endian 32-bit bytes, for a byte-level BPE given as ranks, and the ids of added tokens."""
     import tiktoken
 
     if pattern is None:
@@ -74,16 +78,31 @@ def encoder(ranks_path: str, pattern: str | None = None):
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     encode = encoding.encode_ordinary
     words = Words(encode, encoding._encode_single_piece)
+    added = {token: np.array([i], dtype="<u4").tobytes() for token, i in (added or {}).items()}
+    marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
-    def ids(text: str) -> bytes:
+    def ordinary(text: str) -> bytes:
         if RUNS.search(text):
             return np.array(encode(text), dtype="<u4").tobytes()
         first, *rest = text.split(" ")
         return np.array(encode(first), dtype="<u4").tobytes() + b"".join(map(words.__getitem__, rest))
 
+    def ids(text: str) -> bytes:
+        if marks and marks.search(text):
+            return b"".join(added[part] if part in added else ordinary(part) for part in marks.split(text))
+        return ordinary(text)
+
     return ids
 
 
+def default_added() -> dict[str, int]:
+    """The added tokens of the default tokenizer."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
 def default_ranks() -> str:
     import public_tokenizers
 
@@ -96,7 +115,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def pieces(docs: DataFrame, *, window: int = 1024, end_id: int = 0, ranks_path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Full windows and the shorter rest of every document, with the CRC-32 of their ids (and the ids)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, end = encoder(ranks_path or default_ranks()), np.array([end_id], dtype="<u4").tobytes()
+        ids = encoder(ranks_path) if ranks_path else encoder(default_ranks(), added=default_added())
+        end = np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -162,6 +182,7 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int], int
 def pack(docs: DataFrame, *, window: int = 1024, end_id: int = 0, group_pieces: int = 8192, ranks_path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     cut = materialize(pieces(docs, window=window, end_id=end_id, ranks_path=ranks_path, keep_ids=keep_ids), "pack-pieces")
+    cut = cut.withColumn("place", F.monotonically_increasing_id())  # of a written table, so it stays
     groups = max(1, -(-cut.filter(F.col("length") < window).count() // group_pieces))
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -173,5 +194,6 @@ def pack(docs: DataFrame, *, window: int = 1024, end_id: int = 0, group_pieces:
         return pdf.drop(columns="lot")
 
     schema = PIECES + (", ids binary" if keep_ids else "") + ", sequence_id long, offset long"
-    lot = F.pmod(F.xxhash64("doc_id"), F.lit(groups))
-    return cut.withColumn("lot", lot).groupBy("lot").applyInPandas(fill, schema)
+    rest = cut.filter(F.col("length") < window).withColumn("lot", F.pmod(F.xxhash64("place"), F.lit(groups))).drop("place")
+    whole = cut.filter(F.col("length") == window).withColumn("sequence_id", F.lit(1 << 62) + F.col("place")).withColumn("offset", F.lit(0).cast("long"))
+    return rest.groupBy("lot").applyInPandas(fill, schema).unionByName(whole.drop("place"))

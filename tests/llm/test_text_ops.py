@@ -7,6 +7,7 @@ import hashlib
 import re
 import urllib.parse
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -193,7 +194,6 @@ def test_packing_round_trip(spark, table):
     public = pytest.importorskip("public_tokenizers")
     tokenizers = pytest.importorskip("tokenizers")
     own = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     df = frame(spark) if table == "cases" else documents(spark)
     rows = packing.pack(df, keep_ids=True).collect()
     want = sorted((str(r["doc_id"]), tuple([*own.encode(r["text"] or "", add_special_tokens=False).ids, 0])) for r in df.collect())
@@ -231,11 +231,27 @@ def test_white_space_runs_match_the_tokenizer():
     public = pytest.importorskip("public_tokenizers")
     tokenizers = pytest.importorskip("tokenizers")
     own = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    ids = packing.encoder(packing.default_ranks())
-    for text in ("a b", " a b ", "a  b", "a \n b", "a\n\nb c\n", "\n a", "a b c", "it's we'll 12 3,4", "中文 ü\tx", ""):
+    ids = packing.encoder(packing.default_ranks(), added=packing.default_added())
+    for text in ("<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>\nc  <|endoftext", " <|endoftext|>  x", "a b", " a b ", "a  b", "a \n b", "a\n\nb c\n", "\n a", "a b c", "it's we'll 12 3,4", "中文 ü\tx", ""):
         assert np.frombuffer(ids(text), dtype="<u4").tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_no_end_marker_strings_in_the_data():
-    texts = pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()
-    assert not any("<|endoftext|>" in (t or "") for t in texts)
+def test_added_tokens_and_repeated_rows_when_packed(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    text = "an end <|endoftext|> in a text" + " and more" * 3000
+    rows = [(None, text, "en", "a", 1)] * 4 + [(i, "short <|endoftext|>", "en", "a", 1) for i in range(50)] + [(None, "none", "en", "a", 1)] * 200
+    got = packing.pack(frame(spark, rows), keep_ids=True, group_pieces=16).collect()
+    long = [r for r in got if r["doc_tokens"] > 100]
+    want = np.array([*own.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+    assert 50256 in want
+    assert Counter((r["start"], bytes(r["ids"])) for r in long) == Counter({(i, want[i : i + 1024].tobytes()): 4 for i in range(0, len(want), 1024)})
+    assert len({r["sequence_id"] for r in long if r["length"] == 1024}) == 4 * (len(want) // 1024)
+    lots = Counter(r["sequence_id"] >> 40 for r in got if r["length"] < 1024)
+    assert len(lots) >= 10 and max(lots.values()) < 60
+    used = defaultdict(list)
+    for r in got:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in used.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 1024
