@@ -10,11 +10,12 @@ document's place in its source's token stream is the document's training positio
 is range-sorted by position.
 
 The place in the stream is an exact distributed prefix sum: documents are ordered by the MD5 of
-their id, a source is cut into ``16 ** digits`` ranges of that order, ranges are summed first and
+their id and text, a source is cut into ``16 ** digits`` ranges of that order, ranges are summed first and
 rows are summed only inside a range, so a source with a third of all rows is no single task.
 
 Defined cases: null or blank text has size 0 and is taken 0 times; a null source sorts last and is
-a source of its own; an empty table gives an empty result; repeated rows are separate documents;
+a source of its own; an empty table gives an empty result; repeated rows and rows without doc_id are
+documents like others;
 other columns of the input are ignored, whatever their names.
 """
 
@@ -62,6 +63,20 @@ def targets(sizes: DataFrame, weights: Sequence[float], repeat_cap: int, ramps:
     return filled.select("skey", "source_size", "ramp", target.otherwise(F.col("weight") * F.col("price")).alias("target"))
 
 
+#: What tells a document from others, beside its doc_id.
+KEY = ("skey", "text_key")
+
+
+def _key() -> list[Column]:
+    source = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+    return [source.alias("skey"), F.xxhash64("text").alias("text_key")]
+
+
+def _order() -> Column:
+    """Places documents in a stream: even where ids repeat or are null."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+
+
 def mix(
     docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), repeat_cap: int = 3, ramps: Sequence[float] = (-0.5, 0.0, 0.5), digits: int = 3,
 ) -> DataFrame:
@@ -71,12 +86,8 @@ def mix(
     ends at the target, so at most one document of a source is cut.  ``position`` in [0, 1] is that
     of the document's first copy, null if it isn't taken.
     """
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = materialize(
-        docs.select(
-            "doc_id", "source", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("skey"),
-            order.alias("ord"), word_count(F.col("text")).alias("size"),
-        ).withColumn("part", F.substring("ord", 1, digits)),
+        docs.select("doc_id", "source", *_key(), _order().alias("ord"), word_count(F.col("text")).alias("size")).withColumn("part", F.substring("ord", 1, digits)),
         "mix-sizes",
     )
     parts = sized.groupBy("skey", "part").agg(F.sum("size").alias("part_size"))
@@ -94,7 +105,7 @@ def mix(
     return (
         placed.withColumn("position", F.when(F.col("taken") > 0, _position(F.lit(0))))
         .select("doc_id", "size", "source_size", "target", "taken", "source", F.round("position", 9).alias("position"),
-                "passes", "last", "start", "ramp")
+                "passes", "last", "start", "ramp", *KEY)
         .orderBy("position", "doc_id")
     )
 
@@ -112,34 +123,41 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every taken copy as a row with the columns of ``docs``, range-sorted by position.
 
     The copy of the last pass at which a source's target ends is cut after its last taken word, and
-    its ``n_chars`` follows.  Rows that repeat a doc_id are told apart by their size.  Rows without
-    doc_id can't be planned: they are taken once, after the others.
+    its ``n_chars`` follows.  A row finds its plan by doc_id, source and text; rows that repeat all
+    three are dealt the plans of their like.
     """
-    known = docs.filter("doc_id is not null")
-    plan = mix(known, **options).drop("source", "position")
-    plan = materialize(plan.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", F.desc("taken")))), "mix-plan")
+    plan = mix(docs, **options).drop("source", "position")
+    # of any input columns, only these names are added
+    rows = docs.select(F.struct(*docs.columns).alias("mix_row"), "doc_id", "text", *_key())
+    like = Window.partitionBy("doc_id", *KEY)
+    plan = materialize(plan.withColumn("twin", F.row_number().over(like.orderBy(F.desc("taken"), "start"))), "mix-plan")
     if plan.filter("twin > 1").isEmpty():
-        rows, keys = known, ["doc_id"]
+        rows = rows.withColumn("twin", F.lit(1))
     else:
-        size = word_count(F.col("text"))
-        rows, keys = known.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id").orderBy(size))), ["doc_id", "twin"]
+        rows = rows.withColumn("twin", F.row_number().over(like.orderBy(F.xxhash64("mix_row"))))
     plan = plan.filter("taken > 0")
     copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("passes") + F.when(F.col("last") > 0, 1).otherwise(0) - 1).cast("int"))))
     words = F.when(F.col("copy") < F.col("passes"), F.col("size")).otherwise(F.col("last"))
-    copies = copies.select(*keys, F.struct(_position(F.col("copy")).alias("position"), "copy", F.when(words < F.col("size"), words).alias("cut")).alias("mix_copy"))
-    cut = F.col("mix_copy.cut")
+    copies = copies.select(
+        F.col("doc_id").alias("plan_id"), *[F.col(k).alias(f"plan_{k}") for k in (*KEY, "twin")],
+        _position(F.col("copy")).alias("position"), "copy", F.when(words < F.col("size"), words).alias("cut"),
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("plan_id"))
+    for k in (*KEY, "twin"):
+        same &= F.col(k) == F.col(f"plan_{k}")
+    cut = F.col("cut")
     head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"{BLANK}{WORD}"), F.lit(0)), 1, cut.cast("int")), "")
-    mixed = rows.join(copies, keys).withColumn("text", F.when(cut.isNotNull(), head).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.when(cut.isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    mixed = mixed.orderBy("mix_copy.position", "doc_id", "mix_copy.copy").select(*docs.columns)
-    return mixed.unionByName(docs.filter("doc_id is null"))
+    mixed = rows.join(copies, same).withColumn("text", F.when(cut.isNotNull(), head).otherwise(F.col("text"))).orderBy("position", "doc_id", "copy")
+    columns = {c: F.col(f"mix_row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(cut.isNotNull(), F.length("text").cast("long")).otherwise(columns["n_chars"])
+    return mixed.select(*[column.alias(c) for c, column in columns.items()])
 
 
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS ord,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 per AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY skey),

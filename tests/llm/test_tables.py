@@ -64,19 +64,23 @@ def test_schedules_move_sources(spark):
 
 
 def test_apply_mix(spark):
-    df = frame(spark)
-    plan = Counter()
-    for r in mixing.mix(df.filter("doc_id is not null")).collect():
-        plan[r["doc_id"]] += r["taken"]
-    out = mixing.apply_mix(df)
-    assert out.columns == df.columns
-    got, null = Counter(), 0
-    for r in out.collect():
-        if r["doc_id"] is None:
-            null += 1
-        else:
-            got[r["doc_id"]] += len(words(r["text"]))
-    assert {k: v for k, v in plan.items() if v} == dict(got) and null == 1
+    """Every row's copies hold the words that the plan takes of it; rows that repeat an id are told apart."""
+    twins = [(1, "w " * 6, "en", "s1", 1), (1, "w " * 6, "en", "s2", 1), (1, "v " * 6, "en", "s1", 1), (None, "u " * 5, "en", "s1", 1), (None, "t " * 9, "en", "s2", 1)]
+    for df in (frame(spark), frame(spark, twins), frame(spark, ROWS + twins * 2)):
+        plan = Counter()
+        for r in mixing.mix(df).collect():
+            plan[r["doc_id"], r["source"], r["size"]] += r["taken"]
+        out = mixing.apply_mix(df)
+        assert out.columns == df.columns
+        texts = defaultdict(list)
+        for r in df.collect():
+            texts[r["doc_id"], r["source"]].append(words(r["text"]))
+        got = Counter()
+        for r in out.collect():
+            n = len(words(r["text"]))
+            whole = [len(t) for t in texts[r["doc_id"], r["source"]] if t[:n] == words(r["text"])]
+            got[r["doc_id"], r["source"], min(whole)] += n
+        assert {k: v for k, v in plan.items() if v} == dict(got)
 
 
 @pytest.mark.parametrize("table", ["cases", "documents"])
@@ -325,12 +329,10 @@ def test_pipeline(spark, tmp_path, table):
     assert not any(secret_scan.findings(r["text"] or "") for r in kept[2])
     sizes = defaultdict(int)
     for r in kept[2]:
-        if r["doc_id"] is not None:
-            sizes[r["source"]] += len(words(r["text"]))
+        sizes[r["source"]] += len(words(r["text"]))
     target, taken = filled(sizes) if sizes else {}, defaultdict(int)
     for r in kept[3]:
-        if r["doc_id"] is not None:
-            taken[r["source"]] += len(words(r["text"]))
+        taken[r["source"]] += len(words(r["text"]))
     assert all(abs(target[s] - taken[s]) <= 1 for s in target)
     tokens = Counter()
     for r in kept[4]:
