@@ -7,7 +7,10 @@ score) of the pool and of nodes within as many hops as there are rounds, or any
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
+from collections.abc import Container, Iterable, Iterator, Sized
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,50 +28,68 @@ class Plan:
     top_s: int = 10
 
 
-class Source:
-    """Candidates with a priority; equal priorities come in the order in which they were added."""
+class Candidates:
+    """A queue by priority, raised by putting a document again; equal priorities come in the order of arrival.
 
-    def __init__(self, items=()):
-        self.items: dict = dict(items)
+    Entries of the heap that a later one replaced are skipped when they come up.
+    """
 
-    def best(self, n: int, done) -> list:
-        order = sorted((d for d in self.items if d not in done), key=lambda d: -self.items[d])
-        return order[:n]
+    def __init__(self, items: Iterable[tuple] = ()):
+        self.priority: dict = {}
+        self.arrival: dict = {}
+        self.heap: list[tuple] = []
+        for doc, priority in items:
+            self.put(doc, priority)
+
+    def put(self, doc, priority: float) -> None:
+        self.priority[doc] = priority
+        heapq.heappush(self.heap, (-priority, self.arrival.setdefault(doc, len(self.arrival)), doc))
+
+    def draw(self, n: int, seen: Container) -> list:
+        """Up to n of the best, without those seen."""
+        drawn: list = []
+        while self.heap and len(drawn) < n:
+            key, _, doc = heapq.heappop(self.heap)
+            if doc not in seen and self.priority.get(doc) == -key:
+                del self.priority[doc]
+                drawn.append(doc)
+        return drawn
+
+
+def lots(pool: Candidates, frontier: Candidates, seen: Sized, plan: Plan) -> Iterator[list]:
+    """Lots to score: the two sources in turn, the other one where a source has none, until the budget is spent."""
+    for sources in itertools.cycle(((pool, frontier), (frontier, pool))):
+        room = min(plan.batch, plan.budget - len(seen))
+        lot = next(filter(None, (source.draw(room, seen) for source in sources)), None)
+        if lot is None:
+            return
+        yield lot
+
+
+def strengths(lot: list, scores: dict, plan: Plan) -> dict:
+    """What a scored document passes on: its score or, for affinity, its softmax among the best ``top_s`` scored so far."""
+    if not plan.affinity:
+        return {doc: scores[doc] for doc in lot}
+    best = heapq.nsmallest(plan.top_s, scores, key=lambda doc: -scores[doc])
+    odds = {doc: math.exp(scores[doc] - scores[best[0]]) for doc in best}
+    return {doc: odds[doc] / sum(odds.values()) for doc in lot if doc in odds}
 
 
 def walk(pool: list[tuple], neighbours, score, plan: Plan) -> list[tuple]:
     """(doc, score) best first, for one query.  ``neighbours(doc)`` gives (doc, weight); ``score(doc)`` a number."""
-    first, frontier, done = Source(pool), Source(), {}
-    turn = 0
-    while len(done) < plan.budget:
-        size = min(plan.batch, plan.budget - len(done))
-        order = (first, frontier) if turn % 2 == 0 else (frontier, first)
-        chosen = order[0].best(size, done) or order[1].best(size, done)
-        if not chosen:
-            break
-        for doc in chosen:
-            done[doc] = score(doc)
-        if plan.affinity:
-            top = sorted(done, key=lambda d: -done[d])[: plan.top_s]
-            peak = done[top[0]]
-            total = sum(math.exp(done[d] - peak) for d in top)
-            parents = [(d, math.exp(done[d] - peak) / total) for d in chosen if d in set(top)]
-        else:
-            parents = [(d, done[d]) for d in chosen]
-        for doc, strength in parents:
+    first, frontier, scores = Candidates(pool), Candidates(), {}
+    for lot in lots(first, frontier, scores, plan):
+        scores |= {doc: score(doc) for doc in lot}
+        for doc, strength in strengths(lot, scores, plan).items():
             for other, weight in neighbours(doc):
-                if other not in done:
-                    old = frontier.items.get(other, 0.0)
-                    frontier.items[other] = old + weight * strength if plan.affinity else max(old, strength)
-        for doc in chosen:
-            first.items.pop(doc, None)
-            frontier.items.pop(doc, None)
-        turn += 1
-    if plan.backfill and len(done) < plan.budget:
-        low = min(done.values(), default=0.0)
-        for i, doc in enumerate(first.best(plan.budget - len(done), done)):
-            done[doc] = low - 1 - i
-    return sorted(done.items(), key=lambda x: -x[1])
+                held = frontier.priority.get(other, 0.0)
+                if other not in scores:
+                    frontier.put(other, held + weight * strength if plan.affinity else max(held, strength))
+    if plan.backfill:  # below all that were scored
+        floor = min(scores.values(), default=0.0) - 1
+        unscored = first.draw(plan.budget - len(scores), scores)
+        scores |= {doc: floor - place for place, doc in enumerate(unscored)}
+    return sorted(scores.items(), key=lambda item: -item[1])
 
 
 def rerank(pool: DataFrame, graph: DataFrame, scores: DataFrame, plan: Plan = Plan()) -> DataFrame:

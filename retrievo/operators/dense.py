@@ -6,6 +6,8 @@ partition keeps its k best before anything is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +18,18 @@ from retrievo.operators.ranking import top_k
 BLOCK = 20_000
 
 
+def paired(queries: DataFrame, docs: DataFrame, exclude_self: bool = True) -> DataFrame:
+    """Rows of ``docs(doc_id, ...)`` with each of ``queries(query_id, ...)``: a block of queries is broadcast at a time."""
+    meet = F.col("query_id") != F.col("doc_id") if exclude_self else F.lit(True)
+    blocks = max(1, -(-queries.count() // BLOCK))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [docs.join(F.broadcast(queries if blocks == 1 else queries.filter(number == i)), meet) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def search(queries: DataFrame, docs: DataFrame, k: int, similarity=dot, exclude_self: bool = True) -> DataFrame:
     """query_id, doc_id, rank, score of ``queries(query_id, q)`` against ``docs(doc_id, d)``."""
-    side = F.broadcast(queries) if queries.limit(BLOCK + 1).count() <= BLOCK else queries
-    pairs = docs.join(side, F.col("query_id") != F.col("doc_id")) if exclude_self else docs.crossJoin(side)
+    pairs = paired(queries, docs, exclude_self)
     return top_k(pairs.select("query_id", "doc_id", similarity(F.col("q"), F.col("d")).alias("score")), k)
 
 
@@ -54,13 +64,18 @@ def separability(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg(r).alias("mean_relevant"), F.avg(n).alias("mean_other"), gap.alias("gap"), (gap / (F.stddev_pop(r) + F.stddev_pop(n))).alias("separability"))
 
 
-def neighbourhood_coverage(neighbours: DataFrame, groups: DataFrame) -> DataFrame:
-    """For ``groups(group_id, doc_id)``: the mean share of a document's group mates among its neighbours."""
-    mates = groups.alias("a").join(groups.alias("b"), (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.doc_id") != F.col("b.doc_id")))
-    mates = mates.select(F.col("a.group_id").alias("group_id"), F.col("a.doc_id").alias("query_id"), F.col("b.doc_id").alias("doc_id"))
-    hit = neighbours.select("query_id", "doc_id", F.lit(1).alias("hit"))
-    per_doc = mates.join(hit, ["query_id", "doc_id"], "left").groupBy("group_id", "query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("coverage"))
-    return per_doc.groupBy("group_id").agg(F.avg("coverage").alias("coverage"))
+def neighbourhood_coverage(neighbours: DataFrame, groups: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """For ``groups(group_id, doc_id)``: the mean share of a document's group mates among its neighbours.
+
+    ``asked(doc_id)`` are the documents that neighbours were looked for, by default all.  Only neighbours
+    meet their groups, mates are counted.
+    """
+    mates = groups.groupBy("group_id").agg((F.count(F.lit(1)) - 1).alias("mates")).filter("mates > 0")
+    of = groups if asked is None else groups.join(asked, "doc_id", "left_semi")
+    of = of.join(mates, "group_id").withColumnRenamed("doc_id", "query_id")
+    hits = neighbours.select("query_id", "doc_id").join(groups, "doc_id").groupBy("query_id", "group_id").agg(F.count(F.lit(1)).alias("hits"))
+    share = F.coalesce("hits", F.lit(0)) / F.col("mates")
+    return of.join(hits, ["query_id", "group_id"], "left").groupBy("group_id").agg(F.avg(share).alias("coverage"))
 
 
 def mean_distance(rows: DataFrame, key: str, vector: str = "embedding") -> DataFrame:

@@ -87,8 +87,26 @@ def padded(selected: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     return first.unionByName(rest).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "doc_id", "rank", "source")
 
 
-def renumbered(rows: DataFrame, order: str) -> DataFrame:
-    """Ranks that start again whenever query_id changes in the order of the file."""
-    whole = Window.orderBy(order)
-    island = F.sum(F.coalesce((F.lag("query_id").over(whole) != F.col("query_id")).cast("int"), F.lit(0))).over(whole)
-    return rows.withColumn("island", island).withColumn("rank", F.row_number().over(Window.partitionBy("island").orderBy(order))).drop("island")
+def renumbered(rows: DataFrame, order: str, chunks: int = 64) -> DataFrame:
+    """Ranks that start again whenever query_id changes in the order of the file (``order``: distinct numbers).
+
+    Rows are numbered inside chunks of the order; what runs on from one chunk to the next is added
+    from a table of a row for each chunk.
+    """
+    bounds = rows.approxQuantile(order, [i / chunks for i in range(1, chunks)], 0.001)
+    chunk = F.lit(0)
+    for bound in sorted(set(bounds)):
+        chunk = chunk + (F.col(order) > bound).cast("int")
+    inside = Window.partitionBy("chunk").orderBy(order)
+    turn = (~F.lag("query_id").over(inside).eqNullSafe(F.col("query_id"))) & (F.row_number().over(inside) > 1)
+    numbered = rows.withColumn("chunk", chunk).withColumn("turn", turn.cast("int")).withColumn("island", F.sum("turn").over(inside)).drop("turn")
+    numbered = numbered.withColumn("rank", F.row_number().over(Window.partitionBy("chunk", "island").orderBy(order)))
+    ends = numbered.groupBy("chunk").agg(F.min_by("query_id", order).alias("first"), F.max_by("query_id", order).alias("last"), F.max("island").alias("islands"), F.max_by("rank", order).alias("length"))
+    carried, runs_on, last = {}, 0, None
+    for r in ends.orderBy("chunk").collect():  # a row for each chunk
+        carried[r["chunk"]] = runs_on if last is not None and last["last"] == r["first"] else 0
+        runs_on, last = r["length"] + (carried[r["chunk"]] if r["islands"] == 0 else 0), r
+    added = F.lit(0)
+    for i, n in carried.items():
+        added = F.when(F.col("chunk") == i, n).otherwise(added) if n else added
+    return numbered.withColumn("rank", F.col("rank") + F.when(F.col("island") == 0, added).otherwise(0)).drop("chunk", "island")

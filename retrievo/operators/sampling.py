@@ -46,11 +46,12 @@ def hard_negatives(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 
 
 def filled_negatives(hard: DataFrame, docs: DataFrame, qrels: DataFrame, n: int) -> DataFrame:
-    """Hard negatives topped up to n a query with documents in hash order (candidates: the first few by hash)."""
+    """Hard negatives topped up to n a query with documents in hash order; the candidates are as many as the query with most judged documents may need."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     have = hard.withColumn("place", place).filter(F.col("place") <= n).select("query_id", "doc_id", "place")
     need = qrels.select("query_id").distinct().join(have.groupBy("query_id").agg(F.max("place").alias("have")), "query_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter(F.col("have") < n)
-    spare = docs.select("doc_id").orderBy(hash_order("doc_id", "fill"), "doc_id").limit(4 * n)
+    judged = qrels.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    spare = docs.select("doc_id").orderBy(hash_order("doc_id", "fill"), "doc_id").limit(2 * n + judged)
     extra = need.join(F.broadcast(spare)).join(qrels, ["query_id", "doc_id"], "left_anti").join(have, ["query_id", "doc_id"], "left_anti")
     extra = extra.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(hash_order("doc_id", "fill"), "doc_id")) + F.col("have"))
     return have.unionByName(extra.filter(F.col("at") <= n).select("query_id", "doc_id", F.col("at").alias("place")))

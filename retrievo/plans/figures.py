@@ -28,7 +28,7 @@ def emb(spark, d):
 
 
 def asked(spark, d):
-    return emb(spark, d).filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return emb(spark, d).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def stored(spark, d):
@@ -36,7 +36,7 @@ def stored(spark, d):
 
 
 DOT = "list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[])"
-PAIRS = f"p AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {DOT} AS score, q.label = d.label AS same, q.embedding AS q, d.embedding AS d FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id < 20)"
+PAIRS = f"p AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {DOT} AS score, q.label = d.label AS same, q.embedding AS q, d.embedding AS d FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)"
 TOP = f"{PAIRS}, r AS (SELECT query_id, doc_id, same, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM p)"
 
 
@@ -47,7 +47,7 @@ def dense_top10(spark, d):
 
 def dense_qrels(spark, d):
     e = emb(spark, d).select("vec_id", "label")
-    a = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+    a = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
     return a.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("query_id <> doc_id").select("query_id", "doc_id", F.lit(1).alias("score"))
 
 
@@ -68,31 +68,31 @@ def dense_shard_merge(spark, d):
 
 
 @query("sparse_scores", "J4 L15", """WITH w AS (SELECT vec_id, unnest(range(64)) AS token, unnest(embedding)::DOUBLE AS weight FROM embeddings), k AS (SELECT * FROM w WHERE abs(weight) > 0.15)
-SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(sum(a.weight * b.weight), 9) AS score FROM k a JOIN k b USING (token) WHERE a.vec_id < 10 GROUP BY 1, 2""")
+SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(sum(a.weight * b.weight), 9) AS score FROM k a JOIN k b USING (token) WHERE a.vec_id % 50 = 0 GROUP BY 1, 2""")
 def sparse_scores(spark, d):
     from retrievo.operators.lexical import sparse_scores as score
 
     rows = emb(spark, d).select("vec_id", F.posexplode("embedding").alias("token", "w")).select("vec_id", "token", F.col("w").cast("double").alias("weight")).filter("abs(weight) > 0.15")
-    left = rows.filter("vec_id < 10").withColumnRenamed("vec_id", "query_id")
+    left = rows.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     return score(left, rows.withColumnRenamed("vec_id", "doc_id")).withColumn("score", F.round("score", 9))
 
 
-@query("l1_histogram", "V5", f"""WITH {PAIRS}, x AS (SELECT query_id, doc_id, abs(unnest(q)::DOUBLE - unnest(d)::DOUBLE) AS x FROM p WHERE query_id < 5 AND doc_id < 60)
+@query("l1_histogram", "V5", f"""WITH {PAIRS}, x AS (SELECT query_id, doc_id, abs(unnest(q)::DOUBLE - unnest(d)::DOUBLE) AS x FROM p)
 SELECT query_id, doc_id, least(floor(x / (0.5::DOUBLE / 10)), 9)::INTEGER AS bin, count(*) AS n FROM x WHERE x <= 0.5 GROUP BY ALL""")
 def l1_histogram(spark, d):
-    pairs = asked(spark, d).filter("query_id < 5").join(F.broadcast(stored(spark, d).filter("doc_id < 60")), F.col("query_id") != F.col("doc_id"))
+    pairs = dense.paired(asked(spark, d), stored(spark, d))
     return dense.difference_histogram(pairs, 10, 0.5)
 
 
 @query("l1_diagnostics", "V6", f"""WITH {PAIRS}, x AS (SELECT list_sum(list_transform(list_zip(q, d), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) AS x FROM p) SELECT round(min(x), 6) AS low, round(max(x), 6) AS high, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, round(avg((x < 8)::INT), 6) AS near_share FROM x""")
 def l1_diagnostics(spark, d):
-    pairs = stored(spark, d).join(F.broadcast(asked(spark, d)), F.col("query_id") != F.col("doc_id")).select(v.l1(F.col("q"), F.col("d")).alias("x"))
+    pairs = dense.paired(asked(spark, d), stored(spark, d)).select(v.l1(F.col("q"), F.col("d")).alias("x"))
     return pairs.agg(F.round(F.min("x"), 6).alias("low"), F.round(F.max("x"), 6).alias("high"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("deviation"), F.round(F.avg((F.col("x") < 8).cast("int")), 6).alias("near_share"))
 
 
-@query("product_features", "V4 R15", f"WITH {PAIRS} SELECT query_id, doc_id, round(list_sum(f[1:8]), 9) AS head, round(list_max(f), 9) AS top FROM (SELECT query_id, doc_id, list_transform(list_zip(q, d), lambda z: z[1]::DOUBLE * z[2]::DOUBLE) AS f FROM p WHERE doc_id < 100)")
+@query("product_features", "V4 R15", f"WITH {PAIRS} SELECT query_id, doc_id, round(list_sum(f[1:8]), 9) AS head, round(list_max(f), 9) AS top FROM (SELECT query_id, doc_id, list_transform(list_zip(q, d), lambda z: z[1]::DOUBLE * z[2]::DOUBLE) AS f FROM p)")
 def product_features(spark, d):
-    pairs = stored(spark, d).filter("doc_id < 100").join(F.broadcast(asked(spark, d)), F.col("query_id") != F.col("doc_id")).select("query_id", "doc_id", v.product(F.col("q"), F.col("d")).alias("f"))
+    pairs = dense.paired(asked(spark, d), stored(spark, d)).select("query_id", "doc_id", v.product(F.col("q"), F.col("d")).alias("f"))
     head = F.aggregate(F.slice("f", 1, 8), F.lit(0.0), lambda a, x: a + x)
     return pairs.select("query_id", "doc_id", F.round(head, 9).alias("head"), F.round(F.array_max("f"), 9).alias("top"))
 
@@ -103,9 +103,9 @@ def separability(spark, d):
 
 
 def _scored(spark, d):
-    left = emb(spark, d).filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("q"))
+    left = emb(spark, d).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("q"))
     right = emb(spark, d).select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("e"))
-    pairs = right.join(F.broadcast(left), F.col("query_id") != F.col("doc_id"))
+    pairs = dense.paired(left, right)
     return pairs.select("query_id", "doc_id", v.dot(F.col("q"), F.col("e")).alias("score"), (F.col("ql") == F.col("label")).alias("relevant"))
 
 
@@ -122,12 +122,12 @@ def centroid_drift(spark, d):
     return out.select(F.round("to_reference", 6).alias("to_reference"), F.round("to_other", 6).alias("to_other"))
 
 
-@query("neighbourhood_coverage", "V9 J9", f"""WITH e AS (SELECT * FROM embeddings WHERE vec_id < 200), s AS (SELECT q.vec_id AS a, d.vec_id AS b, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DOT} DESC, d.vec_id) AS rank FROM e q JOIN e d ON q.vec_id <> d.vec_id)
+@query("neighbourhood_coverage", "V9 J9", f"""WITH e AS (SELECT * FROM embeddings), s AS (SELECT q.vec_id AS a, d.vec_id AS b, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DOT} DESC, d.vec_id) AS rank FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
 SELECT group_id, round(avg(c), 6) AS coverage FROM (SELECT x.label AS group_id, x.vec_id, avg((s.rank <= 20)::INT) AS c FROM e x JOIN e y ON x.label = y.label AND x.vec_id <> y.vec_id JOIN s ON s.a = x.vec_id AND s.b = y.vec_id GROUP BY 1, 2) GROUP BY 1""")
 def neighbourhood_coverage(spark, d):
-    e = emb(spark, d).filter("vec_id < 200")
-    near = dense.search(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d")), 20)
-    return dense.neighbourhood_coverage(near, e.select(F.col("label").alias("group_id"), F.col("vec_id").alias("doc_id"))).withColumn("coverage", F.round("coverage", 6))
+    groups = emb(spark, d).select(F.col("label").alias("group_id"), F.col("vec_id").alias("doc_id"))
+    near = dense.search(asked(spark, d), stored(spark, d), 20)
+    return dense.neighbourhood_coverage(near, groups, asked(spark, d).select(F.col("query_id").alias("doc_id"))).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("within_cross_distance", "V13", """SELECT q.label AS label, (SELECT count(*) FROM embeddings z WHERE z.label = q.label) AS n, round(avg(1 - list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[])), 6) AS distance FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id GROUP BY q.label""")
@@ -142,11 +142,11 @@ def position_encoding(spark, d):
 
 
 HALVES = f"""s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_dot_product(q.embedding[1:32]::DOUBLE[], d.embedding[1:32]::DOUBLE[]) AS a, list_dot_product(q.embedding[33:64]::DOUBLE[], d.embedding[33:64]::DOUBLE[]) AS b
-  FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id < 20)"""
+  FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)"""
 
 
 def halves(spark, d):
-    pairs = stored(spark, d).join(F.broadcast(asked(spark, d)), F.col("query_id") != F.col("doc_id"))
+    pairs = dense.paired(asked(spark, d), stored(spark, d))
     part = lambda i: v.dot(F.slice("q", i, 32), F.slice("d", i, 32))
     return pairs.select("query_id", "doc_id", part(1).alias("a"), part(33).alias("b"))
 
@@ -174,7 +174,7 @@ def debias(spark, d):
 
 @query("alpha_sweep", "R4 I3", f"""WITH {HALVES}, z AS (SELECT *, (a - avg(a) OVER w) / (stddev_samp(a) OVER w + 1e-8::DOUBLE) AS z FROM s WINDOW w AS (PARTITION BY query_id)), al AS (SELECT unnest(range(11)) / 10::DOUBLE AS alpha),
 t AS (SELECT alpha, query_id, doc_id, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round(alpha * z + (1 - alpha) * b, 9) DESC, doc_id) AS rank FROM z, al),
-q AS (SELECT x.vec_id AS query_id, y.vec_id AS doc_id FROM embeddings x JOIN embeddings y USING (label) WHERE x.vec_id < 20 AND x.vec_id <> y.vec_id)
+q AS (SELECT x.vec_id AS query_id, y.vec_id AS doc_id FROM embeddings x JOIN embeddings y USING (label) WHERE x.vec_id % 50 = 0 AND x.vec_id <> y.vec_id)
 SELECT alpha, round(avg(hits / rel::DOUBLE), 6) AS recall FROM (SELECT alpha, query_id, count(q.doc_id) AS hits FROM t LEFT JOIN q USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1, 2) JOIN (SELECT query_id, count(*) AS rel FROM q GROUP BY 1) USING (query_id) GROUP BY alpha""")
 def alpha_sweep(spark, d):
     return ranking.alpha_sweep(halves(spark, d), dense_qrels(spark, d)).withColumn("recall", F.round("recall", 6))
@@ -402,9 +402,9 @@ def first_hit_turn(spark, d):
     return agentlog.first_hit(calls(spark, d))
 
 
-@query("sequence_patterns", "A37 O3", f"WITH {CALLS} SELECT path, count(*) AS queries FROM (SELECT query_id, string_agg(tool, ' > ' ORDER BY turn) AS path FROM c WHERE turn <= 3 GROUP BY 1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("sequence_patterns", "A37 O3", f"WITH {CALLS} SELECT path, count(*) AS queries FROM (SELECT query_id, string_agg(tool, ' > ' ORDER BY turn) AS path FROM c GROUP BY 1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def sequence_patterns(spark, d):
-    return agentlog.sequences(calls(spark, d).filter("turn <= 3"), 10)
+    return agentlog.sequences(calls(spark, d), 10)
 
 
 @query("never_hit_users", "J18 A21 J6", f"WITH {CALLS} SELECT DISTINCT query_id FROM c WHERE query_id NOT IN (SELECT query_id FROM c WHERE hit AND turn <= 10)")
@@ -419,10 +419,10 @@ def token_budget(spark, d):
     return rows.select("conv_id", "turn", "tokens", "used", "state")
 
 
-@query("pruned_messages", "C12", r"SELECT conv_id, turn, role, CASE WHEN role IN ('tool', 'user') THEN regexp_replace(m, '\[42\][^\[]*', '[42] [PRUNED] ', 'g') ELSE m END AS content FROM (SELECT conv_id, turn, role, 'see [42] ' || substr(text, 1, 40) || ' [7] end' AS m FROM conversations WHERE NOT contains(substr(text, 1, 40), '['))")
+@query("pruned_messages", "C12", r"SELECT conv_id, turn, role, CASE WHEN role IN ('tool', 'user') THEN regexp_replace(m, '\[42\][^\[]*', '[42] [PRUNED] ', 'g') ELSE m END AS content FROM (SELECT conv_id, turn, role, 'see [42] ' || text || ' [7] end' AS m FROM conversations)")
 def pruned_messages(spark, d):
-    rows = table(spark, d, "conversations").filter(~F.substring("text", 1, 40).contains("["))
-    m = F.concat(F.lit("see [42] "), F.substring("text", 1, 40), F.lit(" [7] end"))
+    rows = table(spark, d, "conversations")
+    m = F.concat(F.lit("see [42] "), F.col("text"), F.lit(" [7] end"))
     return rows.select("conv_id", "turn", "role", tx.pruned(m, F.col("role"), "42").alias("content"))
 
 
@@ -478,9 +478,9 @@ def metrics_by_flags(spark, d):
     return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_discount"), 4).alias("discount"), F.count(F.lit(1)).alias("n"))
 
 
-@query("renumbered_ranking", "K5 W10", "SELECT o_orderkey, query_id, CAST(row_number() OVER (PARTITION BY island ORDER BY o_orderkey) AS INTEGER) AS rank FROM (SELECT *, sum(c) OVER (ORDER BY o_orderkey) AS island FROM (SELECT o_orderkey, o_custkey % 3 AS query_id, coalesce((lag(o_custkey % 3) OVER (ORDER BY o_orderkey) <> o_custkey % 3)::INT, 0) AS c FROM orders WHERE o_orderkey <= 500))")
+@query("renumbered_ranking", "K5 W10", "SELECT o_orderkey, query_id, CAST(row_number() OVER (PARTITION BY island ORDER BY o_orderkey) AS INTEGER) AS rank FROM (SELECT *, sum(c) OVER (ORDER BY o_orderkey) AS island FROM (SELECT o_orderkey, o_custkey % 3 AS query_id, coalesce((lag(o_custkey % 3) OVER (ORDER BY o_orderkey) <> o_custkey % 3)::INT, 0) AS c FROM orders))")
 def renumbered_ranking(spark, d):
-    rows = table(spark, d, "orders").filter("o_orderkey <= 500").select("o_orderkey", (F.col("o_custkey") % 3).alias("query_id"))
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("query_id"))
     return ranking.renumbered(rows, "o_orderkey")
 
 
@@ -505,7 +505,7 @@ def dimension_spread(spark, d):
 
 
 @query("weight_search", "R11 A9", f"""WITH {HALVES}, v AS (SELECT row_number() OVER (ORDER BY x, y) - 1 AS trial, x / (x + y)::DOUBLE AS wa, y / (x + y)::DOUBLE AS wb FROM (SELECT unnest(range(5)) AS x), (SELECT unnest(range(5)) AS y) WHERE x + y > 0),
-q AS (SELECT x.vec_id AS query_id, y.vec_id AS doc_id FROM embeddings x JOIN embeddings y USING (label) WHERE x.vec_id < 20 AND x.vec_id <> y.vec_id)
+q AS (SELECT x.vec_id AS query_id, y.vec_id AS doc_id FROM embeddings x JOIN embeddings y USING (label) WHERE x.vec_id % 50 = 0 AND x.vec_id <> y.vec_id)
 SELECT CAST(trial AS INTEGER) AS trial, round(5 * count(q.doc_id) / (4 * (SELECT count(*) FROM q) + count(*))::DOUBLE, 6) AS f2 FROM s JOIN v ON round(wa * a + wb * b, 9) >= 0.05 LEFT JOIN q ON q.query_id = s.query_id AND q.doc_id = s.doc_id GROUP BY trial""")
 def weight_search(spark, d):
     s = halves(spark, d)
@@ -517,8 +517,8 @@ def weight_search(spark, d):
 def learned_ranker(spark, d):
     pairs = _scored(spark, d).select("query_id", "doc_id", F.col("score").alias("cosine"), F.col("relevant").cast("int").alias("label"))
     rows = learning.pair_features(pairs, asked(spark, d), stored(spark, d), "cosine")
-    model = learning.fit_ranker(rows.filter("query_id % 2 = 0"))
-    return learning.predict_top_k(model, rows.filter("query_id % 2 = 1"), 10)
+    model = learning.fit_ranker(rows.filter("query_id % 100 = 0"))
+    return learning.predict_top_k(model, rows.filter("query_id % 100 = 50"), 10)
 
 
 @query("bootstrap_interval", "A30")

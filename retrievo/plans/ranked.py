@@ -225,7 +225,7 @@ def rank_range_negatives(spark, d):
 
 @query("filled_negatives", "L16 J6", with_run("""SELECT query_id, doc_id, CAST(place AS INTEGER) AS place FROM have UNION ALL SELECT query_id, doc_id, CAST(place AS INTEGER) FROM (
   SELECT n.query_id, s.doc_id, n.have + row_number() OVER (PARTITION BY n.query_id ORDER BY md5('fill' || s.doc_id), s.doc_id) AS place
-  FROM (SELECT query_id, coalesce(max(place), 0) AS have FROM (SELECT DISTINCT query_id FROM qrels) LEFT JOIN have USING (query_id) GROUP BY 1) n CROSS JOIN (SELECT doc_id FROM documents ORDER BY md5('fill' || doc_id), doc_id LIMIT 12) s
+  FROM (SELECT query_id, coalesce(max(place), 0) AS have FROM (SELECT DISTINCT query_id FROM qrels) LEFT JOIN have USING (query_id) GROUP BY 1) n CROSS JOIN documents s
   WHERE n.have < 3 AND NOT EXISTS (SELECT 1 FROM qrels g WHERE g.query_id = n.query_id AND g.doc_id = s.doc_id) AND NOT EXISTS (SELECT 1 FROM have h WHERE h.query_id = n.query_id AND h.doc_id = s.doc_id)) WHERE place <= 3""",
   "have AS (SELECT query_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM (SELECT * FROM run WHERE rank <= 2) r ANTI JOIN qrels USING (query_id, doc_id)) WHERE place <= 3)"))
 def filled_negatives(spark, d):
@@ -259,24 +259,26 @@ def model_effect(spark, d):
     return analysis.helped(pool, ranking.rerank(pool, shared_tokens(spark, d, pool), 50), qrels(spark, d))
 
 
-GRAPH = f"""WITH {TOKENS.replace("FROM documents)", "FROM documents WHERE lang = 'es')").replace("documents d LEFT", "(SELECT * FROM documents WHERE lang = 'es') d LEFT")},
-w AS (SELECT p.doc_id AS dst, p.term, k.idf * p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.length / a.average)) AS s FROM posts p JOIN kept k USING (term) JOIN lens l USING (doc_id), av a WHERE k.df <= 20),
-g AS (SELECT p.doc_id AS src, w.dst, round(sum(s), 9) AS weight FROM posts p JOIN w USING (term) WHERE p.doc_id <> w.dst GROUP BY ALL)
+GRAPH = f"""WITH {TOKENS},
+w AS (SELECT p.doc_id AS dst, p.term, k.idf * p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.length / a.average)) AS s FROM posts p JOIN kept k USING (term) JOIN lens l USING (doc_id), av a),
+g AS (SELECT p.doc_id AS src, w.dst, round(sum(s), 9) AS weight FROM posts p JOIN w USING (term) WHERE p.doc_id <> w.dst AND p.doc_id % 50 = 0 GROUP BY ALL)
 SELECT src, dst, CAST(nbr_rank AS INTEGER) AS nbr_rank, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS nbr_rank FROM g) WHERE nbr_rank <= 8"""
 
 
 @query("doc_graph_topk", "L7 J13", GRAPH)
 def doc_graph_topk(spark, d):
-    es = table(spark, d, "documents").filter("lang = 'es'").select("doc_id", "text")
-    return lexical.document_graph(es, 8, max_df_abs=20).withColumn("weight", F.round("weight", 6))
+    asked = corpus(spark, d).select("doc_id").filter("doc_id % 50 = 0")
+    return lexical.document_graph(corpus(spark, d), 8, sources=asked).withColumn("weight", F.round("weight", 6))
 
 
 def _adaptive(spark, d, plan):
-    es = table(spark, d, "documents").filter("lang = 'es'").select("doc_id", "text")
-    pool = run(spark, d, 20)
-    near = lexical.document_graph(es, 8, max_df_abs=20)
-    reach = pool.join(near, pool["doc_id"] == near["src"]).select("query_id", F.col("dst").alias("doc_id"))
-    scores = shared_tokens(spark, d, pool.select("query_id", "doc_id").unionByName(reach).distinct())
+    """Edges of the pool's documents and of their neighbours; documents beyond these count as 0."""
+    docs, pool = corpus(spark, d), run(spark, d, 20)
+    near = lexical.document_graph(docs, 8, sources=pool.select("doc_id").distinct())
+    reach = near.select(F.col("dst").alias("doc_id")).distinct()
+    near = near.unionByName(lexical.document_graph(docs, 8, sources=reach)).dropDuplicates(["src", "dst"])
+    close = pool.join(near, pool["doc_id"] == near["src"]).select("query_id", F.col("dst").alias("doc_id"))
+    scores = shared_tokens(spark, d, pool.select("query_id", "doc_id").unionByName(close).distinct())
     return adaptive.rerank(pool, near, scores, plan), pool
 
 
@@ -316,14 +318,13 @@ def keyword_normalised(spark, d):
 STOP = ("the", "and", "that", "with")
 
 
-@query("key_terms", "L13 W9", r"""WITH s AS (SELECT doc_id, regexp_split_to_array(trim(lower(text)), '\s+') AS a FROM documents WHERE lang = 'en'),
+@query("key_terms", "L13 W9", r"""WITH s AS (SELECT doc_id, regexp_split_to_array(trim(lower(text)), '\s+') AS a FROM documents),
 p AS (SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS raw FROM s), w AS (SELECT doc_id, pos, regexp_replace(raw, '[^a-z\-]', '', 'g') AS w FROM p),
 n AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM w), f AS (SELECT * FROM n WHERE length(w) >= 3 AND w NOT IN ('the', 'and', 'that', 'with') AND w NOT IN ('for', 'thing')),
 t AS (SELECT doc_id, w AS term FROM f UNION SELECT doc_id, w || ' ' || nx FROM f WHERE length(nx) >= 3 AND nx NOT IN ('the', 'and', 'that', 'with'))
 SELECT term, count(*) AS docs FROM t GROUP BY term ORDER BY docs DESC, term LIMIT 20""")
 def key_terms(spark, d):
-    en = table(spark, d, "documents").filter("lang = 'en'")
-    return lexical.key_terms(en, "For thing", STOP, 20)
+    return lexical.key_terms(corpus(spark, d), "For thing", STOP, 20)
 
 
 @query("word_frequencies", "L14", r"""SELECT term, n FROM (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zA-ZÀ-ɏ]+')) AS term FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark WHERE item_id % 2 = 0)) GROUP BY 1) WHERE n >= 20""")
