@@ -58,7 +58,7 @@ def dense_metrics(spark, d):
     return metrics.summary(metrics.per_query(dense.search(asked(spark, d), stored(spark, d), 100), dense_qrels(spark, d), (10, 50, 100)))
 
 
-@query("dense_shard_merge", "V3 S18", f"WITH {TOP} SELECT query_id, doc_id, rank, round(score, 9) AS score FROM r WHERE rank <= 5")
+@query("dense_shard_merge", "V3", f"WITH {TOP} SELECT query_id, doc_id, rank, round(score, 9) AS score FROM r WHERE rank <= 5")
 def dense_shard_merge(spark, d):
     shards = [dense.search(asked(spark, d), stored(spark, d).filter(F.pmod("doc_id", F.lit(4)) == i), 5) for i in range(4)]
     found = shards[0]
@@ -242,7 +242,7 @@ def acts(spark, d):
     return analysis.structure(table(spark, d, "part").withColumnRenamed("p_partkey", "doc_id").select("doc_id", "p_brand"), "p_brand", "doc_id")
 
 
-@query("act_positions", "A22 C5", f"WITH {ACTS} SELECT doc_id, p_brand, CAST(act_id AS INTEGER) AS act_id, round(position, 9) AS position FROM st")
+@query("act_positions", "A22", f"WITH {ACTS} SELECT doc_id, p_brand, CAST(act_id AS INTEGER) AS act_id, round(position, 9) AS position FROM st")
 def act_positions(spark, d):
     return acts(spark, d).select("doc_id", "p_brand", "act_id", F.round("position", 9).alias("position"))
 
@@ -273,7 +273,7 @@ def group_cohesion(spark, d):
     return per.agg(F.round(F.avg("c"), 6).alias("cohesion"), F.count(F.lit(1)).alias("queries"))
 
 
-@query("proximity_edges", "J10 C16", "SELECT a.p_brand AS p_brand, a.p_partkey AS src, b.p_partkey AS dst, b.p_partkey - a.p_partkey AS \"offset\" FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND abs(a.p_partkey - b.p_partkey) <= 5")
+@query("proximity_edges", "J10", "SELECT a.p_brand AS p_brand, a.p_partkey AS src, b.p_partkey AS dst, b.p_partkey - a.p_partkey AS \"offset\" FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND abs(a.p_partkey - b.p_partkey) <= 5")
 def proximity_edges(spark, d):
     rows = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_partkey").alias("num"))
     return analysis.band_join(rows, "p_partkey", "num", 5, "p_brand")
@@ -402,7 +402,7 @@ def first_hit_turn(spark, d):
     return agentlog.first_hit(calls(spark, d))
 
 
-@query("sequence_patterns", "A37 O3", f"WITH {CALLS} SELECT path, count(*) AS queries FROM (SELECT query_id, string_agg(tool, ' > ' ORDER BY turn) AS path FROM c GROUP BY 1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("sequence_patterns", "A37", f"WITH {CALLS} SELECT path, count(*) AS queries FROM (SELECT query_id, string_agg(tool, ' > ' ORDER BY turn) AS path FROM c GROUP BY 1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def sequence_patterns(spark, d):
     return agentlog.sequences(calls(spark, d), 10)
 
@@ -426,38 +426,38 @@ def pruned_messages(spark, d):
     return rows.select("conv_id", "turn", "role", tx.pruned(m, F.col("role"), "42").alias("content"))
 
 
-@query("page_titles", "S13", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages")
+@query("page_titles", "", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages")
 def page_titles(spark, d):
     return table(spark, d, "pages").select("page_id", pg.title(F.col("html")).alias("title"))
 
 
-@query("page_links", "S13", "SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=\"([^\"]*)\"', 1)) AS link FROM pages")
+@query("page_links", "", "SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=\"([^\"]*)\"', 1)) AS link FROM pages")
 def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(pg.links(F.col("html"))).alias("link"))
 
 
-@query("latest_label_wins", "X5 T3", "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+@query("latest_label_wins", "T3", "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def latest_label_wins(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value")
     return agreement.latest(rows.select("user_id", "event_type", F.col("event_id"), "ts", "value"), "ts", "user_id", "event_type").select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
 
 
-@query("events_tumbling", "X1", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS \"end\", event_type, count(*) AS events, round(sum(value::DECIMAL(18, 4)), 4)::DOUBLE AS total FROM events GROUP BY 1, 2, 3")
+@query("events_tumbling", "", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS \"end\", event_type, count(*) AS events, round(sum(value::DECIMAL(18, 4)), 4)::DOUBLE AS total FROM events GROUP BY 1, 2, 3")
 def events_tumbling(spark, d):
     return logs.windowed(table(spark, d, "events"), "6 hours")
 
 
-@query("events_sliding", "X1", "SELECT s AS start, s + INTERVAL 12 HOUR AS \"end\", event_type, count(*) AS events, round(sum(value::DECIMAL(18, 4)), 4)::DOUBLE AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS s FROM events) GROUP BY 1, 2, 3")
+@query("events_sliding", "", "SELECT s AS start, s + INTERVAL 12 HOUR AS \"end\", event_type, count(*) AS events, round(sum(value::DECIMAL(18, 4)), 4)::DOUBLE AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS s FROM events) GROUP BY 1, 2, 3")
 def events_sliding(spark, d):
     return logs.windowed(table(spark, d, "events"), "12 hours", "6 hours")
 
 
-@query("events_session", "X1", "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOUR AS \"end\", count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 8 HOUR, true))::INT AS new FROM events)) GROUP BY user_id, s")
+@query("events_session", "", "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOUR AS \"end\", count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 8 HOUR, true))::INT AS new FROM events)) GROUP BY user_id, s")
 def events_session(spark, d):
     return logs.sessions(table(spark, d, "events"), "8 hours")
 
 
-@query("stream_equals_batch", "X1 X2", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS \"end\", event_type, count(*) AS events, round(sum(value::DECIMAL(18, 4)), 4)::DOUBLE AS total FROM events GROUP BY 1, 2, 3")
+@query("stream_equals_batch", "", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS \"end\", event_type, count(*) AS events, round(sum(value::DECIMAL(18, 4)), 4)::DOUBLE AS total FROM events GROUP BY 1, 2, 3")
 def stream_equals_batch(spark, d):
     """The tumbling windows from a stream that is run to its end."""
     import uuid
@@ -473,7 +473,7 @@ def stream_equals_batch(spark, d):
     return spark.table(name).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query("metrics_by_flags", "A40 F10", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 4) AS discount, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+@query("metrics_by_flags", "A40", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 4) AS discount, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def metrics_by_flags(spark, d):
     return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_discount"), 4).alias("discount"), F.count(F.lit(1)).alias("n"))
 
@@ -484,7 +484,7 @@ def renumbered_ranking(spark, d):
     return ranking.renumbered(rows, "o_orderkey")
 
 
-@query("cluster_split", "I1 V14 T4 V11")
+@query("cluster_split", "I1 V14")
 def cluster_split(spark, d):
     """Clusters chosen for the test split: far from those that stay."""
     import numpy as np

@@ -142,20 +142,20 @@ def max_relevant_filter(spark, d):
     return judgements.max_judged(qrels(spark, d), 1).select("query_id", "doc_id")
 
 
-@query("positive_qrels", "S4 S5 J8", f"WITH {QRELS} SELECT query_id, doc_id FROM qrels JOIN labels USING (doc_id) WHERE quality > 0")
+@query("positive_qrels", "S4 J8", f"WITH {QRELS} SELECT query_id, doc_id FROM qrels JOIN labels USING (doc_id) WHERE quality > 0")
 def positive_qrels(spark, d):
     graded = qrels(spark, d).drop("score").join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("score")), "doc_id")
     return metrics.positive(graded)
 
 
-@query("missing_docs", "S14 F3 J8", f"WITH {QRELS}, lab AS (SELECT DISTINCT doc_id FROM labels) SELECT (SELECT count(*) FROM qrels ANTI JOIN lab USING (doc_id)) AS missing, (SELECT count(*) FROM qrels SEMI JOIN lab USING (doc_id)) AS known")
+@query("missing_docs", "J8", f"WITH {QRELS}, lab AS (SELECT DISTINCT doc_id FROM labels) SELECT (SELECT count(*) FROM qrels ANTI JOIN lab USING (doc_id)) AS missing, (SELECT count(*) FROM qrels SEMI JOIN lab USING (doc_id)) AS known")
 def missing_docs(spark, d):
     rel, known = qrels(spark, d), table(spark, d, "labels")
     out = rel.join(known.select("doc_id", F.lit(1).alias("known")).distinct(), "doc_id", "left")
     return out.agg(F.count_if(F.col("known").isNull()).alias("missing"), F.count("known").alias("known"))
 
 
-@query("error_classes", "F4 O2", with_run("""SELECT query_id, count(*) FILTER (rank <= 10 AND g IS NOT NULL) AS tp, count(*) FILTER (rank <= 10 AND g IS NULL) AS fp, count(*) FILTER (coalesce(rank, 999) > 10 AND g IS NOT NULL) AS fn, count(*) FILTER (rank > 10 AND g IS NOT NULL) AS beyond
+@query("error_classes", "F4", with_run("""SELECT query_id, count(*) FILTER (rank <= 10 AND g IS NOT NULL) AS tp, count(*) FILTER (rank <= 10 AND g IS NULL) AS fp, count(*) FILTER (coalesce(rank, 999) > 10 AND g IS NOT NULL) AS fn, count(*) FILTER (rank > 10 AND g IS NOT NULL) AS beyond
   FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, rank, b.doc_id AS g FROM run a FULL JOIN qrels b ON a.query_id = b.query_id AND a.doc_id = b.doc_id) GROUP BY 1"""))
 def error_classes(spark, d):
     return metrics.classes(run(spark, d), qrels(spark, d))
