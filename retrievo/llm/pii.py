@@ -1,27 +1,36 @@
 """Operator 4: personal data by information-theoretic sanitisation (DataFrame functions only).
 
-Base spans are regular-expression matches that pass a check (Luhn, octets, digit counts).  A value
-that occurs in several documents is a protected entity.  Corpus co-occurrence then says how much of
-an entity's information a term beside it gives away: with document counts n and N documents,
+Base spans are regular-expression matches that pass a check (Luhn, octets, digit counts).  Every value
+found is a protected entity e, however rare.  A term t is a run of letters and digits that overlaps
+no base span of its text.  Co-occurrence in whole documents says how much of an entity's information
+the term gives away: with document counts n, N documents, and ``unseen`` pseudo-documents that hold
+the term without the entity (so that a term seen once is not taken for certain),
 
-    disclosure(t; e) = PMI(t; e) / IC(e) = log(N n_te / (n_t n_e)) / log(N / n_e)
+    disclosure(t; e) = PMI(t; e) / IC(e) = log(N n_te / ((n_t + unseen) n_e)) / log(N / n_e)
 
-Terms within ``context`` characters of a mention of e that disclose at least ``generalise`` of it are
-generalised, and those from ``remove`` on removed; both count only with ``support`` different texts.
-The counts n_t cover every document.  Documents without a protected entity get no added span.
+In a document that holds e, terms that disclose at least ``generalise`` of it are generalised, those
+from ``remove`` on removed, wherever they stand in the text.  Counts cover all rows of the table.
+
+What keeps it whole and bounded: a term can reach the threshold only where n_t + unseen <=
+n_e^g N^(1-g), as n_te <= n_e; commoner terms are ruled out before pairs are made, exactly.  Equal
+texts are one text with a weight.  Entities with the same set of texts share all their counts and are
+one profile, and one that occurs in a single text needs no counting of pairs.  What is paired is
+then a text's profiles with its rare terms.  Joins look a row's key up in a table with one row a key, so
+adaptive execution splits a key that holds a third of the rows; aggregates combine before shuffling.
 
 Positions without Python: the pieces between the matches (``split``) and the matches themselves
 (``regexp_extract_all``) alternate, so running sums of their lengths are the offsets, in code points.
 The patterns are possessive, with starts anchored to the start of a run: they match the same spans
 as the plain forms, in linear time and without recursion on very long texts.
 
-Defined cases: null text is empty text; repeated rows give repeated results; an empty table gives an
-empty result; other columns are ignored.
+Defined cases: null text is empty text; repeated rows give repeated results and count as documents;
+an entity in every document has nothing left to disclose; an empty table gives an empty result;
+other columns are ignored.  Documents without base spans get no added span.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrievo.llm.storage import materialize
@@ -98,52 +107,103 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def _neighbours(base: Column, context: int) -> Column:
-    """For each base span, the terms around it: array<struct<entity, terms: array<struct<term, start, end>>>>."""
-    def around(span):
-        left = F.greatest(span["start"] - context, F.lit(0))
-        window = F.substring(F.col("body"), left + 1, span["end"] - left + context)
-        inside = F.filter(
-            located(window, TERM),
-            lambda t: (F.length(t["value"]) >= 4) & ((t["start"] > 0) | (left == 0))
-            & ((t["end"] < F.length(window)) | (left + F.length(window) == F.length("body")))
-            & ~F.exists(base, lambda s: (s["start"] < t["end"] + left) & (t["start"] + left < s["end"])),
-        )
-        terms = F.transform(inside, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + left).alias("start"), (t["end"] + left).alias("end")))
-        return F.struct(entity(span["kind"], span["value"]).alias("entity"), terms.alias("terms"))
-
-    return F.transform(base, around)
+def _terms(texts: DataFrame) -> DataFrame:
+    """Every occurrence of a term outside the base spans: copy, term, start, end."""
+    parts = F.arrays_zip(F.regexp_extract_all("body", F.lit(TERM), F.lit(0)).alias("value"), F.split("body", TERM, -1).alias("gap"))
+    order = Window.partitionBy("copy")
+    found = texts.select("copy", F.posexplode(parts).alias("i", "p")).filter("p.value IS NOT NULL")
+    found = found.withColumn("end", F.sum(F.length("p.gap") + F.length("p.value")).over(order.orderBy("i")).cast("int"))
+    found = found.select("copy", F.lower("p.value").alias("term"), (F.col("end") - F.length("p.value")).alias("start"), "end")
+    spans = texts.select("copy", F.explode("base").alias("s")).select("copy", F.lit(None).cast("string").alias("term"), "s.start", "s.end")
+    is_base = F.col("term").isNull()
+    marked = found.unionByName(spans).select(
+        "*",
+        F.max(F.when(is_base, F.col("end"))).over(order.orderBy("start", F.col("term").asc_nulls_first())).alias("before"),
+        F.min(F.when(is_base, F.col("start"))).over(order.orderBy(F.desc("start"), F.col("term").desc_nulls_last())).alias("after"),
+    )
+    return marked.filter("term IS NOT NULL AND coalesce(before <= start, true) AND coalesce(after >= end, true)").select("copy", "term", "start", "end")
 
 
-def sanitise(
-    docs: DataFrame, *, context: int = 80, support: int = 3, generalise: float = 0.5, remove: float = 0.8,
+def disclosing(
+    found: DataFrame, docs: DataFrame, *, unseen: float, generalise: float, remove: float,
 ) -> DataFrame:
-    """One row per document: doc_id, base and added spans (array<struct<start, kind_rank, end, kind, value>>)."""
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    found = found.select("doc_id", "body", F.monotonically_increasing_id().alias("row"), F.xxhash64("body").alias("copy"), base_spans(F.col("body")).alias("base"))
-    found = materialize(found.select("doc_id", "row", "copy", "base", _neighbours(F.col("base"), context).alias("near")), "pii-found")
+    """Occurrences of disclosing terms: copy, added (spans by start), for the texts that have any."""
     total = found.count()
-    mentions = found.select("row", "copy", F.explode("near").alias("m")).select("row", "copy", "m.entity", "m.terms")
-    entities = mentions.groupBy("entity").agg(F.count_distinct("row").alias("n_e"), F.count_distinct("copy").alias("texts"))
-    protected = entities.filter(f"texts >= {support}").select("entity", "n_e")
-    beside = materialize(
-        mentions.join(protected, "entity").select("row", "copy", "entity", "n_e", F.explode("terms").alias("t"))
-        .select("row", "copy", "entity", "n_e", "t.term", "t.start", "t.end").distinct(),
-        "pii-beside",
+    holders = found.filter(F.size("base") > 0)
+    texts = holders.groupBy("copy").agg(F.first("body").alias("body"), F.first("base").alias("base"))
+    terms = materialize(_terms(texts), "pii-terms")
+
+    entities = F.array_distinct(F.transform("base", lambda s: entity(s["kind"], s["value"])))
+    mentions = holders.select("copy", F.explode(entities).alias("entity")).groupBy("copy", "entity").agg(F.count(F.lit(1)).alias("w"))
+    mentions = materialize(mentions, "pii-mentions")
+    counts = mentions.groupBy("entity").agg(
+        F.sum("w").alias("n_e"), (F.count(F.lit(1)) == 1).alias("alone"),
+        F.bit_xor(F.xxhash64("copy")).alias("set_a"), F.bit_xor(F.xxhash64("copy", F.lit(1))).alias("set_b"),
     )
-    pairs = beside.groupBy("entity", "term").agg(
-        F.first("n_e").alias("n_e"), F.count_distinct("row").alias("n_te"), F.count_distinct("copy").alias("texts")
-    ).filter(f"texts >= {support}")
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    frequency = docs.select(F.explode(F.filter(words, lambda w: F.length(w) >= 4)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    share = F.round(F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e")), 9)
-    disclosing = pairs.join(frequency, "term").withColumn("disclosure", F.when(F.col("n_e") < total, share)).filter(f"disclosure >= {generalise}")
-    kind = F.when(F.col("disclosure") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    added = beside.join(disclosing.select("entity", "term", kind.alias("kind")), ["entity", "term"])
-    added = added.groupBy("row", "start", "end", "term").agg(F.max("kind").alias("kind"))  # 'remove' wins
+    profiles = mentions.join(counts, "entity").filter(F.col("n_e") < total)  # else IC is 0
+    profiles = materialize(profiles.select("copy", "w", "n_e", "alone", "set_a", "set_b").distinct(), "pii-profiles")
+
+    def most(n_e: Column) -> Column:  # documents that a term may be in; the factor outweighs rounding
+        return F.pow(n_e, F.lit(generalise)) * F.pow(F.lit(float(total)), F.lit(1 - generalise)) * (1 + 1e-6) - unseen
+
+    largest = profiles.agg(F.max("n_e")).first()[0] or 0
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    frequency = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    frequency = frequency.filter(F.col("n_t") <= most(F.lit(largest)))
+    pairs = terms.select("copy", "term").distinct().join(frequency, "term").join(profiles, "copy")
+    pairs = materialize(pairs.filter(F.col("n_t") <= most(F.col("n_e"))), "pii-pairs")
+
+    information = F.log(F.lit(float(total)) / F.col("n_e"))
+    share = F.round(F.log(F.lit(float(total)) * F.col("n_te") / ((F.col("n_t") + unseen) * F.col("n_e"))) / information, 9)
+    own = pairs.filter("alone").withColumn("n_te", F.col("n_e")).select("copy", "term", share.alias("share"))
+    key = ["set_a", "set_b", "term"]
+    shared = pairs.filter("NOT alone")
+    told = shared.groupBy(key).agg(F.sum("w").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    told = told.select(*key, share.alias("share")).filter(F.col("share") >= generalise)
+    told = shared.select("copy", *key).join(told, key).select("copy", "term", "share").unionByName(own.filter(F.col("share") >= generalise))
+    kind = F.when(F.max("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
+    added = terms.join(told.groupBy("copy", "term").agg(kind.alias("kind")), ["copy", "term"])
     span = F.struct("start", F.lit(len(KINDS)).alias("kind_rank"), "end", "kind", F.col("term").alias("value"))
-    added = added.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("added"))  # spans of one document
-    return found.join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
+    return added.groupBy("copy").agg(F.sort_array(F.collect_list(span)).alias("added"))  # spans of one document
+
+
+def sanitise(docs: DataFrame, *, unseen: float = 1.0, generalise: float = 0.8, remove: float = 0.9) -> DataFrame:
+    """One row per document: doc_id, base and added (array<struct<start, kind_rank, end, kind, value>>), and
+    body, the text of documents with base spans (null for all others)."""
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body")).withColumn("base", base_spans(F.col("body")))
+    holds = F.size("base") > 0
+    found = found.select("doc_id", "base", F.when(holds, F.col("body")).alias("body"), F.when(holds, F.md5("body")).alias("copy"))
+    found = materialize(found, "pii-found")
+    added = disclosing(found, docs, unseen=unseen, generalise=generalise, remove=remove)
+    columns = ["doc_id", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"), "body"]
+    plain = found.filter(~holds).withColumn("added", F.array().cast(SPAN))
+    return found.filter(holds).join(added, "copy", "left").select(columns).unionByName(plain.select(columns))
+
+
+def generalised(term: Column) -> Column:
+    """A wider form of a term: a number by its order of magnitude, any other term by its class."""
+    number = F.concat(F.substring(term, 1, 1), F.repeat(F.lit("0"), F.length(term) - 1))
+    return F.when(term.rlike(r"^[0-9]+$"), number).when(term.rlike(r"\p{N}"), F.lit("<code>")).otherwise(F.lit("<term>"))
+
+
+def sanitised(docs: DataFrame, **thresholds: float) -> DataFrame:
+    """doc_id and text of every document: values give way to their kind in angle brackets, terms that
+    disclose much to a wider form, terms that disclose most to nothing.  Of overlapping base spans the first
+    by start and kind is named, and all that they cover goes.  Texts without base spans are unchanged
+    (null: empty)."""
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body")).withColumn("whole", F.md5("body"))
+    spans = sanitise(docs, **thresholds).filter(F.col("body").isNotNull())
+    spans = spans.groupBy(F.md5("body").alias("whole")).agg(F.first(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+    def step(done: Column, s: Column) -> Column:
+        new = F.when(s["kind"] == "remove", F.lit("")).when(s["kind"] == "generalise", generalised(s["value"])).otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
+        gap = F.substring(F.col("body"), done["end"] + 1, F.greatest(s["start"] - done["end"], F.lit(0)))
+        piece = F.when(s["start"] >= done["end"], F.concat(gap, new)).otherwise(F.lit(""))
+        return F.struct(F.concat(done["text"], piece).alias("text"), F.greatest(done["end"], s["end"]).alias("end"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("end"))
+    text = F.aggregate("spans", start, step, lambda d: F.concat(d["text"], F.substring(F.col("body"), d["end"] + 1, F.length("body"))))
+    return found.join(spans, "whole", "left").select("doc_id", F.coalesce(text, F.col("body")).alias("text"))
 
 
 def written(spans: Column) -> Column:
@@ -181,24 +241,23 @@ base AS (
     SELECT row, value, regexp_replace(value, '[^0-9]', '', 'g') AS digits, CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
     FROM (SELECT row, found, gaps, unnest(found) AS value, generate_subscripts(found, 1) AS i FROM (SELECT row, regexp_extract_all(body, '\+[0-9][\x20().0-9-]+[0-9]') AS found, regexp_split_to_array(body, '\+[0-9][\x20().0-9-]+[0-9]') AS gaps FROM d)))
   WHERE length(digits) BETWEEN 10 AND 15),
-near AS (
-  SELECT *, CASE WHEN kind IN ('card', 'phone') THEN kind || ':' || regexp_replace(value, '[^0-9]', '', 'g') ELSE kind || ':' || lower(value) END AS entity, greatest(start - 80, 0) AS lo,
-         substr(body, greatest(start - 80, 0) + 1, "end" - greatest(start - 80, 0) + 80) AS context, length(body) AS size, body FROM base JOIN d USING (row)),
+mentions AS (
+  SELECT DISTINCT row, CASE WHEN kind IN ('card', 'phone') THEN kind || ':' || regexp_replace(value, '[^0-9]', '', 'g') ELSE kind || ':' || lower(value) END AS entity FROM base),
 terms AS (
-  SELECT row, entity, body, lo, context, size, t, CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos
-  FROM (SELECT row, entity, body, lo, context, size, found, gaps, unnest(found) AS t, generate_subscripts(found, 1) AS i
-    FROM (SELECT *, regexp_extract_all(context, '[\p{L}\p{N}]+') AS found, regexp_split_to_array(context, '[\p{L}\p{N}]+') AS gaps FROM near))),
-beside AS (
-  SELECT DISTINCT row, entity, body, lower(t) AS term, pos + lo AS start, pos + lo + length(t) AS "end" FROM terms
-  WHERE length(t) >= 4 AND (pos > 0 OR lo = 0) AND (pos + length(t) < length(context) OR lo + length(context) = size)
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = terms.row AND b.start < pos + lo + length(t) AND pos + lo < b."end")),
-entities AS (SELECT entity, count(DISTINCT row) AS n_e FROM near GROUP BY entity HAVING count(DISTINCT body) >= 3),
-pairs AS (SELECT entity, term, any_value(n_e) AS n_e, count(DISTINCT row) AS n_te FROM beside JOIN entities USING (entity) GROUP BY ALL HAVING count(DISTINCT body) >= 3),
-freq AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT row, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM d) WHERE length(term) >= 4 GROUP BY term),
+  SELECT row, lower(t) AS term, CAST(sum(length(t) + length(gap)) OVER (PARTITION BY row ORDER BY i) AS BIGINT) AS "end", "end" - length(t) AS start FROM (
+    SELECT row, found[i] AS t, gaps[i] AS gap, i FROM (
+      SELECT row, found, gaps, generate_subscripts(found, 1) AS i FROM (
+        SELECT row, regexp_extract_all(body, '[\p{L}\p{N}]+') AS found, regexp_split_to_array(body, '[\p{L}\p{N}]+') AS gaps FROM d WHERE row IN (SELECT row FROM base))))),
+beside AS (SELECT * FROM terms WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = terms.row AND b.start < terms."end" AND terms.start < b."end")),
+entities AS (SELECT entity, count(*) AS n_e FROM mentions GROUP BY entity),
+pairs AS (
+  SELECT entity, term, any_value(n_e) AS n_e, count(*) AS n_te FROM (SELECT DISTINCT row, term FROM beside) JOIN mentions USING (row) JOIN entities USING (entity) GROUP BY entity, term),
+freq AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT row, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM d) GROUP BY term),
 told AS (
-  SELECT entity, term, round(ln(n::DOUBLE * n_te / (n_t * n_e)) / ln(n::DOUBLE / n_e), 9) AS share FROM pairs JOIN freq USING (term), (SELECT count(*) AS n FROM d) WHERE n_e < n),
+  SELECT entity, term, round(ln(n::DOUBLE * n_te / ((n_t + 1.0::DOUBLE) * n_e)) / ln(n::DOUBLE / n_e), 9) AS share FROM pairs JOIN freq USING (term), (SELECT count(*) AS n FROM d) WHERE n_e < n),
 added AS (
-  SELECT row, 4 AS kind_rank, max(CASE WHEN share >= 0.8 THEN 'remove' ELSE 'generalise' END) AS kind, start, "end", term AS value FROM beside JOIN told USING (entity, term) WHERE share >= 0.5 GROUP BY row, start, "end", term)
+  SELECT row, 4 AS kind_rank, max(CASE WHEN share >= 0.9 THEN 'remove' ELSE 'generalise' END) AS kind, start, "end", term AS value
+  FROM beside JOIN mentions USING (row) JOIN told USING (entity, term) WHERE share >= 0.8 GROUP BY row, start, "end", term)
 SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(s.spans, '') AS spans
 FROM d LEFT JOIN (SELECT row, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
     string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, kind_rank) AS spans FROM base GROUP BY row) b USING (row)
