@@ -99,7 +99,9 @@ def blocks(docs: DataFrame, folder: str, ranks_path: str | None = None) -> DataF
             rows = np.array([held for _, held, _, _ in part], dtype=bool)
             sizes = np.array([len(w) for _, _, w, _ in part], dtype=np.int64)
             words = np.concatenate([w for _, _, w, _ in part])
-            keys, number = np.unique(words, return_inverse=True)
+            number, keys = pd.factorize(words)
+            order = np.argsort(keys)
+            keys, number = keys[order], np.argsort(order)[number]
             doc = np.repeat(np.arange(len(part)), sizes)
             train = np.bincount(number[~rows[doc]], minlength=len(keys))
             # the words of a text in any order: sorted numbers, as differences, take less room
@@ -199,26 +201,33 @@ def classes(table: np.ndarray, known: np.ndarray, rng: np.random.Generator) -> n
     return cls
 
 
+def exponentials(a: np.ndarray, most: float) -> None:
+    """In place, of what is at most ``most``."""
+    if a.max(initial=0) > most:
+        np.minimum(a, most, out=a)
+    np.exp(a, out=a)
+
+
 def _forward(w: dict[str, np.ndarray], symbols: np.ndarray) -> dict[str, np.ndarray]:
     """Masked attention over a batch of windows; logits of the class after each position."""
-    x = w["e"][symbols] + w["p"][: symbols.shape[1]]
+    x = w["e"].take(symbols, axis=0)
+    x += w["p"][: symbols.shape[1]]
     n = x.shape[1]
-    qkv = x.reshape(-1, DIM) @ w["qkv"]
-    q, k, v = (a.reshape(x.shape) for a in (qkv[:, :DIM], qkv[:, DIM : 2 * DIM], qkv[:, 2 * DIM :]))
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    np.minimum(a, 30, out=a)
-    np.exp(a, out=a)
+    rows = x.reshape(-1, DIM)
+    q, k, v = ((rows @ w["qkv"][:, i * DIM : (i + 1) * DIM]).reshape(x.shape) for i in range(3))
+    a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+    exponentials(a, 30)
     a *= np.tri(n, dtype=a.dtype)
-    total = a.sum(axis=2, keepdims=True)
-    total += 1e-30
+    a /= (a.reshape(-1, n) @ np.ones((n, 1), a.dtype) + 1e-30).reshape(*a.shape[:2], 1)
     o = np.matmul(a, v)
-    o /= total
-    h = (x + o).reshape(-1, DIM)
-    f = np.maximum(h @ w["f1"], 0)
-    g = h + f @ w["f2"]
+    h = rows + o.reshape(-1, DIM)
+    f = h @ w["f1"]
+    np.maximum(f, 0, out=f)
+    g = f @ w["f2"]
+    g += h
     z = g @ w["u"]
     z += w["b"]
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "total": total, "h": h, "f": f, "g": g, "z": z}
+    return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "f": f, "g": g, "z": z}
 
 
 class Tables:
@@ -231,19 +240,21 @@ class Tables:
         self.position = [w["p"] @ p for p in parts]
         self.mask, self.ones = np.tri(WIDTH, dtype=np.float32), np.ones((WIDTH, 1), np.float32)
 
-    def logits(self, symbols: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    def logits(self, symbols: np.ndarray, wanted: np.ndarray, skip: int = 0) -> np.ndarray:
+        """After the wanted places, counted in the windows without their first ``skip`` positions, which are context only."""
         w, n = self.w, symbols.shape[1]
-        q, k, v = (s.take(symbols, axis=0) for s in self.symbol)
-        for part, position in zip((q, k, v), self.position, strict=True):
-            part += position[:n]
+        asked = np.ascontiguousarray(symbols[:, skip:])
+        q, k, v = (s.take(rows, axis=0) for s, rows in zip(self.symbol, (asked, symbols, symbols), strict=True))
+        q += self.position[0][skip:n]
+        k += self.position[1][:n]
+        v += self.position[2][:n]
         a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
-        np.minimum(a, 30, out=a)
-        np.exp(a, out=a)
-        a *= self.mask[:n, :n]
+        exponentials(a, 30)
+        a *= self.mask[skip:n, :n]
         h = np.matmul(a, v).reshape(-1, DIM)[wanted]
         h /= (a.reshape(-1, n) @ self.ones[:n])[wanted] + 1e-30
-        h += w["e"].take(symbols.ravel()[wanted], axis=0)
-        h += w["p"][wanted % n]
+        h += w["e"].take(asked.ravel()[wanted], axis=0)
+        h += w["p"][skip:].take(wanted % (n - skip), axis=0)
         f = h @ w["f1"]
         np.maximum(f, 0, out=f)
         h += f @ w["f2"]
@@ -255,27 +266,35 @@ class Tables:
 def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, want: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log probability of the classes wanted (-1: none) after each position."""
     c, want = _forward(w, inputs), want.ravel()
-    dz = np.exp(c["z"] - c["z"].max(axis=1, keepdims=True))
-    dz /= dz.sum(axis=1, keepdims=True)
-    real = want >= 0
-    dz[np.arange(len(want)), np.maximum(want, 0)] -= 1
-    dz *= (real / max(1, real.sum()))[:, None].astype(dz.dtype)
-    grad = {"u": c["g"].T @ dz, "b": dz.sum(axis=0)}
+    dz, size = c["z"], len(w["e"])
+    real = (want >= 0).astype(dz.dtype)
+    real /= max(1, np.count_nonzero(real))
+    exponentials(dz, 60)
+    dz *= (real / (dz @ np.ones(CLASSES, dz.dtype) + 1e-30))[:, None]
+    dz[np.arange(len(want)), np.maximum(want, 0)] -= real
+    grad = {"u": c["g"].T @ dz, "b": np.ones(len(dz), dz.dtype) @ dz}
     dg = dz @ w["u"].T
     grad["f2"] = c["f"].T @ dg
-    df = (dg @ w["f2"].T) * (c["f"] > 0)
+    df = dg @ w["f2"].T
+    df *= c["f"] > 0
     grad["f1"] = c["h"].T @ df
-    dh = (dg + df @ w["f1"].T).reshape(c["x"].shape)
-    share = c["a"] / c["total"]
-    da = np.matmul(dh, c["v"].transpose(0, 2, 1))
-    da = share * (da - (da * share).sum(axis=2, keepdims=True))
-    dqkv = np.concatenate((np.matmul(da, c["k"]), np.matmul(da.transpose(0, 2, 1), c["q"]), np.matmul(share.transpose(0, 2, 1), dh)), axis=2).reshape(-1, 3 * DIM)
+    dg += df @ w["f1"].T
+    dh = dg.reshape(c["x"].shape)
+    # through the softmax: a row's mean of da by its shares is the product of dh and the row's output
+    da = np.matmul(dh, np.ascontiguousarray(c["v"].transpose(0, 2, 1)))
+    da -= np.einsum("bij,bij->bi", dh, c["o"])[:, :, None]
+    da *= c["a"]
+    dqkv = np.empty((*inputs.shape, 3 * DIM), dz.dtype)
+    np.matmul(da, c["k"], out=dqkv[:, :, :DIM])
+    np.matmul(da.transpose(0, 2, 1), c["q"], out=dqkv[:, :, DIM : 2 * DIM])
+    np.matmul(c["a"].transpose(0, 2, 1), dh, out=dqkv[:, :, 2 * DIM :])
+    dqkv = dqkv.reshape(-1, 3 * DIM)
     grad["qkv"] = c["x"].reshape(-1, DIM).T @ dqkv
-    dx = dh + (dqkv @ w["qkv"].T).reshape(dh.shape)
+    dx = dg + dqkv @ w["qkv"].T
     grad["p"] = np.zeros_like(w["p"])
-    grad["p"][: dx.shape[1]] = dx.sum(axis=0)
-    grad["e"] = np.zeros_like(w["e"])
-    np.add.at(grad["e"], inputs.ravel(), dx.reshape(-1, DIM))
+    grad["p"][: inputs.shape[1]] = dx.reshape(c["x"].shape).sum(axis=0)
+    cells = (inputs.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
+    grad["e"] = np.bincount(cells, weights=dx.ravel(), minlength=size * DIM).reshape(size, DIM).astype(dx.dtype)
     return grad
 
 
@@ -288,13 +307,23 @@ def train(windows: np.ndarray, symbols: np.ndarray, target: np.ndarray, steps: i
 
 
 def _adam(w: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray, picks: Iterable[np.ndarray], steps: int, top: float) -> dict[str, np.ndarray]:
-    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    """Steps over all weights as one array, of which ``w`` becomes views."""
+    flat, ends = np.concatenate([v.ravel() for v in w.values()]), np.cumsum([v.size for v in w.values()])
+    w = {k: part.reshape(v.shape) for (k, v), part in zip(w.items(), np.split(flat, ends[:-1]), strict=True)}
+    m, s, change = (np.zeros_like(flat) for _ in range(3))
     for step, pick in enumerate(picks, 1):
         rate = top * min(1.0, step / 50) * (1 - 0.9 * step / steps)
-        for key, g in gradients(w, symbols[pick], target[pick]).items():
-            m[key] = 0.9 * m[key] + 0.1 * g
-            s[key] = 0.99 * s[key] + 0.01 * g * g
-            w[key] -= (rate * m[key] / (1 - 0.9**step) / (np.sqrt(s[key] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        grad = gradients(w, symbols[pick], target[pick])
+        g = np.concatenate([grad[k].ravel() for k in w])
+        m *= 0.9
+        m += np.multiply(g, 0.1, out=change)
+        s *= 0.99
+        g *= g
+        s += np.multiply(g, 0.01, out=change)
+        np.sqrt(np.divide(s, 1 - 0.99**step, out=change), out=change)
+        change += 1e-8
+        np.divide(m, change, out=change)
+        flat -= np.multiply(change, rate / (1 - 0.9**step), out=change)
     return w
 
 
@@ -430,7 +459,7 @@ def fit(docs: DataFrame, listed: DataFrame, folder: str, counts: np.ndarray, *,
 SLICE = 1 << 18
 
 
-def text_scores(model: Model, ids: np.ndarray, lengths: np.ndarray, batch: int = 1024) -> np.ndarray:
+def text_scores(model: Model, ids: np.ndarray, lengths: np.ndarray, batch: int = 256) -> np.ndarray:
     """log10 probability of each text: ``ids`` of all texts without start and end, one after the other."""
     out, ends = [np.zeros(0)], np.cumsum(lengths)
     at = 0
@@ -466,20 +495,18 @@ def _scores(model: Model, ids: np.ndarray, lengths: np.ndarray, batch: int) -> n
     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     first = starts[doc] + nth * STRIDE
     last = starts[doc + 1]
-    new = np.where(nth == 0, 0, WIDTH - STRIDE)
     offsets, tables, ones = np.arange(WIDTH), Tables(model.w), np.ones(CLASSES, np.float32)
-    for at in range(0, len(first), batch):
-        place = first[at : at + batch, None] + offsets
-        valid = (place < last[at : at + batch, None]) & (offsets >= new[at : at + batch, None])
-        np.minimum(place, last[at : at + batch, None] - 1, out=place)
-        where = np.flatnonzero(valid.ravel())
-        spot = place.ravel()[where]
-        z = tables.logits(symbols[place], where)
-        np.minimum(z, 60, out=z)
-        logp = z[np.arange(len(where)), cls[spot]].astype(np.float64)
-        np.exp(z, out=z)
-        logp -= np.log(z @ ones + 1e-30)
-        scored[spot] += logp / np.log(10)
+    for skip, windows in ((0, np.flatnonzero(nth == 0)), (WIDTH - STRIDE, np.flatnonzero(nth > 0))):
+        for at in range(0, len(windows), batch):
+            part = windows[at : at + batch]
+            place = first[part, None] + offsets
+            where = np.flatnonzero(place[:, skip:] < last[part, None])
+            np.minimum(place, last[part, None] - 1, out=place)
+            spot = place[:, skip:].ravel()[where]
+            z = tables.logits(symbols[place], where, skip)
+            wanted = np.minimum(z[np.arange(len(where)), cls[spot]], 60).astype(np.float64)
+            exponentials(z, 60)
+            scored[spot] += (wanted - np.log(z @ ones + 1e-30)) / np.log(10)
     return np.add.reduceat(scored, starts[:-1])
 
 
