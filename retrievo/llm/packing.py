@@ -1,8 +1,7 @@
 """Operator 9: packing documents into fixed windows by best-fit decreasing.
 
 1. Documents are tokenized in Python batches.  Byte-level BPE never joins a space to what stands
-   before it, so a text without runs of white space is the concatenation of its space-led words, and
-   a bounded cache of words saves most of the work; other texts go to the tokenizer whole.
+   before it, so very long texts go to the tokenizer in parts that begin with a single space.
 2. An overlong document is cut into full windows first, each a sequence of its own; what is left is
    a piece shorter than a window.
 3. Pieces are dealt to groups by a hash of their place in the table of pieces, and each group is
@@ -25,7 +24,9 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,34 +36,9 @@ from pyspark.sql import functions as F
 
 from retrievo.llm.storage import materialize
 
-#: White space that may be part of a longer run: such texts aren't split into words here.
-RUNS = re.compile(r" \s|\s |[^\S\n ]")
-CACHE = 200_000
-
-
-class Words(dict):
-    """Space-led word -> its ids as little-endian bytes; filled on demand.
-
-    Two generations bound the memory: when the younger is full it becomes the older, and words that
-    are looked up again move to the younger.
-    """
-
-    def __init__(self, encode, encode_letters):
-        super().__init__()
-        self.encode, self.encode_letters, self.older = encode, encode_letters, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            # a word of letters only is one piece for the merges: no need to look for pieces in it
-            found = self.encode_letters(f" {word}".encode()) if word.isalpha() else self.encode(" " + word)
-            ids = np.array(found, dtype="<u4").tobytes()
-        if len(word) < 64:
-            if len(self) >= CACHE:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+#: Where a long text is cut: before a single space between two other characters.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+LONG = 1 << 20
 
 
 def encoder(ranks_path: str, pattern: str | None = None, added: dict[str, int] | None = None):
@@ -76,16 +52,19 @@ def encoder(ranks_path: str, pattern: str | None = None, added: dict[str, int] |
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    encode = encoding.encode_ordinary
-    words = Words(encode, encoding._encode_single_piece)
     added = {token: np.array([i], dtype="<u4").tobytes() for token, i in (added or {}).items()}
     marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def ordinary(text: str) -> bytes:
-        if RUNS.search(text):
-            return np.array(encode(text), dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        return np.array(encode(first), dtype="<u4").tobytes() + b"".join(map(words.__getitem__, rest))
+        found, at = array("I"), 0
+        while at < len(text):
+            cut = CUT.search(text, at + LONG) if len(text) - at > LONG else None
+            end = cut.start() if cut else len(text)
+            found.extend(encoding.encode_ordinary(text[at:end] if at or cut else text))
+            at = end
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
     def ids(text: str) -> bytes:
         if marks and marks.search(text):

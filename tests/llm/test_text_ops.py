@@ -309,6 +309,17 @@ def test_white_space_runs_match_the_tokenizer():
         assert np.frombuffer(ids(text), dtype="<u4").tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_texts_are_cut_between_tokens(monkeypatch):
+    words = ["a", "it's", "12", "中文", "é,", "...", "x\ty", "\n", "", " ", "\x1c", "\x85b", "'ll", "\u3000", "z\xa0"]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 7, 30, 400)]
+    whole = packing.encoder(packing.default_ranks())
+    want = [whole(text) for text in texts]
+    for size in (1, 2, 5, 50):
+        monkeypatch.setattr(packing, "LONG", size)
+        assert [whole(text) for text in texts] == want
+
+
 def test_added_tokens_and_repeated_rows_when_packed(spark):
     public = pytest.importorskip("public_tokenizers")
     tokenizers = pytest.importorskip("tokenizers")
