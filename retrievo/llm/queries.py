@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express them."""
+"""The registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retrievo.llm import jaccard, lm, media, mixing, neighbours, packing, pii, secret_scan, sharding, toxicity
+from retrievo.llm import jaccard, lm, media, mixing, neighbours, packing, pii, secret_scan, sharding, stamps, toxicity
 from retrievo.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stamps.normalise(table(spark, sf_dir, "stamps")).select("stamp_id", "utc_us", "rule", "ambiguous")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
@@ -67,8 +71,9 @@ def queries() -> dict[str, Query]:
         "op8_neighbours": op8_neighbours,
         "op9_packing": op9_packing,
         "op10_secrets": op10_secrets,
+        "op11_stamps": op11_stamps,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op4_pii": pii.SQL, "op7_jaccard": jaccard.SQL}
+    return {"op1_mixing": mixing.SQL, "op4_pii": pii.SQL, "op7_jaccard": jaccard.SQL, "op11_stamps": stamps.SQL}
