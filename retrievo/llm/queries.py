@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrievo.llm import jaccard, lm, media, mixing, negatives, neighbours, packing, pii, secret_scan, sharding, stamps, toxicity
+from retrievo.llm import jaccard, lm, media, mixing, negatives, neighbours, packing, pii, secret_scan, sharding, stamps, superminhash, toxicity
 from retrievo.llm.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op11_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamps.normalise(table(spark, sf_dir, "stamps")).select("stamp_id", "utc_us", "rule", "ambiguous")
 
 
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), n=2)
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -80,9 +84,10 @@ def queries() -> dict[str, Query]:
         "op9_packing": op9_packing,
         "op10_secrets": op10_secrets,
         "op11_stamps": op11_stamps,
+        "op12_near_duplicates": op12_near_duplicates,
         "op13_negatives": op13_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op4_pii": pii.SQL, "op7_jaccard": jaccard.SQL, "op11_stamps": stamps.SQL, "op13_negatives": negatives.SQL}
+    return {"op1_mixing": mixing.SQL, "op4_pii": pii.SQL, "op7_jaccard": jaccard.SQL, "op11_stamps": stamps.SQL, "op12_near_duplicates": superminhash.SQL, "op13_negatives": negatives.SQL}
