@@ -1,38 +1,60 @@
-"""Learned re-rankers on Spark ML: features of pairs, training with oversampling, ranking, ensemble weights."""
+"""Learned re-rankers: features of pairs, boosted trees with oversampling, ranking, ensemble weights."""
 
 from __future__ import annotations
 
 from itertools import product as grid
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retrievo.functions.text import tokens
 from retrievo.functions.vectors import product
+from retrievo.operators import boosting
 from retrievo.operators.ranking import top_k
-from retrievo.operators.sampling import oversampled
 
 
 def pair_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame, *extra: str) -> DataFrame:
     """``features`` of (query_id, doc_id): component products of both vectors, then the named columns of ``pairs``."""
-    from pyspark.ml.functions import array_to_vector
-
     joined = pairs.join(queries, "query_id").join(docs, "doc_id")
     parts = F.concat(product(F.col("q"), F.col("d")), *([F.array(*[F.col(c).cast("double") for c in extra])] if extra else []))
-    return joined.withColumn("features", array_to_vector(parts)).drop("q", "d")
+    return joined.withColumn("features", parts).drop("q", "d")
+
+
+def text_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame, title: int = 12, *extra: str) -> DataFrame:
+    """``features`` of (query_id, doc_id) from texts: sparse product (1 + ln tf of shared tokens), cosine of the query's tokens with
+    the document's title (its first ``title`` tokens), share of query tokens found, Jaccard similarity, then the named columns."""
+    def worded(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.select(key, tokens(F.col("text")).alias(name))
 
+    both = pairs.join(worded(queries, "query_id", "qs"), "query_id").join(worded(docs, "doc_id", "ds"), "doc_id")
+    both = both.withColumns({"qset": F.array_distinct("qs"), "dset": F.array_distinct("ds"), "head": F.array_distinct(F.slice("ds", 1, title))})
+    both = both.withColumns({"shared": F.array_intersect("qset", "dset"), "named": F.size(F.array_intersect("qset", "head"))})
+    found = F.size("shared")
+    # occurrences of shared tokens on either side
+    repeats = lambda side: F.log1p(F.size(F.filter(side, lambda w: F.array_contains("shared", w))).cast("double"))
+    part = lambda n, of: F.when(of > 0, n / of).otherwise(0.0)
+    parts = [
+        F.log1p(found.cast("double")) * repeats("qs"), part(F.col("named"), F.sqrt(F.size("qset") * F.size("head"))), part(found, F.size("qset")),
+        part(found, F.size("qset") + F.size("dset") - found), *[F.col(c).cast("double") for c in extra],
+    ]
+    return both.withColumn("features", F.array(*parts)).drop("qs", "ds", "qset", "dset", "head", "shared", "named")
 
-def fit_ranker(rows: DataFrame, label: str = "label", factor: int = 10):
-    """A classifier of relevance; positives are repeated up to ``factor`` times, or the number of negatives."""
-    from pyspark.ml.classification import LogisticRegression
 
-    return LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01, maxIter=50).fit(oversampled(rows, label, factor))
+def positive_weight(rows: DataFrame, label: str, factor: int) -> Column:
+    """The weight of a row when positives are to count ``factor`` times, or together as much as the negatives."""
+    counts = rows.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).first()  # two numbers
+    return F.when(F.col(label) == 1, max(1.0, min(float(factor), counts["n"] / max(counts["p"], 1)))).otherwise(1.0)
 
 
-def predict_top_k(model, rows: DataFrame, k: int) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+def fit_ranker(rows: DataFrame, label: str = "label", factor: int = 10, params: boosting.Boosting = boosting.Boosting()) -> boosting.Ensemble:
+    """Boosted trees for relevance; positives weigh up to ``factor`` times, or as much as the negatives together."""
+    return boosting.fit(rows.withColumn("times", positive_weight(rows, label, factor)), "features", label, "times", params)
 
-    scored = model.transform(rows).withColumn("score", F.round(vector_to_array("probability")[1], 9))
-    return top_k(scored.select("query_id", "doc_id", "score"), k)
+
+def predict_top_k(model: boosting.Ensemble, rows: DataFrame, k: int) -> DataFrame:
+    scored = rows.select("query_id", "doc_id", F.round(model.score(F.col("features")), 9).alias("score"))
+    return top_k(scored, k)
 
 
 def search_weights(scores: DataFrame, relevant: DataFrame, models: list[str], steps: int = 4, threshold: float = 0.5) -> DataFrame:
@@ -48,6 +70,62 @@ def search_weights(scores: DataFrame, relevant: DataFrame, models: list[str], st
     return counts.withColumn("f2", f2).join(F.broadcast(weights), "trial").select("trial", "weights", "f2").orderBy(F.desc("f2"), "trial")
 
 
+def _trial_counts(wide: DataFrame, models: list[str], trials: list[tuple[list[float], float]]) -> list[tuple[int, int]]:
+    """(hits, predicted) of each trial (weights, threshold) in one pass over ``wide(r, one column a model)``; nothing is shuffled but the sums."""
+    sums = []
+    for i, (weights, threshold) in enumerate(trials):
+        total = sum(weights) or 1.0
+        score = F.round(sum((F.col(m) * (w / total) for m, w in zip(models, weights, strict=True)), F.lit(0.0)), 9)
+        sums += [F.count_if((score >= threshold) & F.col("r")).alias(f"hits{i}"), F.count_if(score >= threshold).alias(f"predicted{i}")]
+    row = wide.agg(*sums).first()
+    return [(row[f"hits{i}"], row[f"predicted{i}"]) for i in range(len(trials))]
+
+
+def parzen_search(
+    scores: DataFrame, relevant: DataFrame, models: list[str], *, trials: int = 40, together: int = 8, startup: int = 8, best_share: float = 0.25,
+    candidates: int = 24, low: float = 0.3, high: float = 0.7, seed: int = 42,
+) -> DataFrame:
+    """Weights in [0, 1] and a threshold in [low, high] by a tree of Parzen estimators: trial, weights, threshold, f2, best first.
+
+    The first ``startup`` trials are drawn evenly.  After that the trials so far are parted into the best
+    share and the rest, each a mixture of Gaussians in every dimension, and of ``candidates`` draws from
+    the first the one with the greatest ratio of densities is tried.  ``together`` trials are proposed
+    and scored in one pass over the scores; the driver holds the trials only.  The same seed gives the
+    same trials.
+    """
+    wide = scores.groupBy("query_id", "doc_id").pivot("model", models).agg(F.first("score")).fillna(0.0, models)
+    judged = relevant.select("query_id", "doc_id").distinct()
+    wide = wide.join(judged.withColumn("j", F.lit(True)), ["query_id", "doc_id"], "left").select(*models, F.coalesce("j", F.lit(False)).alias("r")).persist()
+    total = judged.count()
+    draw, dims = np.random.default_rng(seed), len(models) + 1
+    points, values = np.zeros((0, dims)), np.zeros(0)
+
+    def density(x: np.ndarray, centres: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Log density of the rows of x: Gaussians at the centres and one even part, by dimension."""
+        z = (x[:, None, :] - centres) / width
+        each = np.exp(-0.5 * z * z) / (width * np.sqrt(2 * np.pi))
+        return np.log((each.sum(axis=1) + 1.0) / (len(centres) + 1)).sum(axis=1)
+
+    while len(values) < trials:
+        n = min(together, trials - len(values))
+        if len(values) < startup:
+            new = draw.random((n, dims))
+        else:
+            order = np.lexsort((np.arange(len(values)), -values))
+            good, rest = np.split(points[order], [max(1, round(best_share * len(values)))])
+            widths = [np.maximum(x.std(axis=0), 0.02) * len(x) ** -0.2 for x in (good, rest)]
+            new = np.zeros((n, dims))
+            for i in range(n):
+                x = np.clip(good[draw.integers(0, len(good), candidates)] + draw.normal(size=(candidates, dims)) * widths[0], 0, 1)
+                new[i] = x[np.argmax(density(x, good, widths[0]) - density(x, rest, widths[1]))]
+        asked = [([float(w) for w in p[:-1].round(6)], float(round(low + (high - low) * p[-1], 6))) for p in new]
+        found = [5 * hits / (4 * total + predicted) if hits else 0.0 for hits, predicted in _trial_counts(wide, models, asked)]
+        points, values = np.concatenate((points, new)), np.concatenate((values, found))
+    wide.unpersist()
+    rows = [(i, {m: float(w) for m, w in zip(models, p[:-1].round(6), strict=True)}, float(round(low + (high - low) * p[-1], 6)), float(v)) for i, (p, v) in enumerate(zip(points, values, strict=True))]
+    return scores.sparkSession.createDataFrame(rows, "trial int, weights map<string,double>, threshold double, f2 double").orderBy(F.desc("f2"), "trial")
+
+
 def dimension_summary(rows: DataFrame, label: str, vector: str = "embedding") -> DataFrame:
     """Mean of each component by label and the spread of the means: which dimensions tell labels apart."""
     parts = rows.select(label, F.posexplode(vector).alias("dim", "x")).groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
