@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from retrievo.llm import queries, superminhash
@@ -112,6 +113,36 @@ def test_large_group_beside_rows_that_do_not_link(spark):
     assert all(got[i] == i for i in range(1300, 1360))
 
 
+@pytest.mark.parametrize("long", [8192, 100])
+def test_pairs_close_to_the_threshold(spark, monkeypatch, long):
+    monkeypatch.setattr(superminhash, "LONG", long)
+    monkeypatch.setattr(superminhash, "BLOCK_ROWS", 40)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(160)]
+    texts = []
+    for i in range(400):  # similarities on both sides of the threshold, half of the sets longer
+        words = list(base[: 80 + 80 * (i % 2)])
+        for _ in range(r.randrange(2, 9) * (1 + i % 2)):
+            words[r.randrange(len(words))] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    least, _ = groups(texts, 2, 80)
+    got = {x.doc_id: x.component_id for x in superminhash.near_duplicates(frame(spark, list(enumerate(texts))), n=2).collect()}
+    assert got == dict(enumerate(least))
+    assert 3 < len(set(least)) < 390
+
+
+def test_shared_elements_by_slices(monkeypatch):
+    monkeypatch.setattr(superminhash, "SLICE", 64)
+    r = np.random.default_rng(3)
+    found = [np.unique(r.integers(0, 500, k).astype(U)) for k in (0, 5, 90, 200, 400)]
+    frame = lambda some: superminhash.Part(pd.DataFrame({"cls": range(len(some)), "comp": range(len(some)), "n_shingles": [len(x) for x in some], "grams": [x.tobytes() for x in some]}))
+    x, y = frame(found), frame(found[::-1])
+    i, j = (k.ravel() for k in np.meshgrid(range(5), range(5)))
+    assert superminhash.shared_elements(x, i, y, j).tolist() == [len(set(found[a]) & set(found[4 - b])) for a, b in zip(i, j, strict=True)]
+    i, j = i[i != j], j[i != j]
+    assert superminhash.shared_elements(x, i, x, j).tolist() == [len(set(found[a]) & set(found[b])) for a, b in zip(i, j, strict=True)]
+
+
 def test_defined_cases(spark):
     got = superminhash.near_duplicates(cases.frame(spark), n=2).collect()
     by = {}
