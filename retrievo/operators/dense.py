@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,8 +89,6 @@ def mean_distance(rows: DataFrame, key: str, vector: str = "embedding") -> DataF
 
 def collapse(rows: DataFrame, vector: str = "embedding") -> dict[str, float]:
     """Effective ranks, spectral entropy and top variances, from the Gram matrix of the components."""
-    import numpy as np
-
     parts = rows.select(F.monotonically_increasing_id().alias("r"), vector).select("r", F.posexplode(vector).alias("i", "x"))
     mean = parts.groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centred = parts.join(F.broadcast(mean), "i").select("r", "i", (F.col("x") - F.col("m")).alias("x"))  # a row per component
@@ -115,11 +115,108 @@ def kmeans(rows: DataFrame, k: int, seed: int = 42, vector: str = "embedding") -
     return KMeans(k=k, seed=seed, initSteps=5).fit(data).transform(data).drop("features").withColumnRenamed("prediction", "cluster")
 
 
+def kmeans_starts(rows: DataFrame, k: int, starts: int = 10, seed: int = 42, rounds: int = 50, id_col: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, dict[int, float]]:
+    """Lloyd's k-means from several starts, all advanced in one pass over the rows a round.
+
+    Returns the rows with ``cluster`` of the start of least inertia, and the inertia of each start.  A
+    start begins with the k rows of least hash of id and start.  Partitions hand on sums of starts * k
+    vectors, which are combined in the shuffle; a start that no longer moves takes no part in later
+    rounds.  An empty cluster keeps its centre; a row's ties go to the lower cluster.
+    """
+    data = rows.select(F.col(vector).cast("array<double>").alias("v"))
+    matrix = lambda column: np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
+    order = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed) + F.col("start"))
+    tried = rows.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start"))
+    drawn = tried.withColumn("place", F.row_number().over(Window.partitionBy("start").orderBy(order, id_col))).filter(F.col("place") <= k)
+    drawn = drawn.join(rows.select(id_col, F.col(vector).cast("array<double>").alias("v")), id_col).dropDuplicates(["start", "place"]).collect()  # starts * k rows
+    centres = {start: np.array([r["v"] for r in sorted((r for r in drawn if r["start"] == start), key=lambda r: r["place"])]) for start in range(starts)}
+    centres = {start: c for start, c in centres.items() if len(c) == k}
+    if not centres:
+        raise ValueError(f"fewer than {k} rows")
+
+    def near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
+
+    def advanced(now: dict) -> tuple[dict, dict]:
+        names, dim = sorted(now), next(iter(now.values())).shape[1]
+
+        def run(batches):
+            sums, spread = np.zeros((len(names), k, dim + 1)), np.zeros(len(names))
+            for pdf in batches:
+                x = matrix(pdf["v"])
+                for i, name in enumerate(names):
+                    d = near(x, now[name])
+                    at = d.argmin(axis=1)
+                    spread[i] += np.maximum(d[np.arange(len(x)), at], 0).sum()
+                    np.add.at(sums[i], at, np.column_stack((x, np.ones(len(x)))))
+            cells = np.concatenate((sums.ravel(), spread))
+            yield pd.DataFrame({"cell": np.arange(len(cells)), "x": cells})
+
+        found = data.mapInPandas(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).orderBy("cell").toPandas()["x"].to_numpy()  # starts * k * dim numbers
+        sums, spread = found[: -len(names)].reshape(len(names), k, dim + 1), found[-len(names) :]
+        count = sums[:, :, -1:]
+        return {n: np.where(count[i] > 0, sums[i, :, :-1] / np.maximum(count[i], 1), now[n]) for i, n in enumerate(names)}, dict(zip(names, spread, strict=True))
+
+    moving, inertia = dict(centres), {}
+    for _ in range(rounds):
+        moved, spread = advanced(moving)
+        inertia |= spread
+        moving = {n: c for n, c in moved.items() if np.abs(c - centres[n]).max() > 1e-9}
+        centres |= moving
+        if not moving:
+            break
+    else:
+        inertia |= advanced(moving)[1]
+    best = min(inertia, key=lambda n: (round(inertia[n], 9), n))
+    chosen = centres[best]
+
+    @F.pandas_udf("int")
+    def cluster(v: pd.Series) -> pd.Series:
+        return pd.Series(near(matrix(v), chosen).argmin(axis=1))
+
+    return rows.withColumn("cluster", cluster(F.col(vector).cast("array<double>"))), inertia
+
+
+def contranorm(rows: DataFrame, key: str, id_col: str, vector: str = "embedding", scale: float = 0.5, tau: float = 1.0, block: int = 1024, eps: float = 1e-5) -> DataFrame:
+    """``vector`` of each row pushed away from its like in the group ``key`` and normalised: (1 + scale) x - scale * softmax(cos / tau) x, then
+    to mean 0 and variance 1 (with ``eps``, no learned factors).  ``id_col`` tells the rows of a group apart.
+
+    A group is cut into parts of about ``block`` rows; each two parts meet in one task, which hands on a
+    denominator and a vector for each row, so a large group is many tasks.  Cosines are at most 1, so the
+    exponentials need no common maximum and sums of parts add up.
+    """
+    plain = rows.select(F.col(key).alias("g"), F.col(id_col).alias("r"), F.col(vector).cast("array<double>").alias("x"))
+    parts = plain.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).withColumnRenamed("g", "h")
+    dealt = plain.join(parts, F.col("g").eqNullSafe(F.col("h"))).select("g", "r", "x", "parts", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int").alias("home"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = dealt.select("g", "r", "x", F.col("home").alias("i"), every.alias("j"))
+    right = dealt.select(F.col("g").alias("h"), F.col("x").alias("y"), every.alias("p"), F.col("home").alias("q"))
+    kinds = dict(plain.dtypes)
+
+    def unit_rows(x):
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def met(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["g", "r", "below", "above"])
+        x, y = (np.array(c.tolist()) for c in (a["x"], b["y"]))
+        w = np.exp(unit_rows(x) @ unit_rows(y).T / tau)
+        return pd.DataFrame({"g": a["g"], "r": a["r"], "below": w.sum(axis=1), "above": list(w @ y)})
+
+    sums = left.groupBy("g", "i", "j").cogroup(right.groupBy("h", "p", "q")).applyInPandas(met, f"g {kinds['g']}, r {kinds['r']}, below double, above array<double>")
+    zero = F.transform(F.element_at(F.collect_list("above"), 1), lambda v: F.lit(0.0))
+    total = F.aggregate(F.collect_list("above"), zero, lambda s, v: F.zip_with(s, v, lambda p, q: p + q))
+    mean = sums.groupBy("g", "r").agg(F.sum("below").alias("below"), total.alias("above")).withColumnsRenamed({"g": "h", "r": "s"})
+    both = plain.join(mean, F.col("g").eqNullSafe(F.col("h")) & (F.col("r") == F.col("s")))
+    pushed = both.select("g", "r", F.zip_with("x", "above", lambda x, a: (1 + scale) * x - scale * a / F.col("below")).alias("x"))
+    average = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
+    pushed = pushed.withColumn("mean", average("x")).withColumn("spread", average(F.transform("x", lambda v: (v - F.col("mean")) * (v - F.col("mean")))))
+    return pushed.select(F.col("g").alias(key), F.col("r").alias(id_col), F.transform("x", lambda v: (v - F.col("mean")) / F.sqrt(F.col("spread") + eps)).alias(vector))
+
+
 def accepted_queries(rows: DataFrame, limit: float = 0.92) -> DataFrame:
     """Rows (conv_id, turn, v) in order; one is accepted unless it is too similar to an accepted one before."""
     def fold(pdf):
-        import numpy as np
-
         pdf = pdf.sort_values("turn")
         kept, flags = [], []
         for v in pdf["v"]:

@@ -82,14 +82,14 @@ def _trial_counts(wide: DataFrame, models: list[str], trials: list[tuple[list[fl
 
 
 def parzen_search(
-    scores: DataFrame, relevant: DataFrame, models: list[str], *, trials: int = 40, together: int = 8, startup: int = 8, best_share: float = 0.25,
+    scores: DataFrame, relevant: DataFrame, models: list[str], *, trials: int = 40, together: int = 8, startup: int = 16, best_share: float = 0.15,
     candidates: int = 24, low: float = 0.3, high: float = 0.7, seed: int = 42,
 ) -> DataFrame:
     """Weights in [0, 1] and a threshold in [low, high] by a tree of Parzen estimators: trial, weights, threshold, f2, best first.
 
     The first ``startup`` trials are drawn evenly.  After that the trials so far are parted into the best
-    share and the rest, each a mixture of Gaussians in every dimension, and of ``candidates`` draws from
-    the first the one with the greatest ratio of densities is tried.  ``together`` trials are proposed
+    share (25 at most) and the rest, each a mixture of Gaussians and one even part in every dimension, and
+    of ``candidates`` draws from the first the one with the greatest ratio of densities is tried.  ``together`` trials are proposed
     and scored in one pass over the scores; the driver holds the trials only.  The same seed gives the
     same trials.
     """
@@ -112,11 +112,14 @@ def parzen_search(
             new = draw.random((n, dims))
         else:
             order = np.lexsort((np.arange(len(values)), -values))
-            good, rest = np.split(points[order], [max(1, round(best_share * len(values)))])
-            widths = [np.maximum(x.std(axis=0), 0.02) * len(x) ** -0.2 for x in (good, rest)]
+            good, rest = np.split(points[order], [min(max(2, round(best_share * len(values))), 25)])
+            widths = [np.maximum(x.std(axis=0) * len(x) ** -0.2, 0.1) for x in (good, rest)]
             new = np.zeros((n, dims))
             for i in range(n):
-                x = np.clip(good[draw.integers(0, len(good), candidates)] + draw.normal(size=(candidates, dims)) * widths[0], 0, 1)
+                at = draw.integers(0, len(good) + 1, candidates)
+                near = good[np.minimum(at, len(good) - 1)] + draw.normal(size=(candidates, dims)) * widths[0]
+                x = np.where((at == len(good))[:, None], draw.random((candidates, dims)), near)
+                x = np.clip(1 - np.abs(1 - np.abs(x)), 0, 1)  # back from the borders
                 new[i] = x[np.argmax(density(x, good, widths[0]) - density(x, rest, widths[1]))]
         asked = [([float(w) for w in p[:-1].round(6)], float(round(low + (high - low) * p[-1], 6))) for p in new]
         found = [5 * hits / (4 * total + predicted) if hits else 0.0 for hits, predicted in _trial_counts(wide, models, asked)]

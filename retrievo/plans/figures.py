@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from retrievo.functions import text as tx
 from retrievo.functions import vectors as v
-from retrievo.operators import agentlog, agreement, analysis, dense, learning, metrics, ranking, sampling, stats
+from retrievo.operators import agentlog, agreement, analysis, boosting, dense, learning, metrics, ranking, sampling, stats
 from retrievo.plans.common import table
 from retrievo.sources import pages as pg
+from retrievo.sources.scratch import written
 from retrievo.streaming import logs
 
 QUERIES: dict = {}
@@ -489,8 +490,8 @@ def cluster_split(spark, d):
     """Clusters chosen for the test split: far from those that stay."""
     import numpy as np
 
-    rows = dense.kmeans(emb(spark, d), 8).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    labelled = dense.kmeans(emb(spark, d), 8)
+    labelled = written(dense.kmeans_starts(emb(spark, d), 8)[0], "clusters")
+    rows = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     centres = {r["cluster"]: np.array(r["embedding"]) for r in dense.pooled(labelled, "cluster").collect()}  # eight rows
     sizes = {r["cluster"]: r["n"] for r in rows.collect()}
     names = sorted(centres)
@@ -517,7 +518,7 @@ def weight_search(spark, d):
 def learned_ranker(spark, d):
     pairs = _scored(spark, d).select("query_id", "doc_id", F.col("score").alias("cosine"), F.col("relevant").cast("int").alias("label"))
     rows = learning.pair_features(pairs, asked(spark, d), stored(spark, d), "cosine")
-    model = learning.fit_ranker(rows.filter("query_id % 100 = 0"))
+    model = learning.fit_ranker(rows.filter("query_id % 100 = 0"), params=boosting.Boosting(trees=12, depth=3))
     return learning.predict_top_k(model, rows.filter("query_id % 100 = 50"), 10)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from retrievo.plans import figures, ranked
+from retrievo.plans import figures, learned, ranked
 
-MODULES = (ranked, figures)
+MODULES = (ranked, figures, learned)
 
 
 def _all() -> dict:

@@ -71,3 +71,62 @@ def entries(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["page_id", "place", "title", "url", "dates", "summary"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, place int, title string, url string, dates string, summary string")
+
+
+def listed(pages: DataFrame, container: str, item: str, link: str = "a", no_title: str = "", no_url: str = "#") -> DataFrame:
+    """page_id, place, title, url of each ``item`` element inside a ``container`` element, by a stack of open tags.
+
+    The first ``link`` inside an item names it; without one its own text does, then ``no_title``; a link
+    without a target, or none, gives ``no_url``.  Items that the page doesn't close end with the next item
+    or with their container; containers may be nested, items in them count once.
+    """
+    from html.parser import HTMLParser
+
+    class Items(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.item, self.found = 0, None, []
+
+        def end_item(self):
+            if self.item is not None:
+                e, self.item = self.item, None
+                text = " ".join("".join(e["link"] if e["link"] is not None else e["text"]).split())
+                self.found.append((text or no_title, e["url"] or no_url))
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == container
+            if self.inside and tag == item:
+                self.end_item()
+                self.item = {"text": [], "link": None, "open": False, "url": None}
+            elif self.item is not None and tag == link and self.item["link"] is None:
+                self.item |= {"link": [], "open": True, "url": dict(attrs).get("href")}
+
+        def handle_data(self, data):
+            if self.item is not None:
+                self.item["text"].append(data)
+                if self.item["open"]:
+                    self.item["link"].append(data)
+
+        def handle_endtag(self, tag):
+            if self.item is not None and tag == link:
+                self.item["open"] = False
+            if tag == item or (tag == container and self.inside == 1):
+                self.end_item()
+            if tag == container and self.inside:
+                self.inside -= 1
+
+        def close(self):
+            super().close()
+            self.end_item()
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
+                items = Items()
+                items.feed(html or "")
+                items.close()
+                out += [(page, i, title, url) for i, (title, url) in enumerate(items.found)]
+            yield pd.DataFrame(out, columns=["page_id", "place", "title", "url"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, place int, title string, url string")

@@ -32,6 +32,87 @@ def upsert(log: DataFrame, keys: list[str], order: str, path: str, checkpoint: s
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def resumed(log: DataFrame, key: str, path: str, checkpoint: str, every: int = 5, fail_at: int | None = None):
+    """Write each key once to ``path``, whatever the restarts, with a full export every ``every`` batches.
+
+    A batch owns the folder of its number, which a replay after a crash overwrites, so nothing is
+    written twice; keys of earlier batches are left out by an anti-join with the folders before it.
+    ``export`` beside it holds all rows up to the last multiple of ``every``, in a folder that only
+    counts once it is whole.  ``fail_at`` breaks off in that batch after half of its work, for tests.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
+        before = [f"{path}/batch={i}" for i in range(number)]
+        if before:
+            fresh = fresh.join(spark.read.schema(batch.schema).parquet(*before).select(key), key, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number == fail_at:
+            raise RuntimeError("broken off")
+        if (number + 1) % every == 0:
+            whole = spark.read.schema(batch.schema).parquet(*before, f"{path}/batch={number}")
+            whole.write.mode("overwrite").json(f"{path}-export/upto={number}")
+
+    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# What an annotator may do.
+LABELS = ("RELEVANT", "NOT_RELEVANT")
+ACTIONS = ("label", "flag", "unflag", "submit")
+
+
+def folded(actions: DataFrame) -> DataFrame:
+    """annotator, pair_id, label, flagged of ``actions(seq, annotator, pair_id, action, label)`` in the order of seq.
+
+    The last label of a pair counts; a flag stands until it is taken back; nothing that comes after an
+    annotator's first ``submit`` counts, nor labels and actions that don't exist, nor what names no
+    annotator or, but for ``submit``, no pair.  Pairs that have neither label nor flag are left out.
+    """
+    actions = actions.filter("annotator is not null and (pair_id is not null or action = 'submit')")
+    valid = F.col("action").isin("flag", "unflag") | ((F.col("action") == "label") & F.col("label").isin(*LABELS))
+    submitted = actions.filter("action = 'submit'").groupBy("annotator").agg(F.min("seq").alias("submitted"))
+    open_ = actions.filter(valid).join(submitted, "annotator", "left").filter("submitted is null or seq < submitted")
+    last = lambda what, when: F.max_by(what, F.when(when, F.col("seq")))
+    out = open_.groupBy("annotator", "pair_id").agg(
+        last("label", F.col("action") == "label").alias("label"), F.coalesce(last("action", F.col("action").isin("flag", "unflag")) == "flag", F.lit(False)).alias("flagged"),
+    )
+    return out.filter("label is not null or flagged")
+
+
+def label_store(actions: DataFrame, path: str, checkpoint: str):
+    """``folded`` kept up by a stream: each batch writes a version of the labels, flags and submissions so far.
+
+    A version is a folder of the batch's number, made from the one before, so a replayed batch makes the
+    same version again.  Actions of a batch count in the order of seq; batches come in order.
+    """
+    state = "annotator STRING, pair_id BIGINT, label STRING, label_seq BIGINT, flag STRING, flag_seq BIGINT, submitted BIGINT"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.schema(state).parquet(f"{path}/v{number - 1}") if number else spark.createDataFrame([], state)
+        valid = batch.filter("annotator is not null and (pair_id is not null or action = 'submit')").filter(F.col("action").isin(*ACTIONS) & ((F.col("action") != "label") | F.col("label").isin(*LABELS)))
+        is_label, is_flag = F.col("action") == "label", F.col("action").isin("flag", "unflag")
+        new = valid.select(
+            "annotator", F.when(F.col("action") != "submit", F.col("pair_id")).alias("pair_id"), F.when(is_label, F.col("label")).alias("label"), F.when(is_label, F.col("seq")).alias("label_seq"),
+            F.when(is_flag, F.col("action")).alias("flag"), F.when(is_flag, F.col("seq")).alias("flag_seq"), F.when(F.col("action") == "submit", F.col("seq")).alias("submitted"),
+        )
+        both = old.unionByName(new)
+        locked = both.groupBy("annotator").agg(F.min("submitted").alias("lock"))
+        both = both.join(locked, "annotator").filter("submitted is not null or lock is null or coalesce(label_seq, flag_seq) < lock or (pair_id is not null and label_seq is not null and flag_seq is not null)")
+        rows = both.groupBy("annotator", "pair_id").agg(
+            F.max_by("label", "label_seq").alias("label"), F.max("label_seq").alias("label_seq"), F.max_by("flag", "flag_seq").alias("flag"), F.max("flag_seq").alias("flag_seq"), F.min("submitted").alias("submitted"),
+        )
+        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    return actions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def labels_of(spark: SparkSession, path: str, version: int) -> DataFrame:
+    rows = spark.read.parquet(f"{path}/v{version}").filter("pair_id is not null")
+    flagged = F.coalesce(F.col("flag") == "flag", F.lit(False))
+    return rows.select("annotator", "pair_id", "label", flagged.alias("flagged")).filter("label is not null or flagged")
+
+
 def todo(all_rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return all_rows.join(done.select(key).distinct(), key, "left_anti")
 
