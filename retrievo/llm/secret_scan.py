@@ -22,6 +22,8 @@ import bz2
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Iterator
 
@@ -76,24 +78,82 @@ def _escape(token: str) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _rewritten(text: str, pattern: re.Pattern, decode) -> tuple[str, list[int], list[int]] | None:
-    """The text with every match decoded, and for each of its characters where it began and ended."""
-    out, lo, hi, at, changed = [], [], [], 0, False
+class Places:
+    """Where the characters of a layer stand in the original text: runs of copied characters, and runs that came of one token.
+
+    Runs are as long as can be, so equal maps are equal arrays; memory goes with the tokens, not with the text.
+    """
+
+    def __init__(self):
+        self.starts, self.low, self.high = array("q"), array("q"), array("q")  # high is -1 where characters are copied
+        self.size = 0
+
+    def copied(self, low: int, length: int) -> None:
+        if length and not (self.starts and self.high[-1] < 0 and self.low[-1] + self.size - self.starts[-1] == low):
+            self._new(low, -1)
+        self.size += length
+
+    def decoded(self, low: int, high: int, length: int) -> None:
+        if high == low + 1 and length == 1:
+            self.copied(low, 1)
+            return
+        if length and not (self.starts and self.low[-1] == low and self.high[-1] == high):
+            self._new(low, high)
+        self.size += length
+
+    def _new(self, low: int, high: int) -> None:
+        self.starts.append(self.size)
+        self.low.append(low)
+        self.high.append(high)
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """The place in the original of some characters, one at least."""
+        i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
+        low = self.low[i] + (start - self.starts[i] if self.high[i] < 0 else 0)
+        return low, self.high[j] if self.high[j] >= 0 else self.low[j] + end - self.starts[j]
+
+    def over(self, below: Places) -> Places:
+        """This map, from a layer to the one that ``below`` maps to the original, carried on to the original."""
+        out = Places()
+        for i, start in enumerate(self.starts):
+            length = (self.starts[i + 1] if i + 1 < len(self.starts) else self.size) - start
+            low = self.low[i]
+            if self.high[i] >= 0:
+                out.decoded(*below.span(low, self.high[i]), length)
+                continue
+            j, end = bisect_right(below.starts, low) - 1, low + length
+            while low < end:
+                until = min(end, below.starts[j + 1] if j + 1 < len(below.starts) else below.size)
+                if below.high[j] < 0:
+                    out.copied(below.low[j] + low - below.starts[j], until - low)
+                else:
+                    out.decoded(below.low[j], below.high[j], until - low)
+                low, j = until, j + 1
+        return out
+
+    def name(self) -> bytes:
+        return hashlib.blake2b(self.starts.tobytes() + self.low.tobytes() + self.high.tobytes(), digest_size=16).digest()
+
+
+def _rewritten(text: str, pattern: re.Pattern, decode) -> tuple[str, Places] | None:
+    """The text with every match decoded, and the places of its characters in it."""
+    out, places, at, changed = [], Places(), 0, False
     for m in pattern.finditer(text):
         new = decode(m[0])
         if new is None:
             continue
         changed = True
         out += [text[at : m.start()], new]
-        lo += [*range(at, m.start()), *[m.start()] * len(new)]
-        hi += [*range(at + 1, m.start() + 1), *[m.end()] * len(new)]
+        if len(out) > 1 << 16:  # many short strings take more room than a long one
+            out = ["".join(out)]
+        places.copied(at, m.start() - at)
+        places.decoded(m.start(), m.end(), len(new))
         at = m.end()
     if not changed:
         return None
     out.append(text[at:])
-    lo += range(at, len(text))
-    hi += range(at + 1, len(text) + 1)
-    return "".join(out), lo, hi
+    places.copied(at, len(text) - at)
+    return "".join(out), places
 
 
 def _percent(token: str) -> str:
@@ -254,51 +314,74 @@ def _replaced(text: str, pattern: re.Pattern, decode) -> str:
     return pattern.sub(lambda m: m[0] if (new := decode(m[0])) is None else new, text)
 
 
+def _mark(layer: str) -> bytes:
+    return hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+class Told:
+    """Places where a secret was told, none inside another; they are added in the order of their lengths."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+
+    def within(self, start: int, end: int) -> bool:
+        i = bisect_left(self.spans, (start,))
+        return i < len(self.spans) and self.spans[i][1] <= end
+
+    def add(self, start: int, end: int) -> None:
+        insort(self.spans, (start, end))
+
+
 def findings(text: str) -> list[tuple[int, int, int, str, str, str]]:
     """(start, rank, end, kind, layer, secret) in all layers; the base layer is named ''."""
     out = [(s, k, e, KINDS[k], "", secret) for s, e, k, secret in matches(text)]
     known = {(s, k, e) for s, k, e, *_ in out}
-    whole = [(s, k, e) for s, k, e, *_ in out]
+    whole = [sorted((s, e) for s, k2, e, *_ in out if k2 == k) for k in range(len(KINDS))]  # of a kind none overlap
     held = {}  # base64 run -> what it holds, for every place where it stands
-    maps, work = {text: [(None, None)]}, deque([(text, None, None, "")])
+    maps, work = {_mark(text): {None}}, deque([(text, None, "")])
 
     def add(s, k, e, name, secret):
-        inside = any(k == k2 and s2 <= s and e <= e2 for s2, k2, e2 in whole)
+        i = bisect_right(whole[k], (s, len(text))) - 1
+        inside = i >= 0 and e <= whole[k][i][1]
         if (s, k, e) not in known and not inside:
             known.add((s, k, e))
             out.append((s, k, e, KINDS[k], name, secret))
 
     while work:
-        layer, lo, hi, name = work.popleft()
+        layer, places, name = work.popleft()
+        span = places.span if places else lambda s, e: (s, e)
         if name:
             for s, e, k, secret in matches(layer):
-                add(lo[s], k, hi[e - 1], name, secret)
+                low, high = span(s, e)
+                add(low, k, high, name, secret)
         for needle, pattern, decode, label in REWRITES:
             if needle in layer and (new := _rewritten(layer, pattern, decode)):
-                child, a, b = new
-                if lo is not None:
-                    a, b = [lo[i] for i in a], [hi[i - 1] for i in b]
-                if (a, b) not in maps.setdefault(child, []):
-                    maps[child].append((a, b))
-                    work.append((child, a, b, f"{name}/{label}"))
+                child, at = new
+                at = at.over(places) if places else at
+                seen = maps.setdefault(_mark(child), set())
+                if at.name() not in seen:
+                    seen.add(at.name())
+                    work.append((child, at, f"{name}/{label}"))
         for needle, pattern, label in VIEWS:
             if needle in layer and (new := _rewritten(layer, pattern, _byte)):
-                view, a, b = new
+                view, at = new
                 data = view.encode("latin-1", "replace")
                 for s, e in _streams(data):
-                    span = (a[s], b[e - 1]) if lo is None else (lo[a[s]], hi[b[e - 1] - 1])
+                    low, high = span(*at.span(s, e))
                     for k, below, secret in _inside("/stream", _pieces(data, s)):
-                        add(span[0], k, span[1], f"{name}/{label}{below}", secret)
-        told = []
+                        add(low, k, high, f"{name}/{label}{below}", secret)
+        told: dict[tuple, Told] = {}
         for s, e in _runs(layer):
             token = layer[s:e]
             if token not in held:
                 held[token] = _inside("", iter([_base64(token)]))
             for k, below, secret in held[token]:
                 # lines joined to a run say nothing new of what one of them holds
-                if not any((k, secret) == x[:2] and s <= x[2] and x[3] <= e for x in told):
-                    add(s if lo is None else lo[s], k, e if lo is None else hi[e - 1], f"{name}/base64{below}", secret)
-                    told.append((k, secret, s, e))
+                of = told.setdefault((k, secret), Told())
+                if not of.within(s, e):
+                    low, high = span(s, e)
+                    add(low, k, high, f"{name}/base64{below}", secret)
+                    of.add(s, e)
     return sorted(out)
 
 
