@@ -147,7 +147,8 @@ def disclosing(
         return F.pow(n_e, F.lit(generalise)) * F.pow(F.lit(float(total)), F.lit(1 - generalise)) * (1 + 1e-6) - unseen
 
     largest = profiles.agg(F.max("n_e")).first()[0] or 0
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    # lower case after the extraction, as in _terms: some letters become two, of which one is no letter
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
     frequency = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     frequency = frequency.filter(F.col("n_t") <= most(F.lit(largest)))
     pairs = terms.select("copy", "term").distinct().join(frequency, "term").join(profiles, "copy")
@@ -252,7 +253,7 @@ beside AS (SELECT * FROM terms WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.ro
 entities AS (SELECT entity, count(*) AS n_e FROM mentions GROUP BY entity),
 pairs AS (
   SELECT entity, term, any_value(n_e) AS n_e, count(*) AS n_te FROM (SELECT DISTINCT row, term FROM beside) JOIN mentions USING (row) JOIN entities USING (entity) GROUP BY entity, term),
-freq AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT row, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM d) GROUP BY term),
+freq AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT row, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]+'))) AS term FROM d) GROUP BY term),
 told AS (
   SELECT entity, term, round(ln(n::DOUBLE * n_te / ((n_t + 1.0::DOUBLE) * n_e)) / ln(n::DOUBLE / n_e), 9) AS share FROM pairs JOIN freq USING (term), (SELECT count(*) AS n FROM d) WHERE n_e < n),
 added AS (
