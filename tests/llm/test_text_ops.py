@@ -339,3 +339,46 @@ def test_added_tokens_and_repeated_rows_when_packed(spark):
         used[r["sequence_id"]].append((r["offset"], r["length"]))
     for parts in used.values():
         assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 1024
+
+
+def test_letters_whose_lower_case_is_longer(spark):
+    texts = [f"İzmir{i} word{i} mail a{i}@b.com" for i in range(3)] + ["filler"] * 60
+    got = [r["spans"] for r in pii.digest(pii.sanitise(frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]))).orderBy("doc_id").collect()]
+    assert got == plain_spans(texts)
+    assert all("generalise:0:6" in s and "generalise:7:12" in s for s in got[:3])
+
+
+def test_many_findings_and_long_texts_take_linear_room():
+    import time
+    import tracemalloc
+
+    def seconds(n):
+        text = " ".join(base64.b64encode(f"password = 'AbCdEf{i:09d}'".encode()).decode() for i in range(n))
+        began = time.time()
+        assert len(secret_scan.findings(text)) == n
+        return time.time() - began
+
+    assert seconds(8000) < 8 * max(seconds(2000), 0.05)
+    text = "word and " * 200_000 + "%20 token%3A zzzzzzzz9"
+    tracemalloc.start()
+    found = secret_scan.findings(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [text[x[0] : x[2]] for x in found] == ["token%3A zzzzzzzz9"]
+    assert peak < 8 * len(text)
+
+
+def test_places_of_layers_in_layers():
+    text = "ab%2541c%25%34%31 %5Cu0041x" * 3
+    layer, places, mapped = text, None, [(i, i + 1) for i in range(len(text))]
+    for pattern, decode in ((secret_scan.URL, secret_scan._percent), (secret_scan.URL, secret_scan._percent), (secret_scan.UNICODE, secret_scan._escape)):
+        out, spans, at = [], [], 0
+        for m in pattern.finditer(layer):  # a list of places, a character at a time
+            new = decode(m[0])
+            spans += mapped[at : m.start()] + [(mapped[m.start()][0], mapped[m.end() - 1][1])] * len(new)
+            at = m.end()
+        spans += mapped[at:]
+        layer, step = secret_scan._rewritten(layer, pattern, decode)
+        places, mapped = step.over(places) if places else step, spans
+        assert len(mapped) == len(layer) == places.size
+        assert all(places.span(i, j) == (mapped[i][0], mapped[j - 1][1]) for i in range(len(layer)) for j in range(i + 1, len(layer) + 1))
