@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from retrievo.functions import text as tx
 from retrievo.operators import adaptive, agentlog, analysis, judgements, lexical, metrics, ranking, sampling
 from retrievo.plans.common import QRELS, TOKENS, corpus, items, qrels, run, table, with_run
+from retrievo.sources.scratch import once, written
 
 QUERIES: dict = {}
 
@@ -273,13 +274,14 @@ def doc_graph_topk(spark, d):
 
 def _adaptive(spark, d, plan):
     """Edges of the pool's documents and of their neighbours; documents beyond these count as 0."""
-    docs, pool = corpus(spark, d), run(spark, d, 20)
-    near = lexical.document_graph(docs, 8, sources=pool.select("doc_id").distinct())
-    reach = near.select(F.col("dst").alias("doc_id")).distinct()
-    near = near.unionByName(lexical.document_graph(docs, 8, sources=reach)).dropDuplicates(["src", "dst"])
-    close = pool.join(near, pool["doc_id"] == near["src"]).select("query_id", F.col("dst").alias("doc_id"))
-    scores = shared_tokens(spark, d, pool.select("query_id", "doc_id").unionByName(close).distinct())
-    return adaptive.rerank(pool, near, scores, plan), pool
+    docs = corpus(spark, d)
+    near, = once(docs, ("graph", 8), lambda: (written(lexical.document_graph(docs, 8), "graph"),))
+    pool = written(run(spark, d, 20), "pool")
+    reach = near.join(pool.select(F.col("doc_id").alias("src")).distinct(), "src", "left_semi")
+    far = reach.select(F.col("dst").alias("src")).unionByName(pool.select(F.col("doc_id").alias("src"))).distinct()
+    close = pool.join(reach, pool["doc_id"] == reach["src"]).select("query_id", F.col("dst").alias("doc_id"))
+    scores = written(shared_tokens(spark, d, pool.select("query_id", "doc_id").unionByName(close).distinct()), "scores")
+    return adaptive.rerank(pool, near.join(far, "src", "left_semi"), scores, plan), pool
 
 
 @query("gar_rerank", "R6 I2 J13")

@@ -40,6 +40,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its input is so small that the scan gives fewer tasks than there are (one file, say)."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks, unit = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes", "128m").lower().rstrip("b")
+    bytes_ = int(unit[:-1]) << {"k": 10, "m": 20, "g": 30}[unit[-1]] if unit[-1] in "kmg" else int(unit)
+    return df.repartition(tasks) if size < tasks * bytes_ else df
+
+
 _KEPT: dict[tuple, tuple] = {}
 
 
@@ -50,7 +59,7 @@ def once(key: DataFrame, what: tuple, make):
     """
     spark = key.sparkSession
     # the plan's own hash leaves attribute ids out; file names change when a table is written again
-    size = key._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
+    size = str(key._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     found = (spark.sparkContext.applicationId, key.semanticHash(), hash(tuple(sorted(key.inputFiles()))), size, what)
     if not key.inputFiles():  # not from files: nothing says that it is the same again
         return make()
