@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns
 the columns of documents; the last returns the packed pieces.
+
+Defined cases: null and empty texts aren't toxic, stay in near_duplicates (each of them), hold no secret,
+are mixed with size 0 and packed as their end id alone; repeated rows are copies, of which near_duplicates
+keeps one; rows without doc_id or source pass as others do (a null source is a source of its own); an
+empty table gives an empty result; columns beyond those of documents, also with names that stages use
+inside, are carried on to the mixing stage.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from retrievo.llm import jaccard, mixing, packing, secret_scan, toxicity
 from retrievo.llm.storage import materialize, table
+from retrievo.sources.scratch import spread
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
