@@ -55,3 +55,10 @@ def coverage(frames: DataFrame) -> DataFrame:
 def merged_scores(first: Column, second: Column) -> Column:
     """Two maps of scores with the greater of both."""
     return F.map_zip_with(first, second, lambda k, a, b: F.greatest(a, b))
+
+
+def counter_delta(first: DataFrame, second: DataFrame, key: str, n: int = 25) -> DataFrame:
+    """The n keys whose counts in two tables differ most: key, a, b, delta; the greater share of the first on top."""
+    count = lambda rows, name: rows.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    both = count(first, "a").join(count(second, "b"), key, "full").fillna(0, ["a", "b"]).withColumn("delta", F.col("a") - F.col("b"))
+    return both.orderBy(F.desc(F.abs("delta")), F.desc("delta"), key).limit(n)

@@ -80,3 +80,16 @@ def classes(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
         F.count_if(inside & F.col("hit").isNotNull()).alias("tp"), F.count_if(inside & F.col("hit").isNull()).alias("fp"),
         F.count_if(~inside & F.col("hit").isNotNull()).alias("fn"), F.count_if(~inside & F.col("hit").isNotNull() & F.col("rank").isNotNull()).alias("beyond"),
     )
+
+
+def worst(counts: DataFrame, n: int = 20) -> DataFrame:
+    """The n queries of ``classes`` with most misses, worst first."""
+    return counts.orderBy(F.desc("fn"), "query_id").limit(n)
+
+
+def browsed(queries: DataFrame, run: DataFrame, qrels: DataFrame, needle: str, n: int = 50, preview: int = 80) -> DataFrame:
+    """Queries whose id or preview holds ``needle`` (case ignored), by the best rank of a relevant document; those without one last."""
+    best = run.join(positive(qrels), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"))
+    shown = queries.select("query_id", F.substring("text", 1, preview).alias("preview"))
+    wanted = F.lower("preview").contains(needle.lower()) | F.col("query_id").cast("string").contains(needle)
+    return shown.filter(wanted).join(best, "query_id", "left").orderBy(F.asc_nulls_last("best"), "query_id").limit(n)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from retrievo.plans import figures, learned, ranked
+from retrievo.plans import figures, files, learned, ranked
 
-MODULES = (ranked, figures, learned)
+MODULES = (ranked, figures, learned, files)
 
 
 def _all() -> dict:
