@@ -272,6 +272,51 @@ def doc_graph_topk(spark, d):
     return lexical.document_graph(corpus(spark, d), 8, sources=asked).withColumn("weight", F.round("weight", 6))
 
 
+#: The adaptive loop of ``_adaptive`` as a recursion over the documents scored so far; STRENGTHS and PRIORITY are those of a plan.
+LOOP = rf"""WITH RECURSIVE {TOKENS},
+w AS (SELECT p.doc_id AS dst, p.term, k.idf * p.tf * 2.5::DOUBLE / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.length / a.average)) AS s FROM posts p JOIN kept k USING (term) JOIN lens l USING (doc_id), av a),
+g AS (SELECT p.doc_id AS src, w.dst, round(sum(s), 9) AS weight FROM posts p JOIN w USING (term) WHERE p.doc_id <> w.dst GROUP BY ALL),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS nbr_rank FROM g) WHERE nbr_rank <= 8),
+pool AS (SELECT * FROM run WHERE rank <= 20),
+members AS (SELECT query_id, doc_id FROM pool UNION SELECT query_id, dst FROM pool JOIN near ON src = doc_id),
+tokens AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS t FROM documents),
+qtokens AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS q FROM benchmark),
+sc AS (SELECT query_id, doc_id, len(list_intersect(q, t))::DOUBLE AS score FROM members JOIN tokens USING (doc_id) JOIN qtokens USING (query_id)),
+edges AS (SELECT query_id, src, dst, nbr_rank, weight FROM members JOIN near ON src = doc_id),
+walk AS (
+  SELECT query_id, 0 AS step, []::STRUCT(doc BIGINT, score DOUBLE, strength DOUBLE)[] AS scored FROM (SELECT DISTINCT query_id FROM pool)
+  UNION ALL
+  SELECT query_id, step + 1, list_concat(scored, STRENGTHS) FROM (
+    SELECT w.query_id, w.step, w.scored, list({{'doc': c.doc, 'score': coalesce(sc.score, 0)}} ORDER BY c.place) AS lot
+    FROM walk w JOIN (
+      SELECT *, min(source) OVER (PARTITION BY query_id) AS used FROM (
+        SELECT w.query_id, p.doc_id AS doc, w.step % 2 AS source, row_number() OVER (PARTITION BY w.query_id ORDER BY p.rank) AS place
+        FROM walk w JOIN pool p USING (query_id) WHERE NOT list_contains(list_transform(w.scored, lambda x: x.doc), p.doc_id)
+        UNION ALL
+        SELECT query_id, dst, 1 - step % 2, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, arrival) FROM (
+          SELECT w.query_id, w.step, e.dst, PRIORITY AS priority, min(w.pos * 100 + e.nbr_rank) AS arrival
+          FROM (SELECT query_id, step, scored, unnest(range(len(scored))) AS pos, unnest(scored) AS s FROM walk) w JOIN edges e ON e.query_id = w.query_id AND e.src = w.s.doc
+          WHERE w.s.strength IS NOT NULL AND NOT list_contains(list_transform(w.scored, lambda x: x.doc), e.dst) GROUP BY w.query_id, w.step, e.dst))
+    ) c ON c.query_id = w.query_id AND c.source = c.used AND c.place <= least(5, 30 - len(w.scored))
+    LEFT JOIN sc ON sc.query_id = w.query_id AND sc.doc_id = c.doc
+    WHERE len(w.scored) < 30 GROUP BY w.query_id, w.step, w.scored)),
+final AS (SELECT query_id, arg_max(scored, step) AS scored FROM walk GROUP BY query_id),
+done AS (SELECT query_id, unnest(range(len(scored))) AS pos, unnest(list_transform(scored, lambda x: x.doc)) AS doc_id, unnest(list_transform(scored, lambda x: x.score)) AS score FROM final),
+rest AS (SELECT p.query_id, p.doc_id, row_number() OVER (PARTITION BY p.query_id ORDER BY p.rank) AS place, len(f.scored) AS n, coalesce(list_min(list_transform(f.scored, lambda x: x.score)), 0) - 1 AS floor
+  FROM pool p JOIN final f USING (query_id) WHERE NOT list_contains(list_transform(f.scored, lambda x: x.doc), p.doc_id)),
+every AS (SELECT query_id, pos, doc_id, score FROM done UNION ALL SELECT query_id, n + place, doc_id, floor - (place - 1) FROM rest WHERE place <= 30 - n)
+"""
+GAR = LOOP.replace("STRENGTHS", "list_transform(lot, lambda x: {'doc': x.doc, 'score': x.score, 'strength': x.score})").replace("PRIORITY", "greatest(0, max(w.s.strength))")
+BEST = "list_sort(list_transform(range(len(scored) + len(lot)), lambda i: {'n': CASE WHEN i < len(scored) THEN -scored[i + 1].score ELSE -lot[i + 1 - len(scored)].score END, 'p': i}))[1:10]"
+SHARE = f"exp({BEST}[1].n + x.score) / list_sum(list_transform({BEST}, lambda b: exp({BEST}[1].n - b.n)))"
+QUAM = LOOP.replace(
+    "STRENGTHS", f"list_transform(lot, lambda x, j: {{'doc': x.doc, 'score': x.score, 'strength': CASE WHEN list_contains(list_transform({BEST}, lambda b: b.p), len(scored) + j - 1) THEN {SHARE} END}})",
+).replace("PRIORITY", "list_sum(list(e.weight * w.s.strength ORDER BY w.pos))")
+ADAPTED = "SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS INTEGER) AS rank, round(score, 6) AS score FROM every"
+EXPANDED = """, ranked AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM every)
+SELECT avg(coalesce(n, 0)) AS expanded FROM (SELECT DISTINCT query_id FROM ranked) LEFT JOIN (SELECT query_id, count(*) AS n FROM ranked ANTI JOIN pool USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1) USING (query_id)"""
+
+
 def _adaptive(spark, d, plan):
     """Edges of the pool's documents and of their neighbours; documents beyond these count as 0."""
     docs = corpus(spark, d)
@@ -284,17 +329,17 @@ def _adaptive(spark, d, plan):
     return adaptive.rerank(pool, near.join(far, "src", "left_semi"), scores, plan), pool
 
 
-@query("gar_rerank", "R6 I2 J13")
+@query("gar_rerank", "R6 I2 J13", GAR + ADAPTED)
 def gar_rerank(spark, d):
-    return _adaptive(spark, d, adaptive.Plan(budget=30, batch=5))[0]
+    return _adaptive(spark, d, adaptive.Plan(budget=30, batch=5))[0].withColumn("score", F.round("score", 6))
 
 
-@query("quam_rerank", "R7")
+@query("quam_rerank", "R7 I2", QUAM + ADAPTED)
 def quam_rerank(spark, d):
-    return _adaptive(spark, d, adaptive.Plan(budget=30, batch=5, affinity=True))[0]
+    return _adaptive(spark, d, adaptive.Plan(budget=30, batch=5, affinity=True))[0].withColumn("score", F.round("score", 6))
 
 
-@query("expanded_docs", "R8")
+@query("expanded_docs", "R8", GAR + EXPANDED)
 def expanded_docs(spark, d):
     return adaptive.expanded(*_adaptive(spark, d, adaptive.Plan(budget=30, batch=5)), 10)
 
