@@ -14,14 +14,31 @@ def average_rank(value: str, *partition: str) -> Column:
     return F.rank().over(ordered) + (F.count(F.lit(1)).over(same) - 1) / 2
 
 
+def with_average_rank(rows: DataFrame, value: str, name: str, *by: str, chunks: int = 64) -> DataFrame:
+    """``rows`` with their average rank by ``value``, in each group of ``by`` or over the whole table.
+
+    A whole table is cut into chunks at quantiles of the value: rows are ranked inside their chunk, and the
+    rows of the chunks before, a number for each, are added.  Equal values are in one chunk.
+    """
+    if by:
+        return rows.withColumn(name, average_rank(value, *by))
+    bounds = sorted(set(rows.approxQuantile(value, [i / chunks for i in range(1, chunks)], 0.001)))
+    cut = rows.withColumn("_chunk", sum(((F.col(value) > b).cast("int") for b in bounds), F.lit(0)))
+    sizes, before, added = {r["_chunk"]: r["count"] for r in cut.groupBy("_chunk").count().collect()}, 0, F.lit(0)  # a row for each chunk
+    for chunk in sorted(c for c in sizes if c is not None):
+        added = F.when(F.col("_chunk") == chunk, before).otherwise(added) if before else added
+        before += sizes[chunk]
+    return cut.withColumn(name, average_rank(value, "_chunk") + added).drop("_chunk")
+
+
 def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    ranked = rows.withColumn("rx", average_rank(x, *by)).withColumn("ry", average_rank(y, *by))
+    ranked = with_average_rank(with_average_rank(rows, x, "rx", *by), y, "ry", *by)
     return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"))
 
 
 def auc(rows: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
     """Mann-Whitney area, ties counting a half."""
-    ranked = rows.withColumn("r", average_rank(score, *by))
+    ranked = with_average_rank(rows, score, "r", *by)
     p = F.sum(F.col(positive).cast("long"))
     n = F.count(F.lit(1)) - p
     return ranked.groupBy(*by).agg(((F.sum(F.when(F.col(positive), F.col("r"))) - p * (p + 1) / 2) / (p * n)).alias("auc"))
@@ -55,16 +72,16 @@ def holm(tests: DataFrame, p: str = "p", key: str = "name") -> DataFrame:
     return out.unionByName(tests.filter(F.isnan(p) | F.col(p).isNull()).withColumn("adjusted", F.lit(float("nan"))))
 
 
-def bootstrap(rows: DataFrame, value: str, resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean; a row's count in a resample is Poisson(1), drawn by a hash."""
-    u = (F.pmod(F.xxhash64("id", "b", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    steps, total, mass = [], 0.0, math.exp(-1)
-    for k in range(1, 9):
-        total += mass
-        steps.append(total)
-        mass /= k
-    count = sum((u >= s).cast("int") for s in steps)
-    drawn = rows.select(F.monotonically_increasing_id().alias("id"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("c", count)
+#: Chances that a Poisson(1) count is at most 0, 1, ... 7.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+def bootstrap(rows: DataFrame, key: str, value: str, resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """Percentile interval of the mean; a row's count in a resample is Poisson(1), drawn by a hash of seed, key and resample."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col("b").cast("string")))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(16**13)
+    count = sum((u >= s).cast("int") for s in POISSON)
+    drawn = rows.select(key, F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("c", count)
     means = drawn.groupBy("b").agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("m"))
     return means.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))
 
@@ -103,7 +120,8 @@ def beta_inc(a: float, b: float, x: float) -> float:
 
 def wilcoxon(pairs: DataFrame, a: str = "a", b: str = "b") -> dict[str, float]:
     """Signed-rank test without zero differences, by the normal approximation with ties."""
-    d = pairs.select((F.col(a) - F.col(b)).alias("d")).filter("d <> 0").withColumn("size", F.abs("d")).withColumn("r", average_rank("size"))
+    d = pairs.select((F.col(a) - F.col(b)).alias("d")).filter("d <> 0").withColumn("size", F.abs("d"))
+    d = with_average_rank(d, "size", "r")
     ties = d.groupBy("size").count().agg(F.sum(F.col("count") ** 3 - F.col("count"))).first()[0] or 0.0
     r = d.agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.count(F.lit(1)).alias("n")).first()
     n, up = r["n"], r["up"] or 0.0

@@ -522,6 +522,12 @@ def learned_ranker(spark, d):
     return learning.predict_top_k(model, rows.filter("query_id % 100 = 50"), 10)
 
 
-@query("bootstrap_interval", "A30")
+STEPS = " + ".join(f"(u >= {x!r}::DOUBLE)::INT" for x in stats.POISSON)
+
+
+@query("bootstrap_interval", "A30 I3", f"""WITH u AS (SELECT b, c_acctbal AS v, CAST('0x' || substr(md5('42:' || c_custkey || ':' || b), 1, 13) AS BIGINT) / pow(16, 13) AS u FROM customer, (SELECT unnest(range(1, 201)) AS b)),
+m AS (SELECT b, sum(v * c) / sum(c) AS m FROM (SELECT b, v, {STEPS} AS c FROM u) GROUP BY b)
+SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_interval(spark, d):
-    return stats.bootstrap(table(spark, d, "customer"), "c_acctbal", 200)
+    found = stats.bootstrap(table(spark, d, "customer"), "c_custkey", "c_acctbal", 200)
+    return found.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

@@ -154,7 +154,7 @@ def test_tests(spark):
     rows = spark.createDataFrame([(q, m, float(m == "b") + q) for q in range(6) for m in "abc"], "query_id long, method string, value double")
     f = stats.friedman(rows)
     assert math.isclose(f["chi2"], 12.0) and f["p"] < 0.01
-    ci = stats.bootstrap(spark.range(200).select((F.col("id") % 10).cast("double").alias("x")), "x", 400).first()
+    ci = stats.bootstrap(spark.range(200).select("id", (F.col("id") % 10).cast("double").alias("x")), "id", "x", 400).first()
     assert ci["low"] < 4.5 < ci["high"] and ci["high"] - ci["low"] < 1.2
 
 
@@ -236,3 +236,12 @@ def test_annotations(spark):
     assert {(r["annotator"], r["pair_id"]): r["label"] for r in labels.collect()} == {("a", 1): 0, ("b", 1): 1, ("b", 2): 1}
     assert {r["pair_id"]: r["label"] for r in agreement.majority(labels).collect()} == {1: 0, 2: 1}
     assert agreement.pairwise(labels).first()["kappa"] is None
+
+
+def test_average_ranks_of_a_whole_table(spark):
+    r = random.Random(2)
+    values = [float(r.randrange(60)) for _ in range(700)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    for chunks in (2, 64):
+        got = {x.id: x.r for x in stats.with_average_rank(rows, "v", "r", chunks=chunks).collect()}
+        assert got == {i: sum(o < v for o in values) + (sum(o == v for o in values) + 1) / 2 for i, v in enumerate(values)}
