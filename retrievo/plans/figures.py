@@ -10,7 +10,7 @@ from retrievo.functions import vectors as v
 from retrievo.operators import agentlog, agreement, analysis, boosting, dense, learning, metrics, ranking, sampling, stats
 from retrievo.plans.common import table
 from retrievo.sources import pages as pg
-from retrievo.sources.scratch import written
+from retrievo.sources.scratch import folder, written
 from retrievo.streaming import logs
 
 QUERIES: dict = {}
@@ -368,7 +368,7 @@ def majority_vote(spark, d):
     return agreement.majority(votes(spark, d), 3)
 
 
-@query("annotator_progress", "A36 J7", f"WITH {VOTES}, n AS (SELECT count(*) AS t FROM labels) SELECT a AS annotator, coalesce(done, 0) AS done, t - coalesce(done, 0) AS remaining, round(100 * coalesce(done, 0) / t::DOUBLE, 1) AS percent FROM (SELECT unnest(['r1', 'r2', 'r3', 'r4']) AS a) LEFT JOIN (SELECT annotator, count(DISTINCT pair_id) AS done FROM v GROUP BY 1) ON a = annotator, n")
+@query("annotator_progress", "A36", f"WITH {VOTES}, n AS (SELECT count(*) AS t FROM labels) SELECT a AS annotator, coalesce(done, 0) AS done, t - coalesce(done, 0) AS remaining, round(100 * coalesce(done, 0) / t::DOUBLE, 1) AS percent FROM (SELECT unnest(['r1', 'r2', 'r3', 'r4']) AS a) LEFT JOIN (SELECT annotator, count(DISTINCT pair_id) AS done FROM v GROUP BY 1) ON a = annotator, n")
 def annotator_progress(spark, d):
     names = spark.createDataFrame([("r1",), ("r2",), ("r3",), ("r4",)], "annotator string")
     return agreement.progress(names, votes(spark, d), table(spark, d, "labels").count())
@@ -465,13 +465,18 @@ def stream_equals_batch(spark, d):
 
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"events_{uuid.uuid4().hex}"
-    query = logs.windowed(stream, "6 hours").writeStream.outputMode("complete").format("memory").queryName(name).start()
+    path, numbers = f"{folder(spark)}/windows-{uuid.uuid4().hex}", []
+
+    def keep(batch, number):  # complete mode: each batch holds all windows so far
+        numbers.append(number)
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    query = logs.windowed(stream, "6 hours").writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").foreachBatch(keep).start()
     try:
         query.processAllAvailable()
     finally:
         query.stop()
-    return spark.table(name).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return spark.read.parquet(f"{path}/{max(numbers)}").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @query("metrics_by_flags", "A40", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 4) AS discount, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
