@@ -208,10 +208,15 @@ def contranorm(rows: DataFrame, key: str, id_col: str, vector: str = "embedding"
     total = F.aggregate(F.collect_list("above"), zero, lambda s, v: F.zip_with(s, v, lambda p, q: p + q))
     mean = sums.groupBy("g", "r").agg(F.sum("below").alias("below"), total.alias("above")).withColumnsRenamed({"g": "h", "r": "s"})
     both = plain.join(mean, F.col("g").eqNullSafe(F.col("h")) & (F.col("r") == F.col("s")))
-    pushed = both.select("g", "r", F.zip_with("x", "above", lambda x, a: (1 + scale) * x - scale * a / F.col("below")).alias("x"))
-    average = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
-    pushed = pushed.withColumn("mean", average("x")).withColumn("spread", average(F.transform("x", lambda v: (v - F.col("mean")) * (v - F.col("mean")))))
-    return pushed.select(F.col("g").alias(key), F.col("r").alias(id_col), F.transform("x", lambda v: (v - F.col("mean")) / F.sqrt(F.col("spread") + eps)).alias(vector))
+
+    def finished(batches):
+        for pdf in batches:
+            x, above = (np.array(c.tolist(), dtype=np.float64).reshape(len(pdf), -1) for c in (pdf["x"], pdf["above"]))
+            x = (1 + scale) * x - scale * above / pdf["below"].to_numpy()[:, None]
+            x = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + eps)
+            yield pd.DataFrame({key: pdf["g"], id_col: pdf["r"], vector: list(x)})
+
+    return both.select("g", "r", "x", "below", "above").mapInPandas(finished, f"{key} {kinds['g']}, {id_col} {kinds['r']}, {vector} array<double>")
 
 
 def accepted_queries(rows: DataFrame, limit: float = 0.92) -> DataFrame:

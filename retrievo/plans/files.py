@@ -192,9 +192,9 @@ def cleaning_reasons(spark, d):
     return judgements.cleaned(qrels(spark, d), table(spark, d, "documents").filter("lang = 'en'"), 5)[1]
 
 
-@query("grep_titles", "F5", "SELECT doc_id, substr(text, 1, 100) AS preview FROM documents WHERE regexp_matches(concat_ws(' ', source, text), '(?i)web .*the') ORDER BY doc_id LIMIT 25")
+@query("grep_titles", "F5", "SELECT doc_id, substr(text, 1, 100) AS preview FROM documents WHERE regexp_matches(concat_ws(' ', source, text), '(?i)src1 .*the') ORDER BY doc_id LIMIT 25")
 def grep_titles(spark, d):
-    return judgements.grep(table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), "text"), "web .*the", 25, 100)
+    return judgements.grep(table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), "text"), "src1 .*the", 25, 100)
 
 
 @query("bm25_whitespace", "L12", f"WITH {TOKENS.replace('[\\p{L}\\p{N}_]{2,}', '[^ \\t\\n\\x0B\\f\\r]+')} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM run WHERE rank <= 10")

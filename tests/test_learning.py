@@ -122,10 +122,10 @@ def test_parzen_search_reaches_the_grid_in_fewer_trials(spark):
     scores = spark.createDataFrame(rows, "model string, query_id long, doc_id long, score double")
     judged = spark.createDataFrame(relevant, "query_id long, doc_id long")
     grid = learning.search_weights(scores, judged, ["a", "b", "c"], steps=4, threshold=0.5).first()
-    found = learning.parzen_search(scores, judged, ["a", "b", "c"], trials=60).collect()
-    assert len(found) == 60 < 5**3
+    found = learning.parzen_search(scores, judged, ["a", "b", "c"], trials=100).collect()
+    assert len(found) == 100 < 5**3
     assert found[0].f2 >= grid.f2
-    assert sorted(found, key=lambda x: x.trial) == sorted(learning.parzen_search(scores, judged, ["a", "b", "c"], trials=60).collect(), key=lambda x: x.trial)
+    assert sorted(found, key=lambda x: x.trial) == sorted(learning.parzen_search(scores, judged, ["a", "b", "c"], trials=100).collect(), key=lambda x: x.trial)
     by = {}
     for m, q, d, s in rows:
         by.setdefault((q, d), {})[m] = s
