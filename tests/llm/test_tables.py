@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from retrievo.llm import jaccard, mixing, secret_scan, sharding, toxicity
@@ -340,3 +342,37 @@ def test_pipeline(spark, tmp_path, table):
         tokens[r["sequence_id"]] += r["length"]
     assert all(n <= 1024 for n in tokens.values())
     assert Counter(r["doc_id"] for r in kept[4] if r["start"] == 0) == Counter(r["doc_id"] for r in kept[3])
+
+
+def plain_shards(rows, shards):
+    """(doc_id, size, crc, shard, slot) by sorting all records by the hash of their text, where no text is a hot key."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    records = []
+    for r in rows:
+        data = (r["text"] or "").encode()
+        key = 42 if r["text"] is None else signed(xxhash.xxh64_intdigest(data, seed=42))
+        records.append((key, r["doc_id"], zlib.crc32(data), len(data) + 1))
+    records.sort(key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2], x[3]))
+    total, group, starts, at = sum(x[3] for x in records), defaultdict(int), [], 0
+    for x in records:
+        starts.append(at)
+        at += x[3]
+        group[x[0]] += x[3]
+    first, out, rows_of = {}, [], {}
+    for i, (x, start) in enumerate(zip(records, starts, strict=True)):
+        begin = first.setdefault(x[0], start)
+        together = group[x[0]] <= total / shards / 64
+        middle = begin + group[x[0]] / 2 if together else start + x[3] / 2
+        shard = min(shards - 1, int(middle * shards / total))
+        out.append((x[1], x[3], x[2], shard, i - rows_of.setdefault(shard, i)))
+    return out
+
+
+@pytest.mark.parametrize(("ranges", "samples"), [(2, 8192), (3, 20)])
+def test_shards_against_a_plain_sort(spark, ranges, samples):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    want = plain_shards(docs.collect(), 16)
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(docs, ranges=ranges, samples=samples).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert len({x[3] for x in got}) == 16
