@@ -3,9 +3,9 @@
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns
 the columns of documents; the last returns the packed pieces.
 
-Defined cases: null and empty texts aren't toxic, stay in near_duplicates (each of them), hold no secret,
-are mixed with size 0 and packed as their end id alone; repeated rows are copies, of which near_duplicates
-keeps one; rows without doc_id or source pass as others do (a null source is a source of its own); an
+Defined cases: null and empty texts aren't toxic, stay in near_duplicates (each of them), hold no secret
+and are left out by the mix, which takes no words of them; repeated rows are copies, of which
+near_duplicates keeps one; rows without doc_id or source pass as others do (a null source is a source of its own); an
 empty table gives an empty result; columns beyond those of documents, also with names that stages use
 inside, are carried on to the mixing stage.
 """
