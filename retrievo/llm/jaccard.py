@@ -220,8 +220,8 @@ def _may_link(center: str) -> Column:
     return F.when(F.col("kind") == 0, use | F.col("use")).otherwise(near | F.col("use"))
 
 
-#: Rows of a bucket that meet at a time.
-BLOCK_ROWS = 1024
+#: Rows of a bucket that meet at a time, some 300 bytes each; rows that link with few others are copied to each block.
+BLOCK_ROWS = 8192
 #: Rows of a bucket up to which all buckets of a batch are compared at once.
 SMALL_ROWS = 48
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrievo.llm import jaccard
-from retrievo.llm.jaccard import BLOCK_ROWS, Bands, class_of, components, fine_parities, forest, parities, verified
+from retrievo.llm.jaccard import Bands, class_of, components, fine_parities, forest, parities, verified
 from retrievo.llm.storage import materialize
 from retrievo.llm.words import U, gram_sets, mixed
 
@@ -136,8 +136,8 @@ def sets(docs: DataFrame, n: int, percent: int, bands: int, depth: int) -> DataF
     return keyed.mapInPandas(run, "doc_id long, text_key long, cls long, n_shingles long, sketch binary, fine binary, bands array<long>")
 
 
-#: Elements of a set up to which it travels with the rows of buckets.
-LONG = 8192
+#: Elements of a set up to which it travels with the rows of buckets, and rows of a bucket that meet with their sets at a time.
+LONG, BLOCK_ROWS = 8192, 1024
 #: Elements of a part that are told apart at a time.
 SLICE = 1 << 16
 
