@@ -245,3 +245,16 @@ def test_average_ranks_of_a_whole_table(spark):
     for chunks in (2, 64):
         got = {x.id: x.r for x in stats.with_average_rank(rows, "v", "r", chunks=chunks).collect()}
         assert got == {i: sum(o < v for o in values) + (sum(o == v for o in values) + 1) / 2 for i, v in enumerate(values)}
+
+
+def test_graph_lots_shuffle_only_the_best(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.random() ** 2 * 60)}" for _ in range(rng.choice([3, 20, 50]))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:7] + ["", None])), "doc_id long, text string")
+    whole = sorted(map(tuple, lexical.document_graph(docs, 4).collect()))
+    assert whole == sorted(map(tuple, lexical.document_graph(docs, 4, lot=9).collect()))
+    asked = docs.filter("doc_id % 3 = 0").select("doc_id")
+    some = lexical.document_graph(docs, 4, sources=asked)
+    assert [r for r in whole if r[0] % 3 == 0] == sorted(map(tuple, some.collect()))
+    plan = some._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "lot" not in plan  # documents aren't sent to every lot
