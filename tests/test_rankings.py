@@ -258,3 +258,12 @@ def test_graph_lots_shuffle_only_the_best(spark):
     assert [r for r in whole if r[0] % 3 == 0] == sorted(map(tuple, some.collect()))
     plan = some._jdf.queryExecution().toString()
     assert "CoGroup" not in plan and "lot" not in plan  # documents aren't sent to every lot
+
+
+def test_explained_pairs_are_those_asked_for(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc"), (2, "aa dd"), (3, "bb dd dd ee"), (4, "ff")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "aa dd"), (2, "bb ee")], "query_id long, text string")
+    only = spark.createDataFrame([(1, 2), (2, 3)], "query_id long, doc_id long")
+    every = {tuple(r) for r in lexical.contributions(docs, queries).collect()}
+    assert {tuple(r) for r in lexical.contributions(docs, queries, only=only).collect()} == {r for r in every if r[:2] in {(1, 2), (2, 3)}}
+    assert {(r.query_id, r.doc_id): r.score for r in lexical.bm25(docs, queries, 9).collect()} == {(r.query_id, r.doc_id): r.score for r in lexical.bm25(docs, queries, None).collect()}
