@@ -116,17 +116,19 @@ def band_join(rows: DataFrame, key: str, number: str, radius: int, *group: str)
 def nearest(points: DataFrame, targets: DataFrame, key: str, number: str = "num") -> DataFrame:
     """For each point of a key the least distance to a target of the key, and that target.
 
-    The nearest target is the last before or the first after, so one sorted pass replaces all pairs.
+    The nearest target is the last before or the first after.  Only distinct numbers of a key are sorted, once
+    up and once down (a frame that ends with its row is kept up row by row); points then look theirs up.
     """
-    both = points.select(key, "id", F.col(number).alias("n"), F.lit(0).alias("t")).unionByName(targets.select(key, F.lit(None).cast("long").alias("id"), F.col(number).alias("n"), F.lit(1).alias("t")))
-    order = Window.partitionBy(key).orderBy("n", F.desc("t"))
-    hit = F.when(F.col("t") == 1, F.col("n"))
-    below = F.last(hit, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(hit, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    out = both.withColumn("below", below).withColumn("above", above).filter("t = 0")
+    both = points.select(key, F.col(number).alias("n"), F.lit(0).alias("t")).unionByName(targets.select(key, F.col(number).alias("n"), F.lit(1).alias("t")))
+    both = both.groupBy(key, "n").agg(F.max("t").alias("target"), F.min("t").alias("point"))
+    hit = F.when(F.col("target") == 1, F.col("n"))
+    upward, downward = (Window.partitionBy(key).orderBy(c).rowsBetween(Window.unboundedPreceding, 0) for c in (F.col("n").asc(), F.col("n").desc()))
+    out = both.withColumn("below", F.last(hit, ignorenulls=True).over(upward)).withColumn("above", F.last(hit, ignorenulls=True).over(downward)).filter("point = 0")
     down, up = F.col("n") - F.col("below"), F.col("above") - F.col("n")
     take = F.when(up.isNull() | (down <= up), F.col("below")).otherwise(F.col("above"))
-    return out.select(key, "id", F.col("n").alias(number), take.alias("nearest"), F.least(down, up).alias("distance"))
+    found = out.select(F.col(key).alias("_key"), F.col("n").alias("_n"), take.alias("nearest"), F.least(down, up).alias("distance"))
+    rows = points.select(key, "id", F.col(number).alias(number)).join(found, F.col(key).eqNullSafe(F.col("_key")) & F.col(number).eqNullSafe(F.col("_n")))
+    return rows.select(key, "id", number, "nearest", "distance")
 
 
 def interval_lookup(rows: DataFrame, number: str, bounds: list[tuple[int, str]], last: str) -> DataFrame:
