@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrievo.functions.vectors import dot, norm, unit
+from retrievo.operators import grid
 from retrievo.operators.ranking import top_k
 
 #: Query vectors that may be broadcast at once.
@@ -31,6 +32,8 @@ def paired(queries: DataFrame, docs: DataFrame, exclude_self: bool = True) -> Da
 
 def search(queries: DataFrame, docs: DataFrame, k: int, similarity=dot, exclude_self: bool = True) -> DataFrame:
     """query_id, doc_id, rank, score of ``queries(query_id, q)`` against ``docs(doc_id, d)``."""
+    if similarity is dot and exclude_self:
+        return top_k(grid.top(queries.select("query_id", "q"), docs.select("doc_id", "d"), k), k)
     pairs = paired(queries, docs, exclude_self)
     return top_k(pairs.select("query_id", "doc_id", similarity(F.col("q"), F.col("d")).alias("score")), k)
 

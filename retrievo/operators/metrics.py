@@ -10,18 +10,19 @@ def positive(qrels: DataFrame) -> DataFrame:
     return qrels.filter("score > 0").select("query_id", "doc_id").distinct()
 
 
-def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (10,), precision: str = "returned", skip_empty: bool = False, queries: DataFrame | None = None) -> DataFrame:
+def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (10,), precision: str = "returned", skip_empty: bool = False, queries: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
     """query_id, k, rr, recall, precision for every judged query; a query without a run scores 0.
 
     ``precision``: divide by the number returned in the top k, or by k ("constant").  Queries whose
-    judgements are all zero count as 0 unless ``skip_empty``.
+    judgements are all zero count as 0 unless ``skip_empty``.  With ``totals(query_id, relevant)``, ``qrels``
+    need only hold the judgements of documents in the run.
     """
     relevant = positive(qrels)
-    judged = (queries if queries is not None else qrels).select("query_id").distinct()
+    judged = (queries if queries is not None else qrels if totals is None else totals).select("query_id").distinct()
     hits = run.join(relevant.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     top = hits.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter("rank <= k")
     found = top.groupBy("query_id", "k").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("returned"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
-    total = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
+    total = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant")) if totals is None else totals
     base = judged.join(total, "query_id", "inner" if skip_empty else "left").withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     out = base.join(found, ["query_id", "k"], "left")
     by = F.col("returned") if precision == "returned" else F.col("k")
