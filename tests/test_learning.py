@@ -153,6 +153,21 @@ def test_bounded_graph_is_exact_and_reads_less(spark):
         assert row.r < 0.6 * row.m
 
 
+def test_bounded_graph_in_lots_writes_no_bounds(spark, monkeypatch):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words[: 10 + i % 50], k=30))) for i in range(150)], "doc_id long, text string")
+    asked = docs.select("doc_id").filter("doc_id % 3 = 0")
+    made, rows = graph.written, []
+    monkeypatch.setattr(graph, "written", lambda df, name: rows.append(made(df, name)) or rows[-1])
+    bounded = graph.bounded_graph(docs, 4, sources=asked, lot=20)
+    want = lexical.document_graph(docs, 4, sources=asked).collect()
+    assert sorted(map(tuple, bounded.edges.collect())) == sorted(map(tuple, want))
+    # terms asked, seeds and the best of each task; no rows by (source, block, term)
+    assert sum(t.count() for t in rows) < 50 * (30 + 8) + 50 * 20 * (4 + 1)
+    assert bounded.examined.count() == 50
+
+
 def test_best_path_against_every_cut():
     r = random.Random(6)
     for _ in range(200):
