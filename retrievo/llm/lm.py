@@ -16,9 +16,10 @@ ids of context at least (or the text's start).
 
 The base score is an add-one unigram model of words over all training rows.  Texts are written to
 blocks of about ``BLOCK_BYTES`` in the shared folder, with their ids and their words as numbers in a
-dictionary of the block.  Only dictionaries are shuffled: to their words, where counts are summed,
-and back to their blocks.  So a word travels once a block, however often it occurs, and the scores
-need no further pass over the texts.  Blocks have names of their own and only those of successful
+dictionary of the block.  Texts are cut where neither words nor pieces of the tokenizer go across, and
+each distinct part of a block is tokenized and hashed once.  Only dictionaries are shuffled, as arrays:
+to ranges of hashes, where counts are summed, and back to their blocks.  So a word travels once a
+block, however often it occurs, and the scores need no further pass over the texts.  Blocks have names of their own and only those of successful
 tasks are listed, so tasks can be run again.
 
 Words are told apart by 64-bit hashes.  Defined cases: null text is empty text, which has the end
@@ -29,6 +30,8 @@ give repeated results; an empty table gives an empty result; other columns are i
 from __future__ import annotations
 
 import io
+import math
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -37,19 +40,22 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrievo.llm import packing
 from retrievo.llm.storage import fresh, materialize
-from retrievo.llm.words import word_hashes
+from retrievo.llm.words import distinct_parts, part_places, spread, word_places
 
 BLOCK_BYTES = 8 << 20
 WIDTH, STRIDE = 32, 24
 CLASSES, OWN, DIM, HIDDEN = 64, 2048, 16, 32
+LOT_WORDS = 1 << 21
 BATCH, PASS_RATE = 64, 0.003
 VOCABULARY = 50_257
 END = VOCABULARY  # the id after a text
+MASK = np.tri(WIDTH, dtype=np.float32)  # what each position of a window sees
+LINE = re.compile(rb" ?[!-~](.*[!-~])?", re.DOTALL)
 END_WORD = np.int64(-1)  # stands for the end among the words' hashes
 
 
@@ -90,46 +96,80 @@ def _read(folder: str, name: str, keys: set[str]) -> dict[str, np.ndarray]:
     return out
 
 
+def piece_ids(tokenize: Callable[[str], bytes], id_sizes: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of the pieces, one piece after the other, and their numbers); ``id_sizes``: how many bytes an id stands for.
+
+    Pieces that end with a visible ASCII character, and begin with one or a space before one, are
+    tokenized as lines of one text: a line's end between such is an id of its own, and the bytes of
+    the ids tell where lines end.
+    """
+    alone = {i: tokenize(p.decode()) for i, p in enumerate(pieces) if not LINE.fullmatch(p)}
+    line = np.ones(len(pieces), dtype=bool)
+    line[list(alone)] = False
+    lines = [p for i, p in enumerate(pieces) if i not in alone]
+    ids = np.frombuffer(tokenize(b"\n".join(lines).decode()), dtype="<u4")
+    ends = np.searchsorted(np.cumsum(id_sizes[ids]), np.cumsum([len(p) + 1 for p in lines], dtype=np.int64) - 1, side="right")
+    counts = np.empty(len(pieces), dtype=np.int64)
+    counts[line] = np.diff(ends, prepend=-1) - 1
+    counts[~line] = [len(i) // 4 for i in alone.values()]
+    flat, inside = np.empty(counts.sum(), dtype=np.uint16), np.repeat(line, counts)
+    flat[inside] = np.delete(ids, ends[:-1])
+    flat[~inside] = np.frombuffer(b"".join(alone.values()), dtype="<u4")
+    return flat, counts
+
+
+def contents(tokenize: Callable[[str], bytes], id_sizes: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(ids, their numbers by text, hashes of words, their numbers by text): each distinct part of the texts is looked at once."""
+    data, starts, ends, first = part_places(texts)
+    which, parts = distinct_parts(data, starts, ends)
+    data, starts, ends, begins = part_places(parts, within_words=True)
+    inner, pieces = distinct_parts(data, starts, ends)
+    ids, n_ids = spread(*piece_ids(tokenize, id_sizes, pieces), inner)
+    ids, n_ids = spread(ids, np.add.reduceat(n_ids, begins), which)
+    words, places = word_places(data)
+    words, n_words = spread(words.view(np.int64), np.diff(np.searchsorted(places, np.append(starts[begins[1:]], len(data))), prepend=0), which)
+    return ids, np.add.reduceat(n_ids, first), words, np.add.reduceat(n_words, first)
+
+
 def blocks(docs: DataFrame, folder: str, ranks_path: str | None = None) -> DataFrame:
-    """Writes the blocks; one row for each: block, docs, train_tokens."""
+    """Writes the blocks; one row for each: block, docs, train_tokens, words (of its dictionary)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenize = packing.encoder(ranks_path or packing.default_ranks())
+        path = ranks_path or packing.default_ranks()
+        tokenize, id_sizes = packing.encoder(path), packing.id_sizes(path)
 
         def flush():
-            rows = np.array([held for _, held, _, _ in part], dtype=bool)
-            sizes = np.array([len(w) for _, _, w, _ in part], dtype=np.int64)
-            words = np.concatenate([w for _, _, w, _ in part])
-            number, keys = pd.factorize(words)
+            docs = [d for d, _ in part]
+            rows = np.array([held_out(d) for d in docs], dtype=bool)
+            ids, lengths, words, sizes = contents(tokenize, id_sizes, [t for _, t in part])
+            number, keys = pd.factorize(np.append(words, END_WORD))
             order = np.argsort(keys)
             keys, number = keys[order], np.argsort(order)[number]
-            doc = np.repeat(np.arange(len(part)), sizes)
+            every = np.arange(len(part))
+            doc = np.append(np.repeat(every, sizes), every)
+            number = np.append(number[:-1], np.full(len(part), number[-1]))
             train = np.bincount(number[~rows[doc]], minlength=len(keys))
             # the words of a text in any order: sorted numbers, as differences, take less room
             order = np.sort(doc << 32 | number) & 0xFFFFFFFF
-            ids = [np.frombuffer(i, dtype="<u4").astype(np.uint16) for *_, i in part]
             name = uuid.uuid4().hex
             _write(folder, name, {
-                "doc_id": np.array([-1 if d is None else d for d, *_ in part], dtype=np.int64), "null_id": np.array([d is None for d, *_ in part]),
-                "held_out": rows, "sizes": sizes, "keys": keys, "train": train.astype(np.uint32), "words": np.diff(order, prepend=0).astype(np.int32),
-                "lengths": np.array([len(i) for i in ids], dtype=np.int64), "ids": np.concatenate(ids),
+                "doc_id": np.array([-1 if d is None else d for d in docs], dtype=np.int64), "null_id": np.array([d is None for d in docs]),
+                "held_out": rows, "sizes": sizes + 1, "keys": keys, "train": train.astype(np.uint32), "words": np.diff(order, prepend=0).astype(np.int32),
+                "lengths": lengths, "ids": ids,
             })
-            return pd.DataFrame({"block": [name], "docs": [len(part)], "train_tokens": [int(train.sum())]})
+            return pd.DataFrame({"block": [name], "docs": [len(part)], "train_tokens": [int(train.sum())], "words": [len(keys)]})
 
         part, size = [], 0
         for pdf in batches:
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                doc, text = None if pd.isna(doc) else int(doc), text or ""
-                data = text.encode()
-                words = np.append(word_hashes(data).view(np.int64), END_WORD)
-                part.append((doc, held_out(doc), words, tokenize(text)))
-                size += len(data) + 64
+                part.append((None if pd.isna(doc) else int(doc), (text or "").encode()))
+                size += len(part[-1][1]) + 64
                 if size >= BLOCK_BYTES:
                     yield flush()
                     part, size = [], 0
         if part:
             yield flush()
 
-    return materialize(docs.select("doc_id", "text").mapInPandas(run, "block string, docs long, train_tokens long"), "lm-blocks")
+    return materialize(docs.select("doc_id", "text").mapInPandas(run, "block string, docs long, train_tokens long, words long"), "lm-blocks")
 
 
 def id_counts(listed: DataFrame, folder: str) -> np.ndarray:
@@ -208,93 +248,136 @@ def exponentials(a: np.ndarray, most: float) -> None:
     np.exp(a, out=a)
 
 
-def _forward(w: dict[str, np.ndarray], symbols: np.ndarray) -> dict[str, np.ndarray]:
-    """Masked attention over a batch of windows; logits of the class after each position."""
-    x = w["e"].take(symbols, axis=0)
-    x += w["p"][: symbols.shape[1]]
-    n = x.shape[1]
+class Room:
+    """Arrays that batches of one size use again: new ones of their size would be mapped and cleared by the system each time."""
+
+    def __init__(self, dtype):
+        self.dtype, self.kept, self.parts = dtype, {}, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size, got = math.prod(shape), self.kept.get(name)
+        if got is None or got.size < size:
+            got = self.kept[name] = np.empty(size, self.dtype)
+        return got[:size].reshape(shape)
+
+    def like(self, w: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """An array of the size of all weights, and its parts in their shapes."""
+        if not self.parts:
+            self.flat = np.empty(sum(v.size for v in w.values()), self.dtype)
+            self.parts = views(self.flat, w)
+        return self.flat, self.parts
+
+
+def views(flat: np.ndarray, w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parts of one array in the shapes of ``w``."""
+    ends = np.cumsum([v.size for v in w.values()])
+    return {k: part.reshape(v.shape) for (k, v), part in zip(w.items(), np.split(flat, ends[:-1]), strict=True)}
+
+
+def _forward(w: dict[str, np.ndarray], symbols: np.ndarray, room: Room | None = None) -> dict[str, np.ndarray]:
+    """Masked attention over a batch of windows; logits of the class after each position.
+
+    ``a`` are exponentials and ``s`` their sums, by which not they but the fewer outputs are divided.
+    """
+    room = room or Room(w["e"].dtype)
+    (m, n), size = symbols.shape, symbols.size
+    x = w["e"].take(symbols, axis=0, out=room("x", m, n, DIM), mode="clip")
+    x += w["p"][:n]
     rows = x.reshape(-1, DIM)
-    q, k, v = ((rows @ w["qkv"][:, i * DIM : (i + 1) * DIM]).reshape(x.shape) for i in range(3))
-    a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+    qkv = np.matmul(rows, w["qkv"], out=room("qkv", size, 3 * DIM)).reshape(m, n, 3 * DIM)
+    q, k, v = (qkv[:, :, i * DIM : (i + 1) * DIM] for i in range(3))
+    a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", m, n, n))
     exponentials(a, 30)
-    a *= np.tri(n, dtype=a.dtype)
-    a /= (a.reshape(-1, n) @ np.ones((n, 1), a.dtype) + 1e-30).reshape(*a.shape[:2], 1)
-    o = np.matmul(a, v)
-    h = rows + o.reshape(-1, DIM)
-    f = h @ w["f1"]
+    a *= MASK[:n, :n]
+    s = a.reshape(-1, n) @ np.ones((n, 1), a.dtype)
+    s += 1e-30
+    o = np.matmul(a, v, out=room("o", m, n, DIM)).reshape(-1, DIM)
+    o /= s
+    h = np.add(rows, o, out=room("h", size, DIM))
+    f = np.matmul(h, w["f1"], out=room("f", size, HIDDEN))
     np.maximum(f, 0, out=f)
-    g = f @ w["f2"]
+    g = np.matmul(f, w["f2"], out=room("g", size, DIM))
     g += h
-    z = g @ w["u"]
+    z = np.matmul(g, w["u"], out=room("z", size, CLASSES))
     z += w["b"]
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "f": f, "g": g, "z": z}
+    return {"x": rows, "q": q, "k": k, "v": v, "a": a, "s": s, "o": o, "h": h, "f": f, "g": g, "z": z}
 
 
 class Tables:
     """The same pass for scoring: projections of symbols and positions are looked up, not computed."""
 
     def __init__(self, w: dict[str, np.ndarray]):
-        self.w = w
-        parts = [w["qkv"][:, i * DIM : (i + 1) * DIM] for i in range(3)]
-        self.symbol = [np.ascontiguousarray(w["e"] @ p) for p in parts]
-        self.position = [w["p"] @ p for p in parts]
-        self.mask, self.ones = np.tri(WIDTH, dtype=np.float32), np.ones((WIDTH, 1), np.float32)
-
-    def logits(self, symbols: np.ndarray, wanted: np.ndarray, skip: int = 0) -> np.ndarray:
-        """After the wanted places, counted in the windows without their first ``skip`` positions, which are context only."""
-        w, n = self.w, symbols.shape[1]
-        asked = np.ascontiguousarray(symbols[:, skip:])
-        q, k, v = (s.take(rows, axis=0) for s, rows in zip(self.symbol, (asked, symbols, symbols), strict=True))
-        q += self.position[0][skip:n]
-        k += self.position[1][:n]
-        v += self.position[2][:n]
-        a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+        self.w, self.room = w, Room(w["e"].dtype)
+        self.symbol, self.position = (np.hstack((w[key] @ w["qkv"], w[key])) for key in ("e", "p"))
+        self.ones = np.ones((WIDTH, 1), np.float32)
+        self.bias = np.exp(np.minimum(w["b"], 20))[:, None]
+
+    def logs(self, symbols: np.ndarray, cls: np.ndarray, wanted: np.ndarray | slice, skip: int = 0) -> np.ndarray:
+        """Logarithms of the shares of classes after the wanted places, counted in the windows without their first ``skip`` positions, which are context only."""
+        w, room, (m, n) = self.w, self.room, symbols.shape
+        looked = self.symbol.take(symbols, axis=0, out=room("looked", m, n, 4 * DIM), mode="clip")
+        looked += self.position[:n]
+        q, k, v, x = (looked[:, skip * (i in (0, 3)) :, i * DIM : (i + 1) * DIM] for i in range(4))
+        a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", m, n - skip, n))
         exponentials(a, 30)
-        a *= self.mask[skip:n, :n]
-        h = np.matmul(a, v).reshape(-1, DIM)[wanted]
-        h /= (a.reshape(-1, n) @ self.ones[:n])[wanted] + 1e-30
-        h += w["e"].take(asked.ravel()[wanted], axis=0)
-        h += w["p"][skip:].take(wanted % (n - skip), axis=0)
-        f = h @ w["f1"]
+        a *= MASK[skip:n, :n]
+        h = np.matmul(a, v, out=room("h", m, n - skip, DIM))
+        h /= (a.reshape(-1, n) @ self.ones[:n] + 1e-30).reshape(m, -1, 1)
+        h += x
+        h = h.reshape(-1, DIM)[wanted]
+        f = np.matmul(h, w["f1"], out=room("f", len(h), HIDDEN))
         np.maximum(f, 0, out=f)
-        h += f @ w["f2"]
-        z = h @ w["u"]
-        z += w["b"]
-        return z
-
-
-def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, want: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log probability of the classes wanted (-1: none) after each position."""
-    c, want = _forward(w, inputs), want.ravel()
-    dz, size = c["z"], len(w["e"])
-    real = (want >= 0).astype(dz.dtype)
-    real /= max(1, np.count_nonzero(real))
-    exponentials(dz, 60)
-    dz *= (real / (dz @ np.ones(CLASSES, dz.dtype) + 1e-30))[:, None]
-    dz[np.arange(len(want)), np.maximum(want, 0)] -= real
-    grad = {"u": c["g"].T @ dz, "b": np.ones(len(dz), dz.dtype) @ dz}
-    dg = dz @ w["u"].T
-    grad["f2"] = c["f"].T @ dg
-    df = dg @ w["f2"].T
+        h += np.matmul(f, w["f2"], out=room("g", len(h), DIM))
+        z = np.matmul(h, w["u"], out=room("z", len(h), CLASSES))
+        got = np.minimum(z.reshape(-1).take(np.arange(0, z.size, CLASSES) + cls), 60) + self.w["b"].take(cls)
+        exponentials(z, 60)
+        return got - np.log((z @ self.bias)[:, 0] + 1e-30)
+
+
+def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, want: np.ndarray, room: Room | None = None) -> dict[str, np.ndarray]:
+    """Of the mean negative log probability of the classes wanted (-1: none) after each position; parts of what ``room.like(w)`` gives."""
+    room = room or Room(w["e"].dtype)
+    c, want = _forward(w, inputs, room), want.ravel()
+    (m, n), size = inputs.shape, inputs.size
+    _, grad = room.like(w)
+    # shares of classes are exponentials by their sums; rows are weighed where they are narrow
+    e = c["z"]
+    exponentials(e, 60)
+    sums = e @ np.ones((CLASSES, 1), e.dtype)
+    sums += 1e-30
+    cells = np.arange(size) * CLASSES + np.maximum(want, 0)
+    e.reshape(-1)[cells] -= sums[:, 0]
+    scale = (want >= 0)[:, None] / sums
+    scale /= max(1, np.count_nonzero(want >= 0))
+    scale = scale.astype(e.dtype, copy=False)
+    np.matmul(np.multiply(c["g"], scale, out=room("narrow", size, DIM)).T, e, out=grad["u"])
+    np.matmul(scale[:, 0], e, out=grad["b"])
+    dg = np.matmul(e, w["u"].T, out=room("dg", size, DIM))
+    dg *= scale
+    np.matmul(c["f"].T, dg, out=grad["f2"])
+    df = np.matmul(dg, w["f2"].T, out=room("df", size, HIDDEN))
     df *= c["f"] > 0
-    grad["f1"] = c["h"].T @ df
-    dg += df @ w["f1"].T
-    dh = dg.reshape(c["x"].shape)
+    np.matmul(c["h"].T, df, out=grad["f1"])
+    dh = np.matmul(df, w["f1"].T, out=room("dh", size, DIM))
+    dh += dg
     # through the softmax: a row's mean of da by its shares is the product of dh and the row's output
-    da = np.matmul(dh, np.ascontiguousarray(c["v"].transpose(0, 2, 1)))
-    da -= np.einsum("bij,bij->bi", dh, c["o"])[:, :, None]
+    do = np.divide(dh, c["s"], out=room("narrow", size, DIM))
+    da = np.matmul(do.reshape(m, n, DIM), c["v"].transpose(0, 2, 1), out=room("da", m, n, n))
+    da -= np.einsum("ij,ij->i", do, c["o"]).reshape(m, n, 1)
     da *= c["a"]
-    dqkv = np.empty((*inputs.shape, 3 * DIM), dz.dtype)
-    np.matmul(da, c["k"], out=dqkv[:, :, :DIM])
-    np.matmul(da.transpose(0, 2, 1), c["q"], out=dqkv[:, :, DIM : 2 * DIM])
-    np.matmul(c["a"].transpose(0, 2, 1), dh, out=dqkv[:, :, 2 * DIM :])
+    dqkv, part = room("dqkv", m, n, 3 * DIM), room("part", m, n, DIM)
+    dqkv[:, :, :DIM] = np.matmul(da, c["k"], out=part)
+    dqkv[:, :, DIM : 2 * DIM] = np.matmul(da.transpose(0, 2, 1), c["q"], out=part)
+    dqkv[:, :, 2 * DIM :] = np.matmul(c["a"].transpose(0, 2, 1), do.reshape(m, n, DIM), out=part)
     dqkv = dqkv.reshape(-1, 3 * DIM)
-    grad["qkv"] = c["x"].reshape(-1, DIM).T @ dqkv
-    dx = dg + dqkv @ w["qkv"].T
-    grad["p"] = np.zeros_like(w["p"])
-    grad["p"][: inputs.shape[1]] = dx.reshape(c["x"].shape).sum(axis=0)
-    cells = (inputs.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
-    grad["e"] = np.bincount(cells, weights=dx.ravel(), minlength=size * DIM).reshape(size, DIM).astype(dx.dtype)
+    np.matmul(c["x"].T, dqkv, out=grad["qkv"])
+    dx = np.matmul(dqkv, w["qkv"].T, out=room("dx", size, DIM))
+    dx += dh
+    grad["p"][n:] = 0
+    np.matmul(np.ones(m, dx.dtype), dx.reshape(m, -1), out=grad["p"][:n].reshape(-1))
+    symbols = inputs.ravel().astype(np.int64)
+    for i, column in enumerate(dx.T.astype(np.float64)):
+        grad["e"][:, i] = np.bincount(symbols, weights=column, minlength=len(w["e"]))
     return grad
 
 
@@ -308,13 +391,13 @@ def train(windows: np.ndarray, symbols: np.ndarray, target: np.ndarray, steps: i
 
 def _adam(w: dict[str, np.ndarray], symbols: np.ndarray, target: np.ndarray, picks: Iterable[np.ndarray], steps: int, top: float) -> dict[str, np.ndarray]:
     """Steps over all weights as one array, of which ``w`` becomes views."""
-    flat, ends = np.concatenate([v.ravel() for v in w.values()]), np.cumsum([v.size for v in w.values()])
-    w = {k: part.reshape(v.shape) for (k, v), part in zip(w.items(), np.split(flat, ends[:-1]), strict=True)}
+    flat = np.concatenate([v.ravel() for v in w.values()])
+    w, room = views(flat, w), Room(flat.dtype)
     m, s, change = (np.zeros_like(flat) for _ in range(3))
     for step, pick in enumerate(picks, 1):
         rate = top * min(1.0, step / 50) * (1 - 0.9 * step / steps)
-        grad = gradients(w, symbols[pick], target[pick])
-        g = np.concatenate([grad[k].ravel() for k in w])
+        gradients(w, symbols[pick], target[pick], room)
+        g, _ = room.like(w)
         m *= 0.9
         m += np.multiply(g, 0.1, out=change)
         s *= 0.99
@@ -379,6 +462,10 @@ def training_ids(folder: str, name: str) -> tuple[np.ndarray, np.ndarray]:
     return b["ids"][np.repeat(train, b["lengths"])].astype(np.int64), b["lengths"][train]
 
 
+def _tasks(listed: DataFrame, of_core: int = 4) -> int:
+    return max(1, min(listed.count(), of_core * listed.sparkSession.sparkContext.defaultParallelism))
+
+
 def _summed(listed: DataFrame, run: Callable[[Iterator[str]], np.ndarray], size: int) -> np.ndarray:
     """The sum over all blocks of what ``run`` makes of some of them: ``size`` whole numbers."""
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -386,8 +473,7 @@ def _summed(listed: DataFrame, run: Callable[[Iterator[str]], np.ndarray], size:
         keys = np.flatnonzero(got)
         yield pd.DataFrame({"i": keys.astype(np.int32), "n": got[keys]})
 
-    tasks = max(1, min(listed.count(), 4 * listed.sparkSession.sparkContext.defaultParallelism))
-    rows = listed.select("block").repartition(tasks).mapInPandas(part, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    rows = listed.select("block").repartition(_tasks(listed)).mapInPandas(part, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, dtype=np.int64)
     out[rows["i"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return out
@@ -459,7 +545,7 @@ def fit(docs: DataFrame, listed: DataFrame, folder: str, counts: np.ndarray, *,
 SLICE = 1 << 18
 
 
-def text_scores(model: Model, ids: np.ndarray, lengths: np.ndarray, batch: int = 256) -> np.ndarray:
+def text_scores(model: Model, ids: np.ndarray, lengths: np.ndarray, batch: int = 128) -> np.ndarray:
     """log10 probability of each text: ``ids`` of all texts without start and end, one after the other."""
     out, ends = [np.zeros(0)], np.cumsum(lengths)
     at = 0
@@ -495,24 +581,54 @@ def _scores(model: Model, ids: np.ndarray, lengths: np.ndarray, batch: int) -> n
     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     first = starts[doc] + nth * STRIDE
     last = starts[doc + 1]
-    offsets, tables, ones = np.arange(WIDTH), Tables(model.w), np.ones(CLASSES, np.float32)
-    for skip, windows in ((0, np.flatnonzero(nth == 0)), (WIDTH - STRIDE, np.flatnonzero(nth > 0))):
+    offsets, tables, later, full = np.arange(WIDTH), Tables(model.w), nth > 0, last - first >= WIDTH
+    for skip, windows in ((0, ~later & full), (0, ~later & ~full), (WIDTH - STRIDE, later & full), (WIDTH - STRIDE, later & ~full)):
+        windows = np.flatnonzero(windows)
         for at in range(0, len(windows), batch):
             part = windows[at : at + batch]
             place = first[part, None] + offsets
-            where = np.flatnonzero(place[:, skip:] < last[part, None])
-            np.minimum(place, last[part, None] - 1, out=place)
-            spot = place[:, skip:].ravel()[where]
-            z = tables.logits(symbols[place], where, skip)
-            wanted = np.minimum(z[np.arange(len(where)), cls[spot]], 60).astype(np.float64)
-            exponentials(z, 60)
-            scored[spot] += (wanted - np.log(z @ ones + 1e-30)) / np.log(10)
+            wanted: np.ndarray | slice = slice(None)
+            if not full[part[0]]:
+                wanted = np.flatnonzero(place[:, skip:] < last[part, None])
+                np.minimum(place, last[part, None] - 1, out=place)
+            spot = place[:, skip:].ravel()[wanted]
+            scored[spot] += tables.logs(symbols[place], cls[spot], wanted, skip) / math.log(10)
     return np.add.reduceat(scored, starts[:-1])
 
 
 # ---- scores ----
 
 
+def word_counts(listed: DataFrame, folder: str, lot_words: int = LOT_WORDS) -> DataFrame:
+    """What all training rows hold of the words of each block: block, lot, c (counts by word, as bytes), types (words counted here first, those that occur).
+
+    Dictionaries are sorted by hash and cut into lots, ranges of hashes that hold about ``lot_words``
+    entries of all blocks; a lot's parts meet in one group, where a word has one entry a block.
+    """
+    lots = max(1, -(-(listed.agg(F.sum("words")).first()[0] or 0) // lot_words))
+    bounds = np.array([-(1 << 63) + (i << 64) // lots for i in range(1, lots)], dtype=np.int64)
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name in pdf["block"]:
+                b = _read(folder, name, {"keys", "train"})
+                at = np.searchsorted(b["keys"], bounds)
+                keys, train = ([part.tobytes() for part in np.split(b[k], at)] for k in ("keys", "train"))
+                yield pd.DataFrame({"block": name, "lot": np.arange(lots, dtype=np.int32), "keys": keys, "train": train})
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        number, keys = pd.factorize(np.frombuffer(b"".join(pdf["keys"]), dtype=np.int64))
+        sums = np.zeros(len(keys), dtype=np.int64)
+        np.add.at(sums, number, np.frombuffer(b"".join(pdf["train"]), dtype=np.uint32).astype(np.int64))
+        parts = np.split(sums[number], np.cumsum([len(k) // 8 for k in pdf["keys"]])[:-1])
+        types = np.zeros(len(pdf), dtype=np.int64)
+        types[0] = np.count_nonzero(sums)
+        return pd.DataFrame({"block": pdf["block"], "lot": pdf["lot"], "c": [c.tobytes() for c in parts], "types": types})
+
+    rows = listed.select("block").repartition(_tasks(listed)).mapInPandas(entries, "block string, lot int, keys binary, train binary")
+    return rows.groupBy("lot").applyInPandas(summed, "block string, lot int, c binary, types long")
+
+
 def score(docs: DataFrame, *, ranks_path: str | None = None, **options) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -521,21 +637,10 @@ def score(docs: DataFrame, *, ranks_path: str | None = None, **options) -> DataF
     model = fit(docs, listed, folder, id_counts(listed, folder), ranks_path=ranks_path, **options)
     shared = spark.sparkContext.broadcast(packed(model))  # of the vocabulary's size
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name in pdf["block"]:
-                b = _read(folder, name, {"keys", "train"})
-                yield pd.DataFrame({"block": name, "key": b["keys"], "n": b["train"].astype(np.int64)})
-
-    rows = listed.select("block").repartition("block").mapInPandas(entries, "block string, key long, n long")
-    word = Window.partitionBy("key")
-    rows = rows.select("block", "key", F.sum("n").over(word).alias("c"), (F.min("block").over(word) == F.col("block")).alias("first"))
-
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
         model = unpacked(shared.value)
         b = _read(folder, pdf["block"].iloc[0], {"doc_id", "null_id", "held_out", "sizes", "words", "lengths", "ids"})
-        pdf = pdf.sort_values("key")
-        c = pdf["c"].to_numpy()
+        c = np.frombuffer(b"".join(pdf.sort_values("lot")["c"]), dtype=np.int64)
         words = np.cumsum(b["words"].astype(np.int64))
         starts = np.cumsum(b["sizes"]) - b["sizes"]
         out = pd.DataFrame({
@@ -544,11 +649,12 @@ def score(docs: DataFrame, *, ranks_path: str | None = None, **options) -> DataF
             "score": text_scores(model, b["ids"], b["lengths"]), "types": 0,
         })
         out.loc[b["null_id"], "doc_id"] = pd.NA
-        out.loc[0, "types"] = int((pdf["first"].to_numpy() & (c > 0)).sum())
+        out.loc[0, "types"] = int(pdf["types"].sum())
         return out
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, types long"
-    found = materialize(rows.groupBy("block").applyInPandas(scored, schema), "lm-scores")
+    counted = word_counts(listed, folder).repartition(_tasks(listed, 16), "block")
+    found = materialize(counted.groupBy("block").applyInPandas(scored, schema), "lm-scores")
     tokens = listed.agg(F.sum("train_tokens")).first()[0] or 0
     types = found.agg(F.sum("types")).first()[0] or 0
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(tokens + types + 1)))

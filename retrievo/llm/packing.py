@@ -74,6 +74,15 @@ def encoder(ranks_path: str, pattern: str | None = None, added: dict[str, int] |
     return ids
 
 
+def id_sizes(ranks_path: str) -> np.ndarray:
+    """How many bytes each id of the ranks stands for."""
+    with open(ranks_path, "rb") as lines:
+        sizes = {int(b): len(base64.b64decode(a)) for a, b in map(bytes.split, lines)}
+    out = np.zeros(max(sizes) + 1, dtype=np.int64)
+    out[list(sizes)] = list(sizes.values())
+    return out
+
+
 def default_added() -> dict[str, int]:
     """The added tokens of the default tokenizer."""
     import public_tokenizers

@@ -152,3 +152,47 @@ def test_contexts_of_all_training_rows_are_counted(spark):
     counts = lm.id_counts(listed, folder)
     known = lm.known_ids(counts)
     assert lm.all_contexts(listed, folder, known).sum(axis=1).tolist() == counts[known].tolist()
+
+
+def test_distinct_parts_give_the_ids_and_words_of_whole_texts():
+    path = lm.packing.default_ranks()
+    encode, sizes = lm.packing.encoder(path), lm.packing.id_sizes(path)
+    marks = ["a", "B", "é", "中", " ", "  ", "\n", "\t", "'s", "'ll", "1", "23", ".", "--", "　", "\x85", "\xa0", "\x1c", "\0", " a", " the", " word", "😀", "́", "\r\n", " '", "<|endoftext|>"]
+    rng = np.random.default_rng(5)
+    cases = [["".join(rng.choice(marks, rng.integers(0, 30))) for _ in range(rng.integers(1, 40))] for _ in range(100)]
+    for texts in [*cases, [""], ["\n\na", "a ", " a", "it's,it's"], ["x" * 700_000 + " y", "", "ab " * 300_000]]:
+        seen = []
+        ids, lengths, words, counts = lm.contents(lambda t: seen.append(len(t)) or encode(t), sizes, [t.encode() for t in texts])
+        want = [np.frombuffer(encode(t), dtype="<u4") for t in texts]
+        assert ids.tolist() == np.concatenate(want).tolist() and lengths.tolist() == [len(i) for i in want]
+        hashes = [word_hashes(t.encode()).view(np.int64) for t in texts]
+        assert words.tolist() == np.concatenate(hashes).tolist() and counts.tolist() == [len(h) for h in hashes]
+    assert sum(seen) < 1_000_000  # a word that comes back is tokenized once
+
+
+def test_words_are_counted_in_lots(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+    folder = lm.fresh(spark, "lm-test")
+    listed = lm.blocks(df, folder)
+    want, got = Counter(), {}
+    for name in (r["block"] for r in listed.collect()):
+        b = lm._read(folder, name, {"keys", "train"})
+        for key, n in zip(b["keys"].tolist(), b["train"].tolist(), strict=True):
+            want[key] += n
+    for lot_words in (1 << 30, 200):
+        rows = sorted(lm.word_counts(listed, folder, lot_words).collect(), key=lambda r: (r["block"], r["lot"]))
+        for name in {r["block"] for r in rows}:
+            keys = lm._read(folder, name, {"keys"})["keys"].tolist()
+            c = np.frombuffer(b"".join(r["c"] for r in rows if r["block"] == name), dtype=np.int64)
+            got |= dict(zip(keys, c.tolist(), strict=True))
+        assert got == dict(want) and len({r["lot"] for r in rows}) == max(1, -(-sum(r["words"] for r in listed.collect()) // lot_words))
+        assert sum(r["types"] for r in rows) == sum(n > 0 for n in want.values())
+
+
+def test_steps_in_the_same_room_give_the_same_gradients():
+    rng = np.random.default_rng(6)
+    model, room = small_model(rng), lm.Room(np.float32)
+    for n in (5, 64, 3, 64):
+        inputs, want = rng.integers(0, 50, (n, lm.WIDTH)), rng.integers(-1, lm.CLASSES, (n, lm.WIDTH))
+        got, fresh = lm.gradients(model.w, inputs, want, room), lm.gradients(model.w, inputs, want)
+        assert all((got[k] == fresh[k]).all() for k in fresh)
