@@ -12,7 +12,7 @@ features count as below all others.  Equal gains go to the first feature, then t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -118,7 +118,7 @@ def fit(rows: DataFrame, features: str = "features", label: str = "label", weigh
         share = min(max((first["p"] or 0.0) / first["n"], 1e-6), 1 - 1e-6) if first["n"] else 0.5
         model = Ensemble(edges, float(np.log(share / (1 - share))))
         for _ in range(params.trees if width else 0):
-            tree = _grown(small, model, params, width, bins)
+            tree = grown(lambda splits: _histograms(small, model, splits, width, bins), params)  # noqa: B023
             if tree is None:
                 break
             model = replace(model, trees=(*model.trees, tree))
@@ -127,11 +127,12 @@ def fit(rows: DataFrame, features: str = "features", label: str = "label", weigh
         small.unpersist()
 
 
-def _grown(small: DataFrame, model: Ensemble, params: Boosting, width: int, bins: int) -> Tree | None:
+def grown(histograms: Callable, params: Boosting) -> Tree | None:
+    """A tree by ``histograms(splits)``: sums of gradients and Hessians (node, feature, bin)."""
     splits: list[tuple[int, int]] = []
     leaf_g = leaf_h = np.zeros(1)
     for _ in range(params.depth):
-        g, h = _histograms(small, model, tuple(splits), width, bins)
+        g, h = histograms(tuple(splits))
         gain, feature, b = best_split(g, h, params.l2)
         if gain < params.least_gain:
             break
